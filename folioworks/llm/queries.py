@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import langid, packing, pii, secrets
+from folioworks.llm import ann, decontam, langid, line_dedup, ngram_join, packing, pii, secrets, tool_calls, toxicity
 from folioworks.tables import table
 
 
@@ -34,11 +34,50 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.digest((*secrets.BASE_KINDS, "entropy"), F.col("secrets")).alias("spans"), pii.count_of("entropy", F.col("secrets")).alias("n_entropy"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.calls_of_turns(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link_calls(calls, results, tool_calls.reply_parameters(spark))
+    return linked.select("conv_id", "call_id", "turn", "result_turn", "results", "repeated", "level", "place", F.array_join("faults", "; ").alias("faults"), "record")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=100)
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_join.link_documents(table(spark, sf_dir, "documents"))
+    return linked.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), langid.remainder("doc_id", 3) == 1
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score_documents(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.later_copies(docs).groupBy("doc").agg(F.count("*").alias("removed"), F.array_join(F.sort_array(F.collect_set("no")), ",").alias("removed_lines"))
+    lines = docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    out = lines.join(gone, F.col("doc_id") == F.col("doc"), "left")
+    return out.select("doc_id", "n_lines", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_tool_calls": op4_tool_calls,
     "op5_pii": op5_pii,
+    "op6_nearest": op6_nearest,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
