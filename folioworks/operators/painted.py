@@ -72,7 +72,7 @@ def line_numbers(runs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "page").orderBy("top", "left", "ord")
     last_top, last_bottom = F.lag("top").over(order), F.lag("bottom").over(order)
     held = runs.withColumn("__overlap", F.least(last_bottom, F.col("bottom")) - F.greatest(last_top, F.col("top"))).withColumn("__shorter", F.least(last_bottom - last_top, F.col("bottom") - F.col("top")))
-    same = F.coalesce((F.col("__shorter") > 0) & (F.col("__overlap") / F.col("__shorter") > 0.5), F.lit(False))
+    same = last_top.isNotNull() & F.coalesce((F.col("__shorter") > 0) & (F.col("__overlap") / F.col("__shorter") > 0.5), F.lit(False))
     held = held.withColumn("__new", F.when(same, 0).otherwise(1))
     return held.withColumn("line", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__overlap", "__shorter", "__new")
 

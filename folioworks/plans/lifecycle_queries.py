@@ -8,7 +8,8 @@ from folioworks.operators import lifecycle
 from folioworks.plans import surrogates
 from folioworks.tables import table
 
-NOW = F.lit(surrogates.NOW).cast("timestamp")
+def now():
+    return F.lit(surrogates.NOW).cast("timestamp")
 
 
 def with_due(spark, sf_dir):
@@ -22,12 +23,12 @@ def retention_due(spark, sf_dir):
 
 def retention_expired(spark, sf_dir):
     rows = with_due(spark, sf_dir)
-    return rows.select("job_id", lifecycle.expired(F.col("due_at"), NOW).alias("expired"), lifecycle.days_left(F.col("due_at"), NOW).alias("days_left"))
+    return rows.select("job_id", lifecycle.expired(F.col("due_at"), now()).alias("expired"), lifecycle.days_left(F.col("due_at"), now()).alias("days_left"))
 
 
 def sweep(spark, sf_dir):
-    rows = with_due(spark, sf_dir).withColumn("deleted_at", F.when(F.col("gone"), NOW))
-    return lifecycle.swept(rows, NOW).select("job_id", "clock")
+    rows = with_due(spark, sf_dir).withColumn("deleted_at", F.when(F.col("gone"), now()))
+    return lifecycle.swept(rows, now()).select("job_id", "clock")
 
 
 def event_times(spark, sf_dir):
@@ -39,8 +40,8 @@ def session_state(spark, sf_dir):
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     days = event_times(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     started = F.when(F.col("user_id") % 13 == 0, "corrupt").otherwise(text(F.col("a")))
-    now = F.col("day").cast("timestamp") + F.expr("INTERVAL 12 HOURS")
-    return days.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), lifecycle.session_state(started, text(F.col("b")), now).alias("state"))
+    noon = F.col("day").cast("timestamp") + F.expr("INTERVAL 12 HOURS")
+    return days.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), lifecycle.session_state(started, text(F.col("b")), noon).alias("state"))
 
 
 def session_islands(spark, sf_dir):
@@ -59,8 +60,8 @@ def reset_state(spark, sf_dir):
     e = event_times(spark, sf_dir)
     issued = F.when(F.col("event_id") % 17 == 0, "corrupt").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     used = F.when(F.col("event_id") % 5 == 0, F.lit("x"))
-    now = F.col("ts") + F.make_interval(mins=(F.col("user_id") % 60).cast("int"))
-    return e.select("event_id", lifecycle.reset_state(issued, used, now).alias("state"))
+    later = F.col("ts") + F.make_interval(mins=(F.col("user_id") % 60).cast("int"))
+    return e.select("event_id", lifecycle.reset_state(issued, used, later).alias("state"))
 
 
 ACTIONS = ("account.created", "account.disabled", "sign-in.succeeded", "sign-in.failed", "sign-in.locked", "sign-out", "session.expired", "reset.requested", "reset.completed", "mail.failed", "job.created", "job.opened", "job.remediated", "job.downloaded", "job.deleted", "finding.decided", "criterion.confirmed", "reviewer.named", "alt.drafted", "statement.downloaded")
@@ -106,8 +107,8 @@ SELECT user_id, strftime(day, '%Y-%m-%d') AS day, CASE WHEN user_id % 13 = 0 THE
     "session_islands": f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g)
 SELECT user_id, session, count(*) AS events, {STAMP.format('min(ts)')} AS started, {STAMP.format('max(ts)')} AS ended FROM s GROUP BY 1, 2""",
     "reset_state": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'used' WHEN event_id % 17 = 0 OR ts + to_minutes(user_id % 60) >= date_trunc('second', ts) + INTERVAL 30 MINUTES THEN 'expired' ELSE 'good' END AS state FROM events",
-    "audit_history": f"""WITH a AS (SELECT user_id AS account, {ACTIONS_SQL}[(event_id % 20)::INT + 1] AS action, CASE WHEN event_id % 29 <> 0 THEN ts END AS at FROM events)
-SELECT account, count(at) AS events, count(*) - count(at) AS unreadable, count(*) FILTER (regexp_matches(action, '^(account|sign-in|sign-out|session|reset)')) AS security, {STAMP.format('min(at)')} AS first_at, {STAMP.format('max(at)')} AS last_at FROM a GROUP BY 1""",
+    "audit_history": f"""WITH a AS (SELECT user_id AS account, {ACTIONS_SQL}[(event_id % 20)::INT + 1] AS action, CASE WHEN event_id % 29 <> 0 THEN ts END AS t FROM events)
+SELECT account, count(t) AS events, count(*) - count(t) AS unreadable, count(*) FILTER (regexp_matches(action, '^(account|sign-in|sign-out|session|reset)')) AS security, {STAMP.format('min(t)')} AS first_at, {STAMP.format('max(t)')} AS last_at FROM a GROUP BY 1""",
     "may_open": f"""WITH {HOLD_SQL}, v AS (SELECT *, unnest([coalesce(account, visitor, -1), coalesce(account, visitor, -1) + 1]) AS viewer FROM h),
 o AS (SELECT viewer, CASE WHEN account IS NOT NULL THEN viewer % 2 = 0 AND account = viewer WHEN visitor IS NOT NULL THEN visitor = viewer ELSE false END AS opens FROM v)
 SELECT viewer, count(*) FILTER (opens) AS opens, count(*) FILTER (NOT opens) AS refused FROM o GROUP BY 1""",

@@ -164,7 +164,7 @@ ORACLE_SQL = {
     "tokens": f"SELECT doc_id, len({TOKENS_SQL}) AS tokens, len(list_distinct({TOKENS_SQL})) AS distinct_tokens FROM documents",
     "detect_language": f"WITH {detect_sql('documents', 'doc_id', chr(39) + 'en' + chr(39))} SELECT doc_id, {TOLD} AS detected FROM documents LEFT JOIN d USING (doc_id)",
     "language_vs_declared": f"WITH {detect_sql('documents', 'doc_id', 'lower(lang)')} SELECT lang, coalesce({TOLD}, 'none') AS detected, count(*) AS documents FROM documents LEFT JOIN d USING (doc_id) GROUP BY ALL",
-    "language_parts": f"WITH c0 AS (SELECT conv_id*1000 + turn AS k, text FROM conversations), {detect_sql('c0', 'k', chr(39) + 'en' + chr(39))} SELECT k // 1000 AS conv_id, k % 1000 AS turn, {TOLD} AS detected FROM d WHERE detected IS NOT NULL",
+    "language_parts": f"WITH c0 AS (SELECT conv_id*1000 + turn AS place, text FROM conversations), {detect_sql('c0', 'place', chr(39) + 'en' + chr(39))} SELECT place // 1000 AS conv_id, place % 1000 AS turn, {TOLD} AS detected FROM d WHERE detected IS NOT NULL",
     "sentences": f"SELECT doc_id, len({SPLIT_SQL}) AS sentences, coalesce(list_max(list_transform({SPLIT_SQL}, lambda s: length(s))), 0) AS longest FROM documents",
     "sensory_screen": sensory_sql(),
     "colour_screen": colour_sql(),
