@@ -15,7 +15,10 @@ its band's upper end is entered in the next band also, for larger partners.
 Where some set of a band has too few segments with elements for the argument,
 the band gets a segment for each element.
 
-Sets that are equal are one set from the start. Candidates are then verified in
+Sets that are equal are one set from the start. A candidate pair is first held
+against a bound from parity bitmaps: of b bits, each tells whether an odd number
+of elements hash to it, so two sets differ in at least as many elements as their
+bitmaps differ in bits. Pairs within the bound are verified on whole sets, in
 rounds: first each document with the one partner that it meets most often; what
 this links needs no more checks among itself, so that a large group of near
 copies takes work in proportion to its size. In the last round all remaining
@@ -42,7 +45,8 @@ from folioworks.tables import stored
 
 WORDS = 5
 PERCENT = 75
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
+CHUNK = 4096
 #: Up to so many ids are sent to every executor (16 MB); more are joined by a shuffle.
 SEND_IDS = 2_000_000
 #: Rounds in which a document is held against one partner before all remaining pairs are.
@@ -155,7 +159,7 @@ def signatures(items: np.ndarray, band: int, weights: np.ndarray, single: frozen
     where, items = where[order], items[order]
     first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
     found = mixed(np.add.reduceat(items, first) ^ mixed(where[first] + salt))
-    cost = np.minimum.reduceat(weights[(items >> np.uint64(48)).astype(np.int64)], first)
+    cost = np.minimum.reduceat(weights[(items >> np.uint64(44)).astype(np.int64)], first)
     ranked = np.lexsort((found, cost))
     return found[ranked[: most_apart(len(items), percent) + 1]]
 
@@ -165,28 +169,60 @@ def enough(items: np.ndarray, band: int, percent: int = PERCENT) -> bool:
     return band == 0 or len(np.unique(items % np.uint64(segments(band, frozenset())))) > most_apart(len(items), percent)
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    """Parity of the elements of each bit; twice as many bits as elements at least, a power of two."""
+    bits = 1 << max(6, int(2 * len(items) - 1).bit_length())
+    return np.packbits(np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """In how many elements sets of these bitmaps differ at least; the longer bitmap is folded."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ folded).sum())
+
+
 def summaries(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """For each document its size, set hashes and bands that lack segments (kind 0); for each bucket of n-grams a count by task (kind 1)."""
+    """Kind 0: for each document its size, two hashes of its set, the bands where it lacks segments, and its bitmap.
+    Kind 1: for each task the counts of n-grams by hash bucket, in chunks."""
+    names = ["kind", "id", "n", "one", "two", "poor", "data"]
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, dtype=np.int64)
-        names = ["kind", "id", "n", "one", "two", "poor"]
+        counts = np.zeros(BUCKETS, dtype=np.uint32)
+        signed = lambda x: int(x) - (int(x) >> 63 << 64)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 items = shingles(text.as_py(), words)
                 n = len(items)
-                np.add.at(counts, (items >> np.uint64(48)).astype(np.int64), 1)
+                np.add.at(counts, (items >> np.uint64(44)).astype(np.int64), 1)
                 poor = sum(1 << b for b in bands_for(n, percent) if not enough(items, b, percent)) if n else 0
-                one = int(items.sum()) if n else 0
-                two = int(mixed(items ^ BASE).sum()) if n else 0
-                rows.append((0, doc.as_py(), n, one - (one >> 63 << 64), two - (two >> 63 << 64), poor))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)], names)
-        held = np.flatnonzero(counts)
-        zero = np.zeros(len(held), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (zero + 1, held, counts[held], zero, zero, zero)], names)
+                rows.append((0, doc.as_py(), n, signed(items.sum()), signed(mixed(items ^ BASE).sum()), poor, bitmap(items)))
+            yield record(rows)
+        if counts.any():
+            yield record([(1, at // CHUNK, 0, 0, 0, 0, counts[at : at + CHUNK].tobytes()) for at in range(0, BUCKETS, CHUNK)])
 
-    return docs.mapInArrow(told, "kind long, id long, n long, one long, two long, poor long")
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "data" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+
+    return docs.mapInArrow(told, "kind long, id long, n long, one long, two long, poor long, data binary")
+
+
+def bucket_costs(told: DataFrame) -> np.ndarray:
+    """For each bucket, how far its count is above twice the mean, as a logarithm. What is gathered has a fixed size."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(data, np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["id", "data"])
+
+    counts = np.zeros(BUCKETS)
+    for r in told.where("kind = 1").select("id", "data").repartition(16, "id").mapInArrow(summed, "id long, data binary").collect():
+        counts[r["id"] * CHUNK : (r["id"] + 1) * CHUNK] = np.frombuffer(r["data"], np.int64)
+    return np.floor(np.log2(np.maximum(counts / max(2 * counts.mean(), 8), 1))).astype(np.uint8)
 
 
 def filtered_by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -205,10 +241,13 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("id").alias("doc"), packed("text").alias("items"))
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of which the sets are similar."""
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
-    sets = sets_of(filtered_by_ids(docs, ids, "left_semi").dropDuplicates(["id"]), words)
+def similar_pairs(docs: DataFrame, bitmaps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of which the sets are similar. `bitmaps`: doc, n, bits."""
+
+    @F.arrow_udf("boolean")
+    def near(n: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        united = zip(n.to_pylist(), x.to_pylist(), y.to_pylist(), strict=True)
+        return pa.array([least_apart(p, q) * (100 + percent) <= both * (100 - percent) for both, p, q in united], pa.bool_())
 
     @F.arrow_udf("boolean")
     def linked(of_a: pa.Array, of_b: pa.Array) -> pa.Array:
@@ -217,11 +256,15 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -
             x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
             common = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-        return pa.array(out)
+        return pa.array(out, pa.bool_())
 
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("of_a")), "a")
-    both = both.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("of_b")), "b")
-    return both.where(linked("of_a", "of_b")).select("a", "b")
+    side = lambda table, name, *columns: table.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    close = pairs.join(side(bitmaps, "a", "n", "bits"), "a").join(side(bitmaps, "b", "n", "bits"), "b")
+    close = stored(close.where(near(F.col("n_a") + F.col("n_b"), "bits_a", "bits_b")).select("a", "b"), "close")
+    ids = close.select(F.col("a").alias("doc")).union(close.select(F.col("b").alias("doc")))
+    sets = stored(sets_of(filtered_by_ids(docs, ids, "left_semi"), words), "sets")
+    both = close.join(side(sets, "a", "items"), "a").join(side(sets, "b", "items"), "b")
+    return both.where(linked("items_a", "items_b")).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,26 +294,25 @@ def may_match(a: str, b: str, percent: int) -> Column:
 
 
 def index_rows(docs: DataFrame, weights: np.ndarray, single: frozenset, words: int, percent: int) -> DataFrame:
-    """sig, me (struct doc, n, at): the signatures that each document indexes."""
+    """sig, doc, size_at: the signatures that each document indexes, with its size and the signature's place in one number."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                sigs, ids, sizes, places = [], [], [], []
+                sigs, ids, places = [], [], []
                 for doc, text in zip(part.column(0), part.column(1), strict=True):
                     items = shingles(text.as_py(), words)
                     for band in bands_for(len(items), percent) if len(items) else ():
                         found = signatures(items, band, weights, single, percent)
                         sigs.append(found)
                         ids.append(np.full(len(found), doc.as_py(), np.int64))
-                        sizes.append(np.full(len(found), len(items), np.int32))
-                        places.append(np.zeros(len(found), np.int32) if band == 0 else np.arange(len(found), dtype=np.int32))
+                        places.append((len(items) << 32) + (0 if band == 0 else 1) * np.arange(len(found), dtype=np.int64))
                 if sigs:
-                    columns = [np.concatenate(sigs).view(np.int64), *map(np.concatenate, (ids, sizes, places))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "doc", "n", "at"])
+                    columns = [np.concatenate(sigs).view(np.int64), np.concatenate(ids), np.concatenate(places)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "doc", "size_at"])
 
-    return docs.mapInArrow(made, "sig long, doc long, n int, at int").select("sig", F.struct("doc", "n", "at").alias("me"))
+    return docs.mapInArrow(made, "sig long, doc long, size_at long")
 
 
 def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -278,12 +320,8 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
     told = stored(summaries(docs, words, percent), "summaries")
     sizes = told.where("kind = 0").select(F.col("id").alias("doc"), "n", "one", "two", "poor").distinct()
-
-    # Bounded: one row for each bucket and for each band.
-    counts = np.zeros(BUCKETS)
-    for r in told.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] = r["n"]
-    weights = np.floor(np.log2(np.maximum(counts / (2 * max(counts.mean(), 1)), 1))).astype(np.int64)
+    bitmaps = told.where("kind = 0").select(F.col("id").alias("doc"), "n", F.col("data").alias("bits"))
+    weights = bucket_costs(told)
     poor = sizes.agg(F.bit_or("poor")).first()[0] or 0
     single = frozenset(b for b in range(64) if poor >> b & 1)
 
@@ -293,9 +331,10 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     alone = filtered_by_ids(docs, copies, "left_anti")
 
     rows = index_rows(alone, weights, single, words, percent)
-    order = Window.partitionBy("sig").orderBy("me.n", "me.doc")
-    met = rows.select("sig", "me", F.lag("me").over(order).alias("last"), F.lead("sig").over(order).alias("next"))
-    shared = stored(met.where("last is not null or next is not null").select("sig", "me"), "shared")
+    order = Window.partitionBy("sig").orderBy("doc")
+    met = rows.select("*", F.lag("doc").over(order).alias("last"), F.lead("doc").over(order).alias("next")).where("last is not null or next is not null")
+    me = F.struct("doc", F.shiftright("size_at", 32).cast("int").alias("n"), F.col("size_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
+    shared = stored(met.select("sig", me.alias("me")), "shared")
 
     links, tried, groups = None, None, None
     for round_ in range(ROUNDS):
@@ -310,7 +349,7 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
             meet = meet.join(tried.select(F.col("a").alias("doc"), F.col("b").alias("other")), ["doc", "other"], "left_anti")
         best = meet.groupBy("doc").agg(F.max_by("other", F.struct("count", -F.col("other"))).alias("other"))
         pairs = stored(best.select(F.col("doc").alias("a"), F.col("other").alias("b")), "pairs")
-        new = stored(similar_pairs(docs, pairs, words, percent), "links")
+        new = stored(similar_pairs(docs, bitmaps, pairs, words, percent), "links")
         links, tried = (new, pairs) if links is None else (links.union(new), tried.union(pairs))
         groups = stored(components(links), "groups")
 
@@ -321,7 +360,7 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     right = rows.select("sig", F.col("me").alias("y"), F.col("group").alias("y_group"))
     pairs = left.join(right, "sig").where(F.col("x.doc") < F.col("y.doc")).where("x_group <> y_group").where(may_match("x", "y", percent))
     pairs = stored(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), "pairs")
-    links = links.union(similar_pairs(docs, pairs, words, percent))
+    links = links.union(similar_pairs(docs, bitmaps, pairs, words, percent))
 
     groups = components(links)
     home = sizes.select("doc", "n").join(copies, "doc", "left").withColumn("first", F.coalesce("first", "doc"))
