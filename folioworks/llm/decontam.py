@@ -12,6 +12,7 @@ the slots are consistent, or the words match literally.
 All of it is Spark expressions. The benchmark's hashes are counted: they are
 sent to every executor while they are few; beyond that both sides are shuffled.
 Windows are map-side filtered by the join before anything of the corpus moves.
+Decisions are by document and item, from sets of distinct value pairs.
 
 Defined cases: null or empty texts match nothing; texts shorter than a window
 have their whole as one; windows with fewer than `LITERAL` plain words are not
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.tables import stored
+
 WINDOW = 8
 LITERAL = 4
 SHARE = 0.5
@@ -33,66 +36,99 @@ SEND_WINDOWS = 1_000_000
 
 # Units of measurement that follow a number.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hours", "days", "years", "miles", "feet", "inches", "pounds", "dollars", "euros", "percent", "%", "$", "€", "usd", "eur", "degrees")
-PUNCTUATION = r"""^[\p{Punct}¿¡«»“”„’‘…]+|[\p{Punct}¿¡«»“”„’‘…]+$"""
+PUNCTUATION = """.,;:!?"'()[]{}<>*_~`|/\\#+=-–—¿¡«»“”„’‘…$€£%&@^"""
+NUMBER, NAME, UNIT = -1, -2, -3  # keys of placeholders; those of plain words are positive
+
+
+def with_words(texts: DataFrame, key: str, text: str) -> DataFrame:
+    known = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    return known.select(key, F.split(text, r"\s+").alias("words"))
 
 
-def raw_words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def bare(word: Column) -> Column:
+    return F.btrim(word, F.lit(PUNCTUATION))
 
 
-def canonical(words: Column) -> Column:
-    """The template of each word, by its own form and the word before it."""
+def template(words: Column) -> Column:
+    """The key of each word: a placeholder, or a hash of the word in lower case; 0 for punctuation alone.
+
+    A name begins with a capital, is not all capitals and does not begin a sentence; a unit follows a number.
+    """
 
     def one(w: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.element_at(words, F.greatest(i, F.lit(1)))).otherwise(F.lit("."))
-        starts = before.rlike(r"[.!?:;]$")
-        bare = F.lower(w)
-        digit = w.between("!", "@") & w.rlike(r"^[$€(+-]?[0-9]")
-        named = (F.substring(w, 1, 1) != F.substring(bare, 1, 1)) & ~starts & (F.upper(w) != w)
-        unit = bare.isin(*UNITS) & (i > 0) & before.rlike(r"^[0-9]")
-        clean = F.when(bare.rlike(r"^\w+$"), bare).otherwise(F.regexp_replace(bare, PUNCTUATION, ""))
-        return F.when(digit, "<n>").when(named, "<p>").when(unit, "<u>").otherwise(clean)
+        clean = bare(w)
+        first = F.ascii(clean)
+        digit = lambda x: F.ascii(F.btrim(x, F.lit(PUNCTUATION))).between(48, 57)
+        before = F.get(words, F.greatest(i - 1, F.lit(0)))
+        low = F.lower(clean)
+        plain = F.shiftrightunsigned(F.xxhash64(low), 1)
+        inside = (i > 0) & (before != "") & ~F.right(before, F.lit(1)).isin(".", "!", "?", ":", ";")
+        named = (F.substring(low, 1, 1) != F.substring(clean, 1, 1)) & inside & (F.upper(clean) != clean)
+        unit = low.isin(*UNITS) & (i > 0) & digit(before)
+        small = F.when(unit, UNIT).otherwise(plain)
+        return F.when(clean == "", F.when(w.isin("%", "$", "€") & (i > 0) & digit(before), UNIT).otherwise(0)).when(first.between(48, 57), NUMBER).when(first.between(97, 122), small).otherwise(F.when(named, NAME).otherwise(small)).cast("long")
 
     return F.transform(words, one)
 
 
+def hashes(keys: Column) -> Column:
+    """A hash of each window; of the whole, where that is shorter."""
+    last = F.greatest(F.size(keys) - WINDOW, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(keys, i + 1, F.lit(WINDOW))))
+
+
 def windowed(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, at, hash, and in `words` the raw words of each window."""
-    rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), raw_words(F.col(text)).alias("words"))
-    # The words that canonicalisation leaves empty (lone punctuation) go, from both forms.
-    formed = rows.select(key, F.filter(F.arrays_zip("words", canonical(F.col("words")).alias("form")), lambda z: z["form"] != "").alias("pairs"))
-    split = formed.select(key, F.col("pairs.words").alias("words"), F.col("pairs.form").alias("forms")).where(F.size("forms") > 0)
-    hashed = split.select(key, "words", F.transform("forms", lambda f: F.when(f.startswith("<"), -F.abs(F.xxhash64(f)) - 1).otherwise(F.shiftrightunsigned(F.xxhash64(f), 1))).alias("keys"))
-    last = F.greatest(F.size("keys") - WINDOW, F.lit(0))
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("keys", i + 1, F.lit(WINDOW))))
-    return hashed.select(key, "words", "keys", F.posexplode(hashes).alias("at", "hash"))
+    """key, at, hash of every window. Only these go through the explode, so that long texts stay linear."""
+    keyed = with_words(texts, key, text).select(key, F.filter(template(F.col("words")), lambda k: k != 0).alias("keys"))
+    listed = keyed.select(key, F.when(F.size("keys") > 0, hashes(F.col("keys"))).alias("hashes"))
+    # The outer form: for the inner one a filter on the array's size would be inferred and its expression repeated in it.
+    return listed.select(key, F.posexplode_outer("hashes").alias("at", "hash")).where("hash is not null")
+
 
+def with_slots(texts: DataFrame, key: str, text: str, windows: DataFrame) -> DataFrame:
+    """Rows of `windows` (key, at, and others) with `slots`, array<struct<place,value>>: what stood where placeholders are.
 
-def slots(keys: Column, words: Column, at: Column) -> Column:
-    """array<struct<place, value>>: the placeholders of a window and what they replaced."""
-    here = F.arrays_zip(F.slice(keys, at + 1, F.lit(WINDOW)).alias("k"), F.slice(words, at + 1, F.lit(WINDOW)).alias("w"))
-    placed = F.transform(here, lambda z, i: F.struct(i.alias("place"), z["k"].alias("k"), F.lower(F.regexp_replace(z["w"], PUNCTUATION, "")).alias("value")))
-    return F.transform(F.filter(placed, lambda z: z["k"] < 0), lambda z: F.struct(z["place"].alias("place"), z["value"].alias("value")))
+    A text's windows come to it as one list, no longer than the text.
+    """
+    listed = windows.groupBy(key).agg(F.collect_list(F.struct(*[c for c in windows.columns if c != key])).alias("list"))
+    keyed = with_words(texts, key, text).select(key, "words", template(F.col("words")).alias("keys"))
+    both = keyed.select(key, F.filter(F.arrays_zip("words", "keys"), lambda z: z["keys"] != 0).alias("pairs")).join(listed, key)
+    placed = lambda at: F.transform(F.slice("pairs", at + 1, F.lit(WINDOW)), lambda z, i: F.struct(i.alias("place"), F.lower(bare(z["words"])).alias("value"), z["keys"].alias("k")))
+    slots = lambda at: F.transform(F.filter(placed(at), lambda z: z["k"] < 0), lambda z: F.struct(z["place"].alias("place"), z["value"].alias("value")))
+    out = both.select(key, F.transform("list", lambda w: F.struct(w.alias("window"), slots(w["at"]).alias("slots"))).alias("list"))
+    return out.select(key, F.explode_outer("list").alias("x")).select(key, "x.window.*", "x.slots")
 
 
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """item, hash, slots: the windows of each benchmark item with enough plain words, each once; `windows` is their number."""
-    rows = windowed(items, key, text)
-    plain = F.size(F.filter(F.slice("keys", F.col("at") + 1, F.lit(WINDOW)), lambda k: k >= 0))
-    used = rows.where(plain >= F.least(F.lit(LITERAL), F.size("keys"))).select(F.col(key).alias("item"), "hash", "at", slots(F.col("keys"), F.col("words"), F.col("at")).alias("item_slots"))
-    used = used.groupBy("item", "hash").agg(F.min_by("item_slots", "at").alias("item_slots"))
-    return used.join(used.groupBy("item").agg(F.count("*").alias("windows")), "item")
+    """key, hash, slots, windows: the windows of each item with enough plain words, each once, and their number."""
+    once = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(key).agg(F.min(text).alias(text))
+    rows = with_slots(once, key, text, windowed(once, key, text))
+    lengths = with_words(once, key, text).select(key, F.size(F.filter(template(F.col("words")), lambda k: k != 0)).alias("length"))
+    rows = rows.join(lengths, key)
+    used = rows.where(F.least("length", F.lit(WINDOW)) - F.size("slots") >= F.least(F.lit(LITERAL), "length"))
+    used = used.groupBy(key, "hash").agg(F.min_by("slots", "at").alias("slots"))
+    return used.join(used.groupBy(key).agg(F.count("*").alias("windows")), key)
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each document and item with common windows: matched, windows, share, slots, consistent (share), literal, contaminated."""
+    """For each document and item with common windows: matched, windows, share, slots, consistent (share), literal, contaminated.
+
+    The large table's windows meet the items' hashes in a map; what follows has the matches only.
+    """
+    bodies = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("body"))
     known = item_windows(items.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{item_text}`").alias("body")), "item", "body")
+    known = stored(known.withColumnRenamed("slots", "item_slots"), "item-windows")
     few = known.count() <= SEND_WINDOWS
-    rows = windowed(docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("body")), "doc", "body")
-    # Only windows that any item has go on with their words.
-    found = rows.join(F.broadcast(known) if few else known, "hash").select("doc", "item", "hash", "windows", "item_slots", slots(F.col("keys"), F.col("words"), F.col("at")).alias("doc_slots"))
+    found = windowed(bodies, "doc", "body").join(F.broadcast(known) if few else known, "hash")
+    found = stored(found.select("doc", "item", "hash", "at", "windows", "item_slots"), "windows-met")
     counted = found.groupBy("doc", "item").agg(F.countDistinct("hash").alias("matched"), F.max("windows").alias("windows"))
-    pairs = found.select("doc", "item", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z")).select("doc", "item", F.col("z.item_slots.value").alias("theirs"), F.col("z.doc_slots.value").alias("ours")).distinct()
+
+    # What stands in the slots has to be read from the documents again, those that have any.
+    open_ = found.where(F.size("item_slots") > 0).select("doc", "item", "at", "item_slots")
+    ids = open_.select("doc").distinct()
+    some = bodies.join(F.broadcast(ids) if ids.count() <= SEND_WINDOWS else ids, "doc", "left_semi")
+    filled = with_slots(some, "doc", "body", open_)
+    pairs = filled.select("doc", "item", F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).select("doc", "item", F.col("z.item_slots.value").alias("theirs"), F.col("z.slots.value").alias("ours")).distinct()
     # A value is consistent if it stands for one value, and that for no other.
     one = pairs.groupBy("doc", "item", "theirs").agg(F.count("*").alias("stands_for"), F.min("ours").alias("ours"))
     back = pairs.groupBy("doc", "item", "ours").agg(F.count("*").alias("stood_by"))
