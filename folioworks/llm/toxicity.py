@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_ratio:
     def cut(texts: pa.Array) -> pa.Array:
         return pa.array([pieces_of(t.as_py().lower().encode("utf-8", "replace"), 64) for t in texts], pa.list_(pa.binary()))
 
-    pieces = first.where("label = 0").select(F.explode(cut("text")).alias("w"))
+    pieces = first.where("label = 0").select(F.explode_outer(cut("text")).alias("w"))
     pieces = [bytes(r["w"]) for r in pieces.orderBy(F.xxhash64("w"), "w").limit(40_000).collect()]
     try:
         trained = zstd.train_dictionary(SHARED + 4096, pieces, k=64, d=6).as_bytes()
