@@ -1,13 +1,13 @@
 """Line dedup by an exact set-similarity join.
 
 A line's tokens are its five-word shingles (the whole line, if shorter), as
-64-bit keys whose high bits tell how rare the shingle's rarest word is. Sorted
-keys are therefore in order of rarity. The first n - ceil(t * n) + 1 of them are
+64-bit keys whose high bits tell how rare the shingle is, by the count of its
+first word in the corpus. Sorted keys are therefore in order of rarity. The first n - ceil(t * n) + 1 of them are
 the prefix: similar lines share a key there. Length and position of a shared
 key bound the overlap; what passes is verified on whole sets of keys. A line
 goes if any earlier line (by doc_id, then line number) is similar to it.
 
-Lines of equal sets are settled by a hash aggregate and then stand as one. Of
+Lines of equal words are settled by a hash aggregate; one stands for them. Of
 the others each is held first against the earliest line of every key it shares,
 which settles most of a large group in a pass that grows with the group, not
 with its square; only lines still standing meet all earlier lines of their keys.
@@ -33,7 +33,7 @@ from folioworks.tables import stored
 
 SHINGLE = 5
 SIMILAR = 0.75
-BUCKETS = 4096
+BUCKETS = 8192
 HASH_BITS = 57
 MASK = (1 << HASH_BITS) - 1
 #: Up to so many ids are sent to every executor (16 MB); more are joined by a shuffle.
@@ -41,12 +41,15 @@ SEND_IDS = 2_000_000
 
 
 def words_of(line: Column) -> Column:
-    return F.split(F.trim(F.translate(F.lower(line), "\t\x0b\f\r\n", "     ")), " +")
+    """Lower-case words; white space other than single spaces is squeezed first, where there is any."""
+    low = F.lower(line)
+    tidy = F.trim(F.regexp_replace(low, r"[ \t\x0B\f\r\n]+", " "))
+    return F.split(F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), tidy).otherwise(low), " ")
 
 
-def rarity(docs: DataFrame, text: str) -> Column:
-    """Array of log2 counts of all words, by hash bucket."""
-    words = docs.select(F.explode(words_of(F.col(text))).alias("word"))
+def rarity(docs: DataFrame, text: str, key: str) -> Column:
+    """Array of log2 counts of all words of all lines, by hash bucket."""
+    words = with_words(lines_of(docs, text, key)).select(F.explode_outer("words").alias("word"))
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).count().collect()
     logs = ["0"] * BUCKETS
     for r in counts:
@@ -54,39 +57,31 @@ def rarity(docs: DataFrame, text: str) -> Column:
     return F.split(F.lit(",".join(logs)), ",").cast("array<int>")
 
 
-def word_key(word: Column, logs: Column) -> Column:
-    at = F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int") + 1
-    return F.shiftleft(F.element_at(logs, at).cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit(MASK)))
+def with_words(lines: DataFrame) -> DataFrame:
+    """Replaces `line` by its words; blank lines are left out."""
+    return lines.select(*[c for c in lines.columns if c != "line"], words_of(F.col("line")).alias("words")).where(F.element_at("words", 1) != "")
 
 
-def joined_key(keys: Column) -> Column:
-    """Rarity of the rarest of these words, and a hash of all of them."""
-    rare = F.shiftleft(F.shiftright(F.array_min(keys), HASH_BITS), HASH_BITS)
-    return rare.bitwiseOR(F.xxhash64(keys).bitwiseAND(F.lit(MASK)))
-
+def with_tokens(lines: DataFrame, logs: Column) -> DataFrame:
+    """Adds `tokens`, sorted and distinct.
 
-def with_whole(lines: DataFrame) -> DataFrame:
-    """Replaces `line` by its words and their hash; blank lines are left out."""
+    A token is a hash of five words; its high bits tell how frequent the first of them is.
+    """
+    worded = with_words(lines)
     kept = [c for c in lines.columns if c != "line"]
-    worded = lines.select(*kept, words_of(F.col("line")).alias("words")).where(F.element_at("words", 1) != "")
-    return worded.select(*kept, "words", F.xxhash64("words").alias("whole"))
-
-
-def with_tokens(lines: DataFrame, logs: Column) -> DataFrame:
-    """Adds `tokens`, the sorted distinct keys of `line`, and `whole`, a hash of its words; blank lines are left out."""
-    worded = with_whole(lines)
-    kept = [c for c in worded.columns if c != "words"]
-    keyed = worded.select(*kept, F.transform("words", lambda w: word_key(w, logs)).alias("keys"))
-    n = F.size("keys")
-    shingles = F.when(n < SHINGLE, F.array(joined_key(F.col("keys")))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: joined_key(F.slice("keys", i, F.lit(SHINGLE))))
-    )
-    return keyed.select(*kept, F.sort_array(F.array_distinct(shingles)).alias("tokens"))
+    rare = lambda w: F.shiftleft(F.element_at(logs, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int") + 1).cast("long"), HASH_BITS)
+    word = lambda i: F.get(F.col("words"), i)
+    token = lambda i, n: rare(word(i)).bitwiseOR(F.xxhash64(*[word(i + k) for k in range(n)]).bitwiseAND(F.lit(MASK)))
+    n = F.size("words")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: token(i, SHINGLE))
+    short = F.array(rare(word(F.lit(0))).bitwiseOR(F.xxhash64("words").bitwiseAND(F.lit(MASK))))
+    tokens = F.sort_array(F.array_distinct(F.when(n < SHINGLE, short).otherwise(runs)))
+    return worded.select(*kept, tokens.alias("tokens"))
 
 
 def lines_of(docs: DataFrame, text: str, key: str) -> DataFrame:
     known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return known.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    return known.select(F.col(key).alias("doc"), F.posexplode_outer(F.split(text, "\n")).alias("no", "line"))
 
 
 def least_overlap(a: Column, b: Column, similar: float) -> Column:
@@ -106,6 +101,11 @@ def filtered_by_ids(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, key, "left_semi")
 
 
+def without(lines: DataFrame, gone: DataFrame) -> DataFrame:
+    """`lines` but for those in `gone` (doc, no); these are sent to the executors while they are few enough."""
+    return lines.join(F.broadcast(gone) if gone.count() <= SEND_IDS else gone, ["doc", "no"], "left_anti")
+
+
 def verified(docs: DataFrame, text: str, key: str, pairs: DataFrame, logs: Column, similar: float) -> DataFrame:
     """Pairs (a, b: structs doc, no) of which the lines' Jaccard similarity is at least `similar`."""
     ends = pairs.select(F.col("a").alias("line_id")).union(pairs.select(F.col("b").alias("line_id"))).select("line_id.doc", "line_id.no").distinct()
@@ -121,28 +121,31 @@ def verified(docs: DataFrame, text: str, key: str, pairs: DataFrame, logs: Colum
 def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """(doc, no): the lines that an earlier line is similar to, each once."""
     docs = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    logs = rarity(docs, text)
+    logs = rarity(docs, text, key)
 
     # Lines of the same words: all but the earliest go. The aggregate combines before it shuffles; the join back is one
     # that adaptive execution splits where a line is very frequent.
-    worded = with_whole(lines_of(docs, text, key)).select("doc", "no", "whole")
-    first = worded.groupBy("whole").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("lines")).where("lines > 1")
-    copies = worded.join(first, "whole").where(F.struct("doc", "no") != F.col("first")).select("doc", "no")
-
-    # Of each token, a row for each distinct line: its earliest place.
-    tokens = with_tokens(lines_of(docs, text, key), logs)
+    worded = with_words(lines_of(docs, text, key)).select("doc", "no", F.xxhash64("words").alias("whole"))
+    first = worded.groupBy("whole").agg(F.min("doc").alias("doc"), F.count("*").alias("lines")).where("lines > 1").select("whole", F.col("doc").alias("first_doc"))
+    again = worded.join(first, "whole")
+    place = again.where("doc = first_doc").groupBy("whole").agg(F.min("no").alias("first_no"))
+    copies = stored(again.join(place, "whole").where("doc <> first_doc or no <> first_no").select("doc", "no"), "line-copies")
+
+    # The lines that stand for the rest, a row for each token of their prefixes.
+    lines = without(lines_of(docs, text, key), copies)
+    tokens = with_tokens(lines, logs)
     n = F.size("tokens")
     prefix = (n - F.ceil(n * similar - 1e-9) + 1).cast("int")
-    sized = tokens.select("doc", "no", "whole", n.alias("n"), F.slice("tokens", F.lit(1), prefix).alias("prefix"))
-    rows = sized.select("doc", "no", "whole", "n", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.groupBy("token", "whole").agg(F.min(F.struct("doc", "no", "n", "at")).alias("b"))
-    order = Window.partitionBy("token").orderBy("b")
+    sized = tokens.select("doc", F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(n.cast("long")).alias("no_n"), F.slice("tokens", F.lit(1), prefix).alias("prefix"))
+    # The outer form: for the inner one a filter on the array's size would be inferred and its expression repeated in it.
+    rows = sized.select("doc", "no_n", F.posexplode_outer("prefix").alias("at", "token"))
+    order = Window.partitionBy("token").orderBy("doc", "no_n")
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
     grouped = rows.select(
-        "token", "b",
-        F.first("b").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"),
-        F.lead("token").over(order).alias("next"),
-    )
-    shared = stored(grouped.where(F.col("next").isNotNull() | (F.col("a") != F.col("b"))).select("token", "a", "b"), "line-tokens")
+        "*", *[F.first(c).over(sofar).alias(f"first_{c}") for c in ("doc", "no_n", "at")], F.lead("doc").over(order).alias("next"),
+    ).where("next is not null or doc <> first_doc or no_n <> first_no_n")
+    one = lambda x: F.struct(F.col(f"{x}doc").alias("doc"), F.shiftright(f"{x}no_n", 32).cast("int").alias("no"), F.col(f"{x}no_n").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), F.col(f"{x}at").alias("at"))
+    shared = stored(grouped.select("token", one("first_").alias("a"), one("").alias("b")), "line-tokens")
 
     ids = lambda side: F.struct(f"{side}.doc", f"{side}.no")
     later = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.no") < F.col("b.no")))
