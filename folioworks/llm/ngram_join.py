@@ -210,7 +210,7 @@ def summaries(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def bucket_costs(told: DataFrame) -> np.ndarray:
-    """For each bucket, how far its count is above twice the mean, as a logarithm. What is gathered has a fixed size."""
+    """For each bucket, how far its count is above the mean, in quarters of a doubling. What is gathered has a fixed size."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -222,7 +222,7 @@ def bucket_costs(told: DataFrame) -> np.ndarray:
     counts = np.zeros(BUCKETS)
     for r in told.where("kind = 1").select("id", "data").repartition(16, "id").mapInArrow(summed, "id long, data binary").collect():
         counts[r["id"] * CHUNK : (r["id"] + 1) * CHUNK] = np.frombuffer(r["data"], np.int64)
-    return np.floor(np.log2(np.maximum(counts / max(2 * counts.mean(), 8), 1))).astype(np.uint8)
+    return np.floor(4 * np.log2(np.maximum(counts / max(counts.mean(), 4), 1))).astype(np.uint8)
 
 
 def filtered_by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
