@@ -59,3 +59,20 @@ def test_calls_in_messages(spark):
     messages = spark.createDataFrame([(1, 0, "assistant", 'ok\n{"call": "k", "tool": "find", "arguments": {"q": "v"}, "needs": []}'), (1, 1, "user", '{"result": "k", "content": "done"}'), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
     calls, results = tool_calls.calls_in(messages)
     assert [(r["call_id"], r["arguments"]) for r in calls.collect()] == [("k", '{"q":"v"}')] and results.count() == 1
+
+
+def test_levels_equal_a_plain_order(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(1, f"c{i}", i, "t", "{}", [f"c{i - 1}"] if i else []) for i in range(300)]
+    for conv in range(2, 12):
+        n = rng.randint(3, 25)
+        names = [f"n{i}" for i in range(n)]
+        rng.shuffle(names)
+        rows += [(conv, names[i], i, "t", "{}", rng.sample(names[: i + (rng.random() < 0.03)], min(i, rng.choice([0, 1, 1, 2, 3])))) for i in range(n)]
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.ordered(calls_frame(spark, rows)).collect()}
+    needs, want = {(c, k): [(c, x) for x in ns] for c, k, _, _, _, ns in rows}, {}
+    for _ in range(400):
+        want |= {k: 1 + max((want[x] for x in ns), default=-1) for k, ns in needs.items() if k not in want and all(x in want for x in ns)}
+    assert {k: v for k, v in got.items() if v is not None} == want and got[1, "c299"] == 299
