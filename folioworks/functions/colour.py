@@ -48,28 +48,3 @@ def format_ratio(ratio: Column) -> Column:
     """Two decimals, cut off, without trailing zeros: 4.5:1."""
     cut = F.format_string("%.2f", F.floor(ratio * 100) / 100)
     return F.concat(F.regexp_replace(cut, r"\.?0+$", ""), F.lit(":1"))
-
-
-def adjusted(fg: Column, bg: Column, minimum: Column) -> Column:
-    """The colour nearest to `fg`, on the way to black or white, that has the minimum contrast with `bg`; `fg` if it has it.
-
-    The share of the way is found by 24 halvings; what rounding to whole channels then lacks is made up in steps of 1/255.
-    """
-    dark = contrast(F.struct(*[F.lit(0).alias(c) for c in "rgb"]), bg)
-    light = contrast(F.struct(*[F.lit(255).alias(c) for c in "rgb"]), bg)
-    goal = F.when(dark >= light, F.lit(0)).otherwise(F.lit(255))
-
-    def mixed(share: Column) -> Column:
-        part = lambda c: F.round(fg[c] + (goal - fg[c]) * share).cast("int").alias(c)
-        return F.struct(part("r"), part("g"), part("b"))
-
-    def halved(acc: Column, _: Column) -> Column:
-        middle = (acc["low"] + acc["high"]) / 2
-        enough = contrast(mixed(middle), bg) >= minimum
-        return F.struct(F.when(enough, acc["low"]).otherwise(middle).alias("low"), F.when(enough, middle).otherwise(acc["high"]).alias("high"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), halved, lambda acc: acc["high"])
-    steps = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.least(F.lit(1.0), found + i / 255.0))
-    passing = F.filter(steps, lambda s: contrast(mixed(s), bg) >= minimum)
-    share = F.coalesce(F.get(passing, F.lit(0)), F.lit(1.0))
-    return F.when(contrast(fg, bg) >= minimum, fg).otherwise(mixed(share))

@@ -21,13 +21,6 @@ def contrast_ratio(spark, sf_dir):
     return rows.select("p_partkey", colour.to_hex(F.col("fg")).alias("fg"), colour.to_hex(F.col("bg")).alias("bg"), F.round(ratio, 6).alias("ratio"), least.alias("minimum"), (ratio >= least).alias("passes"))
 
 
-def contrast_adjust(spark, sf_dir):
-    rows = part_colours(spark, sf_dir)
-    least = colour.minimum_ratio(F.col("points"), F.col("bold"))
-    new = colour.adjusted(F.col("fg"), F.col("bg"), least)
-    return rows.select("p_partkey", colour.to_hex(F.col("fg")).alias("fg"), colour.to_hex(new).alias("adjusted"), F.round(colour.contrast(new, F.col("bg")), 6).alias("ratio"))
-
-
 def contrast_findings(spark, sf_dir):
     found = painted.contrast_findings(surrogates.runs(spark, sf_dir))
     return found.select("doc_id", "page", "fg", "bg", "ord", "text", F.round("ratio", 6).alias("ratio"), "minimum")
@@ -61,7 +54,7 @@ RUNS_SQL = f"""runs AS (SELECT l_orderkey AS doc_id, 1 AS page,
   'part ' || l_partkey AS text, l_quantity AS points, l_returnflag = 'R' AS bold, 0.5 + 2*l_discount AS share,
   l_partkey*7919 % 16777216 AS f, {BG_SQL}[(l_suppkey % 4)::INT + 1] AS g, l_partkey, l_suppkey, l_quantity FROM lineitem)"""
 
-QUERIES = {"contrast_ratio": contrast_ratio, "contrast_adjust": contrast_adjust, "contrast_findings": contrast_findings, "pixel_mode": pixel_mode}
+QUERIES = {"contrast_ratio": contrast_ratio, "contrast_findings": contrast_findings, "pixel_mode": pixel_mode}
 
 ORACLE_SQL = {
     "contrast_ratio": f"""WITH {PARTS_SQL}, r AS (SELECT *, {ratio_sql('f', 'g')} AS x, CASE WHEN large THEN 3.0 ELSE 4.5 END::DOUBLE AS m FROM parts)
