@@ -7,16 +7,20 @@ items. Re-worded numbers and names thus still match; whether they were replaced
 consistently is checked on the matches: each value of an item's slots has to
 stand for one value of the document, and no two for the same. A document is
 contaminated by an item if the matched windows are `SHARE` of the item's, and
-the slots are consistent, or the words match literally.
+the slots are consistent, or the words match literally. That is asked of each
+occurrence, and one that passes is enough: of the windows at one offset between
+document and item, of those at offsets near each other (a copy with words put in
+or left out), and of all the pair's windows (a copy in scattered parts).
 
 All of it is Spark expressions. The benchmark's hashes are counted: they are
 sent to every executor while they are few; beyond that both sides are shuffled.
 Windows are map-side filtered by the join before anything of the corpus moves.
-Decisions are by document and item, from sets of distinct value pairs.
+Decisions are by document, item and occurrence, from sets of distinct value
+pairs. A window that a document has n times and an item m times gives n * m rows.
 
 Defined cases: null or empty texts match nothing; texts shorter than a window
 have their whole as one; windows with fewer than `LITERAL` plain words are not
-used; repeated items and repeated windows count once; rows with a null id match
+used; repeated items count once, and so do repeated windows in a share; rows with a null id match
 nothing and stay; other columns pass through; empty tables give empty results.
 """
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioworks.tables import stored
 
@@ -100,52 +105,69 @@ def with_slots(texts: DataFrame, key: str, text: str, windows: DataFrame) -> Dat
 
 
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """key, hash, slots, windows: the windows of each item with enough plain words, each once, and their number."""
+    """key, hash, at, slots, windows: the windows of each item with enough plain words, and how many differ."""
     once = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(key).agg(F.min(text).alias(text))
     rows = with_slots(once, key, text, windowed(once, key, text))
     lengths = with_words(once, key, text).select(key, F.size(F.filter(template(F.col("words")), lambda k: k != 0)).alias("length"))
     rows = rows.join(lengths, key)
-    used = rows.where(F.least("length", F.lit(WINDOW)) - F.size("slots") >= F.least(F.lit(LITERAL), "length"))
-    used = used.groupBy(key, "hash").agg(F.min_by("slots", "at").alias("slots"))
-    return used.join(used.groupBy(key).agg(F.count("*").alias("windows")), key)
+    used = rows.where(F.least("length", F.lit(WINDOW)) - F.size("slots") >= F.least(F.lit(LITERAL), "length")).drop("length")
+    return used.join(used.groupBy(key).agg(F.countDistinct("hash").alias("windows")), key)
+
+
+def occurrences(met: DataFrame) -> DataFrame:
+    """Each row of `met` (doc, item, at, item_at) once for every occurrence that it belongs to: kind, id."""
+    pair = Window.partitionBy("doc", "item")
+    rows = met.withColumn("offset", F.col("at") - F.col("item_at"))
+    rows = rows.withColumn("gap", F.col("offset") - F.lag("offset").over(pair.orderBy("offset")))
+    rows = rows.withColumn("near", F.count_if(F.col("gap") > WINDOW).over(pair.orderBy("offset")))
+    # Of several windows of the item that one of the document equals, a copy has the one whose offset most others share.
+    rows = rows.withColumn("support", F.count("*").over(Window.partitionBy("doc", "item", "offset")))
+    rows = rows.withColumn("choice", F.row_number().over(Window.partitionBy("doc", "item", "near", "at").orderBy(F.desc("support"), "offset")))
+    of = lambda kind, number: F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("id"))
+    kinds = F.array(of("pair", F.lit(0)), of("offset", F.col("offset")), F.when(F.col("choice") == 1, of("near", F.col("near"))))
+    return rows.select(*met.columns, F.explode(F.array_compact(kinds)).alias("o")).select(*met.columns, "o.*")
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """For each document and item with common windows: matched, windows, share, slots, consistent (share), literal, contaminated.
 
+    The figures are those of one occurrence: one that contaminates, if there is any, else that of the largest share.
     The large table's windows meet the items' hashes in a map; what follows has the matches only.
     """
     bodies = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("body"))
     known = item_windows(items.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{item_text}`").alias("body")), "item", "body")
-    known = stored(known.withColumnRenamed("slots", "item_slots"), "item-windows")
+    known = stored(known.withColumnsRenamed({"slots": "item_slots", "at": "item_at"}), "item-windows")
     few = known.count() <= SEND_WINDOWS
     found = windowed(bodies, "doc", "body").join(F.broadcast(known) if few else known, "hash")
-    found = stored(found.select("doc", "item", "hash", "at", "windows", "item_slots"), "windows-met")
-    counted = found.groupBy("doc", "item").agg(F.countDistinct("hash").alias("matched"), F.max("windows").alias("windows"))
+    found = stored(found.select("doc", "item", "hash", "at", "item_at", "windows", "item_slots"), "windows-met")
 
     # What stands in the slots has to be read from the documents again, those that have any.
-    open_ = found.where(F.size("item_slots") > 0).select("doc", "item", "at", "item_slots")
+    open_ = found.where(F.size("item_slots") > 0).select("doc", "at").distinct()
     ids = open_.select("doc").distinct()
     some = bodies.join(F.broadcast(ids) if ids.count() <= SEND_WINDOWS else ids, "doc", "left_semi")
-    filled = with_slots(some, "doc", "body", open_)
-    pairs = filled.select("doc", "item", F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).select("doc", "item", F.col("z.item_slots.value").alias("theirs"), F.col("z.slots.value").alias("ours")).distinct()
+    filled = with_slots(some, "doc", "body", open_).dropDuplicates(["doc", "at", "slots"])
+    rows = stored(occurrences(found.join(filled, ["doc", "at"], "left")), "occurrences")
+
+    one_of = ["doc", "item", "kind", "id"]
+    counted = rows.groupBy(*one_of).agg(F.countDistinct("hash").alias("matched"), F.max("windows").alias("windows"))
+    pairs = rows.where("slots is not null").select(*one_of, F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).select(*one_of, F.col("z.item_slots.value").alias("theirs"), F.col("z.slots.value").alias("ours")).distinct()
     # A value is consistent if it stands for one value, and that for no other.
-    one = pairs.groupBy("doc", "item", "theirs").agg(F.count("*").alias("stands_for"), F.min("ours").alias("ours"))
-    back = pairs.groupBy("doc", "item", "ours").agg(F.count("*").alias("stood_by"))
-    fits = one.join(back, ["doc", "item", "ours"]).groupBy("doc", "item").agg(
+    one = pairs.groupBy(*one_of, "theirs").agg(F.count("*").alias("stands_for"), F.min("ours").alias("ours"))
+    back = pairs.groupBy(*one_of, "ours").agg(F.count("*").alias("stood_by"))
+    fits = one.join(back, [*one_of, "ours"]).groupBy(*one_of).agg(
         F.count("*").alias("slots"),
         F.count_if((F.col("stands_for") == 1) & (F.col("stood_by") == 1)).alias("fitting"),
         F.count_if((F.col("theirs") == F.col("ours")) & (F.col("stands_for") == 1)).alias("same"),
     )
-    out = counted.join(fits, ["doc", "item"], "left")
     n = F.coalesce("slots", F.lit(0))
-    share = F.col("matched") / F.col("windows")
-    consistent = F.when(n == 0, 1.0).otherwise(F.coalesce("fitting", F.lit(0)) / n)
-    literal = n == F.coalesce("same", F.lit(0))
-    return out.select(
-        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "matched", "windows", share.alias("share"), n.alias("slots"),
-        consistent.alias("consistent"), literal.alias("literal"), ((share >= SHARE) & (literal | (consistent >= CONSISTENT))).alias("contaminated"),
+    judged = counted.join(fits, one_of, "left").select(
+        "doc", "item", "matched", "windows", (F.col("matched") / F.col("windows")).alias("share"), n.alias("slots"),
+        F.when(n == 0, 1.0).otherwise(F.coalesce("fitting", F.lit(0)) / n).alias("consistent"), (n == F.coalesce("same", F.lit(0))).alias("literal"),
     )
+    judged = judged.withColumn("contaminated", (F.col("share") >= SHARE) & (F.col("literal") | (F.col("consistent") >= CONSISTENT)))
+    best = F.max(F.struct("contaminated", (F.col("contaminated") & F.col("literal")).alias("sure"), "share", "consistent", "matched", "windows", "slots", "literal"))
+    out = judged.groupBy("doc", "item").agg(best.alias("b"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), *[f"b.{c}" for c in ("matched", "windows", "share", "slots", "consistent", "literal", "contaminated")])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,6 +23,21 @@ def test_templates_find_changed_numbers_and_names(spark):
     assert decontam.matches(docs.limit(0), items).count() == 0 and decontam.matches(docs, items.limit(0)).count() == 0
 
 
+def contaminated(spark, texts, items):
+    """(text, item): whether literally, of those that contaminate."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontam.matches(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]): r["literal"] for r in found.collect() if r["contaminated"]}
+
+
+def test_each_occurrence_is_judged_by_itself(spark):
+    other = ITEM.replace("Alice", "Zoe").replace("Bob", "Karl").replace("12", "45").replace("7", "9")
+    twice = "we saw 3 red birds in the old garden there and we saw 8 red birds in the old garden there"
+    # A word put in moves the offset a little, a paragraph put in moves it far.
+    texts = [f"First {ITEM} Then some words between. {other} And so on.", twice, ITEM.replace("apples.", "shiny apples."), ITEM.replace("How many", "x y z " * 20 + "how many")]
+    assert contaminated(spark, texts, [ITEM, twice]) == {(0, 0): True, (1, 1): True, (2, 0): True, (3, 0): True}
+
+
 def calls_frame(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, call_id string, turn long, tool string, arguments string, needs array<string>")
 
