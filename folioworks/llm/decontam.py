@@ -10,7 +10,14 @@ contaminated by an item if the matched windows are `SHARE` of the item's, and
 the slots are consistent, or the words match literally. That is asked of each
 occurrence, and one that passes is enough: of the windows at one offset between
 document and item, of those at offsets near each other (a copy with words put in
-or left out), and of all the pair's windows (a copy in scattered parts).
+or left out), and of all the pair's windows (a copy in scattered parts). However
+long the item, `RUN` windows of it in a row, at one offset, are enough too, if
+their slots are consistent or the words match literally.
+
+An item of fewer words than `WINDOW` is one window of its own length, and the
+documents' windows are taken at the lengths that such items have. An item without
+any window of `LITERAL` plain words (or all plain, if it has fewer) is searched
+literally: by its words in lower case, with marks that stand alone as words.
 
 All of it is Spark expressions. The benchmark's hashes are counted: they are
 sent to every executor while they are few; beyond that both sides are shuffled.
@@ -18,9 +25,9 @@ Windows are map-side filtered by the join before anything of the corpus moves.
 Decisions are by document, item and occurrence, from sets of distinct value
 pairs. A window that a document has n times and an item m times gives n * m rows.
 
-Defined cases: null or empty texts match nothing; texts shorter than a window
-have their whole as one; windows with fewer than `LITERAL` plain words are not
-used; repeated items count once, and so do repeated windows in a share; rows with a null id match
+Defined cases: null or empty texts match nothing, nor do items of marks alone;
+an item of one word matches every document with that word; windows with fewer
+than `LITERAL` plain words are left out of items that have others; repeated items count once, and so do repeated windows in a share; rows with a null id match
 nothing and stay; other columns pass through; empty tables give empty results.
 """
 
@@ -35,6 +42,7 @@ from folioworks.tables import stored
 WINDOW = 8
 LITERAL = 4
 SHARE = 0.5
+RUN = 6  # windows in a row: 13 words
 CONSISTENT = 0.8
 #: Up to so many window hashes of the benchmark are sent to every executor (about 40 MB).
 SEND_WINDOWS = 1_000_000
@@ -76,46 +84,80 @@ def template(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def hashes(keys: Column) -> Column:
-    """A hash of each window; of the whole, where that is shorter."""
-    last = F.greatest(F.size(keys) - WINDOW, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(keys, i + 1, F.lit(WINDOW))))
+def literals(words: Column) -> Column:
+    """The key of each word with its case and outer punctuation lost; marks alone are words."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(F.when(bare(w) == "", w).otherwise(bare(w)))))
+
 
+def hashes(keys: Column, wide: int = WINDOW) -> Column:
+    """A hash of each window of `wide` keys; none where there are fewer."""
+    count = F.size(keys) - wide + 1
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(keys, i, F.lit(wide))))).otherwise(F.array().cast("array<bigint>"))
 
-def windowed(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, at, hash of every window. Only these go through the explode, so that long texts stay linear."""
-    keyed = with_words(texts, key, text).select(key, F.filter(template(F.col("words")), lambda k: k != 0).alias("keys"))
-    listed = keyed.select(key, F.when(F.size("keys") > 0, hashes(F.col("keys"))).alias("hashes"))
-    # The outer form: for the inner one a filter on the array's size would be inferred and its expression repeated in it.
-    return listed.select(key, F.posexplode_outer("hashes").alias("at", "hash")).where("hash is not null")
+
+def windowed(texts: DataFrame, key: str, text: str, forms: list[tuple[bool, int]]) -> DataFrame:
+    """key, literal, wide, at, hash of every window of the given forms (literal, wide).
+
+    Only these go through the explode, so that long texts stay linear.
+    """
+    worded = with_words(texts, key, text)
+    keys = {False: F.filter(template(F.col("words")), lambda k: k != 0), True: literals(F.filter(F.col("words"), lambda w: w != ""))}
+    used = [k for k in keys if any(k == literal for literal, _ in forms)]
+    keyed = worded.select(key, *[keys[k].alias(f"keys_{k}") for k in used])
+    if len(forms) == 1:
+        # The outer form: for the inner one a filter on the array's size would be inferred and its expression repeated in it.
+        literal, wide = forms[0]
+        listed = keyed.select(key, F.lit(literal).alias("literal"), F.lit(wide).alias("wide"), hashes(F.col(f"keys_{literal}"), wide).alias("hashes"))
+    else:
+        form = lambda literal, wide: F.struct(F.lit(literal).alias("literal"), F.lit(wide).alias("wide"), hashes(F.col(f"keys_{literal}"), wide).alias("hashes"))
+        listed = keyed.select(key, F.explode_outer(F.array(*[form(*f) for f in forms])).alias("f")).select(key, "f.*")
+    return listed.select(key, "literal", "wide", F.posexplode_outer("hashes").alias("at", "hash")).where("hash is not null")
 
 
 def with_slots(texts: DataFrame, key: str, text: str, windows: DataFrame) -> DataFrame:
-    """Rows of `windows` (key, at, and others) with `slots`, array<struct<place,value>>: what stood where placeholders are.
+    """Rows of `windows` (key, at, wide, and others) with `slots`, array<struct<place,value>>: what stood where placeholders are.
 
     A text's windows come to it as one list, no longer than the text.
     """
     listed = windows.groupBy(key).agg(F.collect_list(F.struct(*[c for c in windows.columns if c != key])).alias("list"))
     keyed = with_words(texts, key, text).select(key, "words", template(F.col("words")).alias("keys"))
     both = keyed.select(key, F.filter(F.arrays_zip("words", "keys"), lambda z: z["keys"] != 0).alias("pairs")).join(listed, key)
-    placed = lambda at: F.transform(F.slice("pairs", at + 1, F.lit(WINDOW)), lambda z, i: F.struct(i.alias("place"), F.lower(bare(z["words"])).alias("value"), z["keys"].alias("k")))
-    slots = lambda at: F.transform(F.filter(placed(at), lambda z: z["k"] < 0), lambda z: F.struct(z["place"].alias("place"), z["value"].alias("value")))
-    out = both.select(key, F.transform("list", lambda w: F.struct(w.alias("window"), slots(w["at"]).alias("slots"))).alias("list"))
+    placed = lambda at, wide: F.transform(F.slice("pairs", at + 1, wide), lambda z, i: F.struct(i.alias("place"), F.lower(bare(z["words"])).alias("value"), z["keys"].alias("k")))
+    slots = lambda at, wide: F.transform(F.filter(placed(at, wide), lambda z: z["k"] < 0), lambda z: F.struct(z["place"].alias("place"), z["value"].alias("value")))
+    out = both.select(key, F.transform("list", lambda w: F.struct(w.alias("window"), slots(w["at"], w["wide"]).alias("slots"))).alias("list"))
     return out.select(key, F.explode_outer("list").alias("x")).select(key, "x.window.*", "x.slots")
 
 
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """key, hash, at, slots, windows: the windows of each item with enough plain words, and how many differ."""
+    """key, literal, wide, hash, at, no, slots, windows: the windows of each item that are used, numbered, and how many differ."""
     once = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(key).agg(F.min(text).alias(text))
-    rows = with_slots(once, key, text, windowed(once, key, text))
+    once = stored(once, "items")
     lengths = with_words(once, key, text).select(key, F.size(F.filter(template(F.col("words")), lambda k: k != 0)).alias("length"))
-    rows = rows.join(lengths, key)
-    used = rows.where(F.least("length", F.lit(WINDOW)) - F.size("slots") >= F.least(F.lit(LITERAL), "length")).drop("length")
+    short = [r["length"] for r in lengths.where(F.col("length").between(1, WINDOW - 1)).select("length").distinct().collect()]
+    rows = windowed(once, key, text, [(False, wide) for wide in (*short, WINDOW)]).join(lengths, key)
+    rows = with_slots(once, key, text, rows.where(F.col("wide") == F.least("length", F.lit(WINDOW))))
+    used = rows.where(F.col("wide") - F.size("slots") >= F.least(F.lit(LITERAL), "wide")).drop("length")
+    used = stored(used, "item-windows")
+    left = once.join(used.select(key).distinct(), key, "left_anti")
+    # Marks before and after the words of an item are none of it.
+    marks = lambda w: F.btrim(w, F.lit(PUNCTUATION + " \t\r\n")) == ""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    ends = left.select(key, words.alias("words")).withColumn("said", F.filter(F.transform("words", lambda w, i: F.when(~marks(w), i)), lambda i: i.isNotNull())).where(F.size("said") > 0)
+    plain = stored(ends.select(key, F.array_join(F.slice("words", F.array_min("said") + 1, F.array_max("said") - F.array_min("said") + 1), " ").alias(text), (F.array_max("said") - F.array_min("said") + 1).alias("length")), "items")
+    wides = [r["wide"] for r in plain.select(F.least("length", F.lit(WINDOW)).alias("wide")).distinct().collect()]
+    if wides:
+        found = windowed(plain.select(key, text), key, text, [(True, wide) for wide in wides]).join(plain.select(key, "length"), key)
+        found = found.where(F.col("wide") == F.least("length", F.lit(WINDOW))).withColumn("slots", F.array().cast(used.schema["slots"].dataType))
+        used = used.unionByName(found.drop("length"))
+    used = used.withColumn("no", F.row_number().over(Window.partitionBy(key).orderBy("at")))
     return used.join(used.groupBy(key).agg(F.countDistinct("hash").alias("windows")), key)
 
 
 def occurrences(met: DataFrame) -> DataFrame:
-    """Each row of `met` (doc, item, at, item_at) once for every occurrence that it belongs to: kind, id."""
+    """Each row of `met` once for every occurrence that it belongs to: kind, id.
+
+    Its columns: doc, item, at, item_at, no, and slots, item_slots, which are null or empty for windows without.
+    """
     pair = Window.partitionBy("doc", "item")
     rows = met.withColumn("offset", F.col("at") - F.col("item_at"))
     rows = rows.withColumn("gap", F.col("offset") - F.lag("offset").over(pair.orderBy("offset")))
@@ -123,8 +165,13 @@ def occurrences(met: DataFrame) -> DataFrame:
     # Of several windows of the item that one of the document equals, a copy has the one whose offset most others share.
     rows = rows.withColumn("support", F.count("*").over(Window.partitionBy("doc", "item", "offset")))
     rows = rows.withColumn("choice", F.row_number().over(Window.partitionBy("doc", "item", "near", "at").orderBy(F.desc("support"), "offset")))
-    of = lambda kind, number: F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("id"))
-    kinds = F.array(of("pair", F.lit(0)), of("offset", F.col("offset")), F.when(F.col("choice") == 1, of("near", F.col("near"))))
+    # Runs of windows, and those of windows that match literally: their numbers grow with their place.
+    same = F.coalesce(F.col("slots") == F.col("item_slots"), F.lit(True))
+    rows = rows.dropDuplicates(["doc", "item", "at", "item_at", "slots"]).withColumn("same", same)
+    place = lambda *more: F.col("no") - F.dense_rank().over(Window.partitionBy("doc", "item", "offset", *more).orderBy("no"))
+    rows = rows.withColumn("run", place()).withColumn("true_run", F.when(F.col("same"), place("same")))
+    of = lambda kind, *number: F.struct(F.lit(kind).alias("kind"), F.xxhash64(*number).alias("id"))
+    kinds = F.array(of("pair", F.lit(0)), of("offset", F.col("offset")), F.when(F.col("choice") == 1, of("near", F.col("near"))), of("run", F.col("offset"), F.col("run")), F.when(F.col("same"), of("run", F.col("offset"), F.col("true_run"), F.lit("literal"))))
     return rows.select(*met.columns, F.explode(F.array_compact(kinds)).alias("o")).select(*met.columns, "o.*")
 
 
@@ -138,18 +185,19 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     known = item_windows(items.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{item_text}`").alias("body")), "item", "body")
     known = stored(known.withColumnsRenamed({"slots": "item_slots", "at": "item_at"}), "item-windows")
     few = known.count() <= SEND_WINDOWS
-    found = windowed(bodies, "doc", "body").join(F.broadcast(known) if few else known, "hash")
-    found = stored(found.select("doc", "item", "hash", "at", "item_at", "windows", "item_slots"), "windows-met")
+    forms = sorted((r["literal"], r["wide"]) for r in known.select("literal", "wide").distinct().collect()) or [(False, WINDOW)]
+    found = windowed(bodies, "doc", "body", forms).drop("literal", "wide").join(F.broadcast(known) if few else known, "hash")
+    found = stored(found.select("doc", "item", "hash", "at", "wide", "item_at", "no", "windows", "item_slots"), "windows-met")
 
     # What stands in the slots has to be read from the documents again, those that have any.
-    open_ = found.where(F.size("item_slots") > 0).select("doc", "at").distinct()
+    open_ = found.where(F.size("item_slots") > 0).select("doc", "at", "wide").distinct()
     ids = open_.select("doc").distinct()
     some = bodies.join(F.broadcast(ids) if ids.count() <= SEND_WINDOWS else ids, "doc", "left_semi")
-    filled = with_slots(some, "doc", "body", open_).dropDuplicates(["doc", "at", "slots"])
-    rows = stored(occurrences(found.join(filled, ["doc", "at"], "left")), "occurrences")
+    filled = with_slots(some, "doc", "body", open_).dropDuplicates(["doc", "at", "wide", "slots"])
+    rows = stored(occurrences(found.join(filled, ["doc", "at", "wide"], "left")), "occurrences")
 
     one_of = ["doc", "item", "kind", "id"]
-    counted = rows.groupBy(*one_of).agg(F.countDistinct("hash").alias("matched"), F.max("windows").alias("windows"))
+    counted = rows.groupBy(*one_of).agg(F.countDistinct("hash").alias("matched"), F.max("windows").alias("windows"), F.countDistinct("no").alias("length"))
     pairs = rows.where("slots is not null").select(*one_of, F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).select(*one_of, F.col("z.item_slots.value").alias("theirs"), F.col("z.slots.value").alias("ours")).distinct()
     # A value is consistent if it stands for one value, and that for no other.
     one = pairs.groupBy(*one_of, "theirs").agg(F.count("*").alias("stands_for"), F.min("ours").alias("ours"))
@@ -161,10 +209,10 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     )
     n = F.coalesce("slots", F.lit(0))
     judged = counted.join(fits, one_of, "left").select(
-        "doc", "item", "matched", "windows", (F.col("matched") / F.col("windows")).alias("share"), n.alias("slots"),
+        "doc", "item", ((F.col("kind") == "run") & (F.col("length") >= RUN)).alias("long"), "matched", "windows", (F.col("matched") / F.col("windows")).alias("share"), n.alias("slots"),
         F.when(n == 0, 1.0).otherwise(F.coalesce("fitting", F.lit(0)) / n).alias("consistent"), (n == F.coalesce("same", F.lit(0))).alias("literal"),
     )
-    judged = judged.withColumn("contaminated", (F.col("share") >= SHARE) & (F.col("literal") | (F.col("consistent") >= CONSISTENT)))
+    judged = judged.withColumn("contaminated", (F.col("long") | (F.col("share") >= SHARE)) & (F.col("literal") | (F.col("consistent") >= CONSISTENT)))
     best = F.max(F.struct("contaminated", (F.col("contaminated") & F.col("literal")).alias("sure"), "share", "consistent", "matched", "windows", "slots", "literal"))
     out = judged.groupBy("doc", "item").agg(best.alias("b"))
     return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), *[f"b.{c}" for c in ("matched", "windows", "share", "slots", "consistent", "literal", "contaminated")])

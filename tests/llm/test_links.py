@@ -38,6 +38,16 @@ def test_each_occurrence_is_judged_by_itself(spark):
     assert contaminated(spark, texts, [ITEM, twice]) == {(0, 0): True, (1, 1): True, (2, 0): True, (3, 0): True}
 
 
+def test_short_long_and_literal_items(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    long = " ".join(words)
+    # Short; long; without a window of four plain words; marks at the ends are none of an item, those inside are.
+    items = ["how far is it home?", long, "Anna Berta Carla Dora Emma Frida Gerda Hanna Ilse", "12 + 45 = ?", "...", "How old is Anna"]
+    texts = [f"They asked: {items[0]} Nobody knew the answer to it then.", "before that " + " ".join(words[50:80]) + " and after", "before that " + " ".join(words[50:60]) + " and after",
+             f"the list of {items[2]} is read out here", "so 12 + 45 = 57 is what we all got", "pages 12, 45 and 60 of the book are torn out ...", "he asked how old is Anna and the others did not know", "he asked how old is Berta and the others did not know"]
+    assert contaminated(spark, texts, items) == {(0, 0): True, (1, 1): True, (3, 2): True, (4, 3): True, (6, 5): True}
+
+
 def calls_frame(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, call_id string, turn long, tool string, arguments string, needs array<string>")
 
