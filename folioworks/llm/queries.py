@@ -40,7 +40,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.calls_of_turns(table(spark, sf_dir, "conversations"))
-    linked = tool_calls.link_calls(calls, results, tool_calls.reply_parameters(spark))
+    linked = tool_calls.link_all(calls, results, tool_calls.reply_parameters(spark))
     return linked.select("conv_id", "call_id", "turn", "result_turn", "results", "repeated", "level", "place", F.array_join("faults", "; ").alias("faults"), "record")
 
 

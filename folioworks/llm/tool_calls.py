@@ -16,7 +16,8 @@ folder.
 Defined cases: a null conversation or call id makes a call that links with
 nothing and is invalid; arguments that are null or no JSON object are invalid
 and written as null; repeated calls of an id are all kept and marked; results
-that repeat are counted, the earliest is linked; empty tables give empty tables.
+that repeat are counted, the earliest is linked; results whose conversation or
+call id is null or unknown are rows of their own (`link_all`); empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -130,6 +131,28 @@ def link_calls(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> D
     return out.withColumn("record", record_of(fields))
 
 
+def lost_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Results that no call asked for, each with a fault, in the columns of `link_calls`; those of a call are null."""
+    key = ["conv_id", "call_id"]
+    asked = calls.where("conv_id is not null and call_id is not null").select(*key).distinct()
+    lost = results.join(asked, key, "left_anti")
+    alone = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    fields = {"arguments": F.lit(None).cast("string"), "id": F.to_json(F.struct("call_id")), "name": F.lit(None).cast("string"), "result": F.col("content")}
+    none = lambda kind: F.lit(None).cast(kind)
+    return lost.select(
+        *key, none("long").alias("turn"), none("string").alias("tool"), none("string").alias("arguments"), none("array<string>").alias("needs"),
+        F.lit(False).alias("repeated"), F.col("turn").alias("result_turn"), "content", F.lit(1).cast("long").alias("results"),
+        none("int").alias("level"), none("int").alias("place"),
+        F.array(F.when(alone, F.lit("result: no id")).otherwise(F.lit("result: no call"))).alias("faults"),
+        record_of(fields).alias("record"),
+    )
+
+
+def link_all(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFrame:
+    """One row for each call, as of `link_calls`, and one for each result without a call."""
+    return link_calls(calls, results, parameters).unionByName(lost_results(calls, results))
+
+
 def ranked(places: DataFrame) -> DataFrame:
     """Numbers the calls of each conversation by (level, turn, id): a window over the calls of one conversation."""
     from pyspark.sql.window import Window
@@ -162,8 +185,9 @@ def calls_in(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", F.try_variant_get("v", "$.call", "string").alias("call_id"), "turn", F.try_variant_get("v", "$.tool", "string").alias("tool"),
         F.to_json(F.try_variant_get("v", "$.arguments", "variant")).alias("arguments"), F.try_variant_get("v", "$.needs", "array<string>").alias("needs"),
     ).where("call_id is not null")
-    results = parsed.where("role <> 'assistant'").select("conv_id", F.try_variant_get("v", "$.result", "string").alias("call_id"), "turn", F.try_variant_get("v", "$.content", "string").alias("content"))
-    return calls, results.where("call_id is not null")
+    # A result may name no call (JSON null): it is lost, but a row.
+    results = parsed.where((F.col("role") != "assistant") & F.try_variant_get("v", "$.result", "variant").isNotNull()).select("conv_id", F.try_variant_get("v", "$.result", "string").alias("call_id"), "turn", F.try_variant_get("v", "$.content", "string").alias("content"))
+    return calls, results
 
 
 def calls_of_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

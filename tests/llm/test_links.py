@@ -80,6 +80,24 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert tool_calls.link_calls(calls.limit(0), results.limit(0), parameters).count() == 0
 
 
+def test_results_without_a_call_are_rows(spark):
+    messages = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 3, "assistant", "cut off"), (2, 4, "assistant", None), (None, 1, "assistant", "whose")], "conv_id long, turn long, role string, text string")
+    calls, results = tool_calls.calls_of_turns(messages)
+    linked = tool_calls.link_all(calls, results, tool_calls.reply_parameters(spark))
+    out = {(r["conv_id"], r["call_id"]): (r["turn"], r["result_turn"], r["content"], r["faults"]) for r in linked.collect()}
+    assert out == {
+        (1, "call-0"): (0, 1, "hello", []),
+        (2, "call-2"): (None, 3, "cut off", ["result: no call"]),
+        (2, "call-3"): (None, 4, None, ["result: no call"]),
+        (None, "call-0"): (None, 1, "whose", ["result: no id"]),
+    }
+
+
+def test_results_that_name_no_call(spark):
+    messages = spark.createDataFrame([(1, 0, "tool", '{"result": null, "content": "x"}\n{"content": "no \\"result\\""}')], "conv_id long, turn long, role string, text string")
+    assert [(r["call_id"], r["content"]) for r in tool_calls.calls_in(messages)[1].collect()] == [(None, "x")]
+
+
 def test_calls_in_messages(spark):
     messages = spark.createDataFrame([(1, 0, "assistant", 'ok\n{"call": "k", "tool": "find", "arguments": {"q": "v"}, "needs": []}'), (1, 1, "user", '{"result": "k", "content": "done"}'), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
     calls, results = tool_calls.calls_in(messages)
