@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def unused_name(wanted: str, columns: list[str]) -> str:
+    """`wanted`, with as many underscores before it as no column of a table has; names are compared without case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
