@@ -1,16 +1,31 @@
-"""Line dedup by an exact set-similarity join.
-
-A line's tokens are its five-word shingles (the whole line, if shorter), as
-64-bit keys whose high bits tell how rare the shingle is, by the count of its
-first word in the corpus. Sorted keys are therefore in order of rarity. The first n - ceil(t * n) + 1 of them are
-the prefix: similar lines share a key there. Length and position of a shared
-key bound the overlap; what passes is verified on whole sets of keys. A line
-goes if any earlier line (by doc_id, then line number) is similar to it.
-
-Lines of equal words are settled by a hash aggregate; one stands for them. Of
-the others each is held first against the earliest line of every key it shares,
-which settles most of a large group in a pass that grows with the group, not
-with its square; only lines still standing meet all earlier lines of their keys.
+"""Line dedup by an exact set-similarity join on the words of lines.
+
+A line's tokens are its distinct words in lower case, as 64-bit keys whose high
+bits tell how frequent the word is in the corpus: sorted keys are in order of
+rarity. Lines of equal sets are settled by a hash aggregate; one stands for them.
+
+Sets of n tokens that are similar miss at most n - ceil(t * n) of their own
+tokens, and differ in at most h = (a + b)(1 - t) / (1 + t) tokens in all. So
+
+* if they share a rare token, the first shared one is in both prefixes of
+  n - ceil(t * n) + 1 tokens: each rare token there is a signature;
+* if not, all rare tokens are differences, and of the rest, in order of rarity,
+  some `RUN` shared tokens stand next to each other in both sets before the
+  differences are used up: each such run in that longer prefix is a signature.
+  A run keeps words of a small vocabulary as selective as rare ones, where single
+  words would make candidates grow with the square of the corpus.
+
+Lines that share a signature are candidates if their sizes and the places of the
+signature leave enough overlap (length and positional filter), and 64 parity bits
+of the sets differ in no more; what passes is verified on whole sets. A line goes if any earlier line (by doc_id, then line
+number) is similar to it.
+
+The lines of a signature that few have all meet. Of those that many have each is
+held first against the earliest, which settles most of a large group of copies in
+a pass that grows with the group, not with its square. Those still standing meet
+earlier lines with which they also share a segment: tokens are dealt by hash to
+more segments than sets can have differences, so similar sets agree in one whole
+segment at least, while lines that only share a passage do not.
 
 All of it is Spark expressions. Rarity comes from counts of all words in a fixed
 number of hash buckets; it orders tokens and never changes the result.
@@ -18,7 +33,8 @@ number of hash buckets; it orders tokens and never changes the result.
 Defined cases: blank lines stay and match nothing; rows whose text or id is null
 pass unchanged; rows with the same id share decisions; ties in order can't occur
 between lines of different ids; other columns, also ones named like a working
-column, pass through; an empty table gives an empty table.
+column, pass through; very long lines have as many signatures as a share of
+their words; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,149 +43,206 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from folioworks.tables import stored
+from folioworks.tables import stored, unused_name
 
-SHINGLE = 5
-SIMILAR = 0.75
-BUCKETS = 8192
+#: Of words. One changed word in a line of 40 leaves 0.95 of its words.
+SIMILAR = 0.9
+BUCKET_BITS = 18
+CHUNK_BITS = 10
 HASH_BITS = 57
 MASK = (1 << HASH_BITS) - 1
+#: Levels of frequency in a doubling; the highest level stands for 2^48 occurrences.
+STEPS = 1.3
+#: A word of a bucket with no more occurrences is rare.
+RARE = 64
+RUN = 3
+#: Signatures with more lines are refined by segments.
+MANY = 64
 #: Up to so many ids are sent to every executor (16 MB); more are joined by a shuffle.
 SEND_IDS = 2_000_000
+SPACES = "\t\x0b\f\r"
 
 
-def words_of(line: Column) -> Column:
-    """Lower-case words; white space other than single spaces is squeezed first, where there is any."""
-    low = F.lower(line)
-    tidy = F.trim(F.regexp_replace(low, r"[ \t\x0B\f\r\n]+", " "))
-    return F.split(F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), tidy).otherwise(low), " ")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc, no, line (in lower case) of a table with doc and text."""
+    lines = F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("no", "line")
+    return docs.where("doc is not null and text is not null").select("doc", lines)
 
 
-def rarity(docs: DataFrame, text: str, key: str) -> Column:
-    """Array of log2 counts of all words of all lines, by hash bucket."""
-    words = with_words(lines_of(docs, text, key)).select(F.explode_outer("words").alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).count().collect()
-    logs = ["0"] * BUCKETS
-    for r in counts:
-        logs[r["bucket"]] = str(int(math.log2(r["count"] + 1)))
-    return F.split(F.lit(",".join(logs)), ",").cast("array<int>")
+def words_of(line: Column) -> Column:
+    """Its words; white space other than single spaces is squeezed first, where there is any."""
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for s in SPACES:
+        odd = odd | F.contains(line, F.lit(s))
+    return F.split(F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line), " ")
 
 
-def with_words(lines: DataFrame) -> DataFrame:
-    """Replaces `line` by its words; blank lines are left out."""
-    return lines.select(*[c for c in lines.columns if c != "line"], words_of(F.col("line")).alias("words")).where(F.element_at("words", 1) != "")
+def bucket_of(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - BUCKET_BITS).cast("int")
 
 
-def with_tokens(lines: DataFrame, logs: Column) -> DataFrame:
-    """Adds `tokens`, sorted and distinct.
+def rarity(docs: DataFrame) -> Column:
+    """array<int>: the level of frequency of each hash bucket of words, from all words of all lines.
 
-    A token is a hash of five words; its high bits tell how frequent the first of them is.
+    What comes to the driver are as many digits as there are buckets.
     """
-    worded = with_words(lines)
+    words = lines_of(docs).select(F.explode(F.split("line", " ")).alias("word"))
+    counts = words.groupBy(bucket_of(F.xxhash64("word")).alias("bucket")).agg(F.count("*").alias("n"))
+    every = docs.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    counts = counts.union(every).groupBy("bucket").agg(F.floor(F.log2(F.sum("n") + 1) * STEPS).cast("int").alias("level"))
+    listed = F.sort_array(F.collect_list(F.struct("bucket", "level")))
+    parts = counts.groupBy(F.shiftright("bucket", CHUNK_BITS).alias("chunk")).agg(F.array_join(F.transform(listed, lambda x: x["level"]), ",").alias("levels"))
+    levels = ",".join(r["levels"] for r in parts.orderBy("chunk").collect())
+    return F.split(F.lit(levels), ",").cast("array<int>")
+
+
+def with_tokens(lines: DataFrame, levels: Column) -> DataFrame:
+    """Replaces `line` by `tokens`, sorted and distinct, and `n`, their number; blank lines are left out."""
     kept = [c for c in lines.columns if c != "line"]
-    rare = lambda w: F.shiftleft(F.element_at(logs, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int") + 1).cast("long"), HASH_BITS)
-    word = lambda i: F.get(F.col("words"), i)
-    token = lambda i, n: rare(word(i)).bitwiseOR(F.xxhash64(*[word(i + k) for k in range(n)]).bitwiseAND(F.lit(MASK)))
-    n = F.size("words")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: token(i, SHINGLE))
-    short = F.array(rare(word(F.lit(0))).bitwiseOR(F.xxhash64("words").bitwiseAND(F.lit(MASK))))
-    tokens = F.sort_array(F.array_distinct(F.when(n < SHINGLE, short).otherwise(runs)))
-    return worded.select(*kept, tokens.alias("tokens"))
+    words = lines.where(F.col("line").rlike(r"\S")).select(*kept, words_of(F.col("line")).alias("words"))
+    key = lambda h: F.shiftleft(F.get(levels, bucket_of(h)).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(MASK)))
+    tokens = F.transform(F.transform("words", lambda w: F.xxhash64(w)), key)
+    sets = words.select(*kept, F.sort_array(F.array_distinct(tokens)).alias("tokens"))
+    return sets.select(*kept, "tokens", F.size("tokens").alias("n"))
+
+
+def most_apart(a: Column, b: Column, similar: float) -> Column:
+    """In how many tokens similar sets of these sizes differ at most; a hair is added for rounding."""
+    return F.floor((a + b) * ((1 - similar) / (1 + similar)) + 1e-9).cast("int")
+
+
+def largest_partner(n: Column, similar: float) -> Column:
+    return F.floor(n / similar + 1e-9).cast("int")
 
 
-def lines_of(docs: DataFrame, text: str, key: str) -> DataFrame:
-    known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return known.select(F.col(key).alias("doc"), F.posexplode_outer(F.split(text, "\n")).alias("no", "line"))
+def run_length(similar: float) -> int:
+    """Tokens in a run: sets have at least t / (1 - t) common tokens for each difference."""
+    return max(1, min(RUN, math.floor((similar / (1 - similar) + 1 + 1e-9) / 2))) if similar < 1 else RUN
 
 
-def least_overlap(a: Column, b: Column, similar: float) -> Column:
-    """Common tokens that sets of these sizes need; a hair is taken off for rounding."""
-    return F.ceil((a + b) * (similar / (1 + similar)) - 1e-9)
+def with_signatures(sets: DataFrame, similar: float) -> DataFrame:
+    """Adds sigs: array<struct<sig,at>>, of which similar lines share one, with its place in the order of rarity."""
+    run, n, kept = run_length(similar), F.col("n"), sets.columns
+    rare = lambda x: F.shiftrightunsigned(x, HASH_BITS) <= int(STEPS * math.log2(RARE + 1))
+    apart = most_apart(n, largest_partner(n, similar), similar)
+    sized = sets.select("*", (n - F.ceil(n * similar - 1e-9)).cast("int").alias("own"), apart.alias("apart"))
+    sized = sized.select("*", F.when(F.col("apart") > 0, F.size(F.filter(F.slice("tokens", F.lit(1), F.col("own") + 1), rare))).otherwise(0).alias("rare"))
+    runs = F.greatest(F.col("apart") - F.col("rare"), F.lit(0)) * (run - 1) + F.col("own") - F.col("rare") + 1
+    runs = F.greatest(F.least(runs, n - F.col("rare") - (run - 1)), F.lit(0))
+    sized = sized.select("*", (F.col("rare") + F.when((F.col("apart") > 0) & (F.col("rare") <= F.col("own")), runs).otherwise(0)).alias("count"))
+    sig = lambda i: F.when(i < F.col("rare"), F.get("tokens", i)).otherwise(F.xxhash64(*[F.get("tokens", i + k) for k in range(run)]))
+    listed = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.struct(sig(i).alias("sig"), i.alias("at")))
+    none = F.array().cast("array<struct<sig:bigint,at:int>>")
+    return sized.select(*kept, F.when(F.col("count") > 0, listed).otherwise(none).alias("sigs"))
 
 
-def may_match(a: str, b: str, similar: float) -> Column:
-    """Length and position filter of two rows that share a token; n and at are those of rows `a` and `b`."""
-    na, nb, ia, ib = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
-    return (F.least(na, nb) >= F.greatest(na, nb) * similar - 1e-9) & (F.least(na - ia, nb - ib) >= least_overlap(na, nb, similar))
+def parity(tokens: Column) -> Column:
+    """64 bits, each telling whether an odd number of tokens hash to it: sets differ in at least as many tokens as these in bits."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def filtered_by_ids(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` with an id in `ids` (column doc, distinct); sent to the executors while their number is small enough."""
-    ids = ids.select(F.col("doc").alias(key))
-    return docs.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, key, "left_semi")
+def may_match(similar: float) -> Column:
+    """Length, positional and parity filter of two rows `a`, `b` that share a signature: line, n, at, bits."""
+    na, nb, ia, ib = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
+    apart = F.greatest(F.abs(ia - ib) + F.abs((na - ia) - (nb - ib)), F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))))
+    return (F.col("a.line") < F.col("b.line")) & (apart <= most_apart(na, nb, similar))
 
 
-def without(lines: DataFrame, gone: DataFrame) -> DataFrame:
-    """`lines` but for those in `gone` (doc, no); these are sent to the executors while they are few enough."""
-    return lines.join(F.broadcast(gone) if gone.count() <= SEND_IDS else gone, ["doc", "no"], "left_anti")
+def filtered_by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` with an id in `ids` (doc, distinct, stored); sent to the executors while their number is small enough."""
+    return docs.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, "doc", "left_semi")
 
 
-def verified(docs: DataFrame, text: str, key: str, pairs: DataFrame, logs: Column, similar: float) -> DataFrame:
-    """Pairs (a, b: structs doc, no) of which the lines' Jaccard similarity is at least `similar`."""
-    ends = pairs.select(F.col("a").alias("line_id")).union(pairs.select(F.col("b").alias("line_id"))).select("line_id.doc", "line_id.no").distinct()
-    near = filtered_by_ids(docs, key, ends.select("doc").distinct())
-    sets = with_tokens(lines_of(near, text, key).join(ends, ["doc", "no"], "left_semi"), logs)
-    sets = sets.dropDuplicates(["doc", "no"]).select(F.struct("doc", "no").alias("line_id"), "tokens")
-    both = pairs.join(sets.select(F.col("line_id").alias("a"), F.col("tokens").alias("of_a")), "a")
-    both = both.join(sets.select(F.col("line_id").alias("b"), F.col("tokens").alias("of_b")), "b")
+def tokens_of(docs: DataFrame, lines: DataFrame, levels: Column) -> DataFrame:
+    """line (struct doc, no), tokens of the given lines (column line), read from the texts again."""
+    lines = stored(lines.select("line.doc", "line.no").distinct(), "lines-read")
+    ids = stored(lines.select("doc").distinct(), "lines-read")
+    near = lines_of(filtered_by_ids(docs, ids)).join(lines, ["doc", "no"], "left_semi")
+    sets = with_tokens(near, levels).dropDuplicates(["doc", "no"])
+    return stored(sets.select(F.struct("doc", "no").alias("line"), "tokens"), "line-sets")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """b (struct doc, no): those of the pairs (a, b) whose Jaccard similarity is at least `similar`."""
+    both = pairs.join(sets.select(F.col("line").alias("a"), F.col("tokens").alias("of_a")), "a")
+    both = both.join(sets.select(F.col("line").alias("b"), F.col("tokens").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(common >= (F.size("of_a") + F.size("of_b") - common) * similar - 1e-9).select("a", "b")
+    return both.where(common >= (F.size("of_a") + F.size("of_b") - common) * similar - 1e-9).select("b").distinct()
+
+
+def with_segments(rows: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """`rows` (with line), once for each segment of their sets: `segment`.
+
+    Bands of sizes grow with 1 / t, so that the sizes of two similar sets lie in the same or in neighbouring bands; a set
+    is cut for its own and for the next. Of one segment more than sets of a band can have differences, one is equal.
+    """
+    band = F.floor(F.log(F.size("tokens").cast("double")) / math.log(1 / similar) + 1e-9).cast("int")
+    most = lambda b: F.ceil(F.pow(F.lit(1 / similar), b + 1)).cast("int")
+    banded = sets.select("line", "tokens", F.explode(F.array(band, band + 1)).alias("band"))
+    banded = banded.select("*", (most_apart(most(F.col("band")), most(F.col("band")), similar) + 1).alias("count"))
+    dealt = lambda i: F.filter("tokens", lambda x: F.pmod(x, F.col("count").cast("long")) == i)
+    cut = banded.select("line", "band", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.xxhash64(dealt(i)))).alias("no", "hash"))
+    return rows.join(cut.select("line", F.xxhash64("band", "no", "hash").alias("segment")), "line")
 
 
 def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """(doc, no): the lines that an earlier line is similar to, each once."""
-    docs = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    logs = rarity(docs, text, key)
-
-    # Lines of the same words: all but the earliest go. The aggregate combines before it shuffles; the join back is one
-    # that adaptive execution splits where a line is very frequent.
-    worded = with_words(lines_of(docs, text, key)).select("doc", "no", F.xxhash64("words").alias("whole"))
-    first = worded.groupBy("whole").agg(F.min("doc").alias("doc"), F.count("*").alias("lines")).where("lines > 1").select("whole", F.col("doc").alias("first_doc"))
-    again = worded.join(first, "whole")
-    place = again.where("doc = first_doc").groupBy("whole").agg(F.min("no").alias("first_no"))
-    copies = stored(again.join(place, "whole").where("doc <> first_doc or no <> first_no").select("doc", "no"), "line-copies")
-
-    # The lines that stand for the rest, a row for each token of their prefixes.
-    lines = without(lines_of(docs, text, key), copies)
-    tokens = with_tokens(lines, logs)
-    n = F.size("tokens")
-    prefix = (n - F.ceil(n * similar - 1e-9) + 1).cast("int")
-    sized = tokens.select("doc", F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(n.cast("long")).alias("no_n"), F.slice("tokens", F.lit(1), prefix).alias("prefix"))
-    # The outer form: for the inner one a filter on the array's size would be inferred and its expression repeated in it.
-    rows = sized.select("doc", "no_n", F.posexplode_outer("prefix").alias("at", "token"))
-    order = Window.partitionBy("token").orderBy("doc", "no_n")
-    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
-    grouped = rows.select(
-        "*", *[F.first(c).over(sofar).alias(f"first_{c}") for c in ("doc", "no_n", "at")], F.lead("doc").over(order).alias("next"),
-    ).where("next is not null or doc <> first_doc or no_n <> first_no_n")
-    one = lambda x: F.struct(F.col(f"{x}doc").alias("doc"), F.shiftright(f"{x}no_n", 32).cast("int").alias("no"), F.col(f"{x}no_n").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), F.col(f"{x}at").alias("at"))
-    shared = stored(grouped.select("token", one("first_").alias("a"), one("").alias("b")), "line-tokens")
-
-    ids = lambda side: F.struct(f"{side}.doc", f"{side}.no")
-    later = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.no") < F.col("b.no")))
-    to_first = shared.where(later & may_match("a", "b", similar)).select(ids("a").alias("a"), ids("b").alias("b")).distinct()
-    to_first = stored(to_first, "line-firsts")
-    gone = stored(verified(docs, text, key, to_first, logs, similar).select("b").distinct(), "line-gone")
-
-    # Lines that no earliest line settled meet every earlier line of their tokens.
-    standing = shared.where(later).join(gone.select(F.col("b").alias("settled")), ids("b") == F.col("settled"), "left_anti")
-    everyone = shared.select("token", F.col("b").alias("a"))
-    pairs = everyone.join(standing.select("token", "b"), "token").where(later & may_match("a", "b", similar))
-    pairs = pairs.select(ids("a").alias("a"), ids("b").alias("b")).distinct().join(to_first, ["a", "b"], "left_anti")
-    rest = verified(docs, text, key, stored(pairs, "line-pairs"), logs, similar).select("b").distinct()
+    docs = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    levels = rarity(docs)
+    sets = with_signatures(with_tokens(lines_of(docs), levels), similar)
+    prints = sets.select("doc", "no", "n", F.xxhash64("tokens").alias("one"), F.xxhash64(F.lit(1), "tokens").alias("two"), parity(F.col("tokens")).alias("bits"), "sigs")
+    prints = stored(prints, "line-prints")
+
+    # Lines of the same words: all but the earliest go. The aggregate combines before it shuffles; what it finds is sent to
+    # the lines while it is small, else joined in a way that adaptive execution splits where a line is very frequent.
+    same = ["one", "two", "n"]
+    first = prints.groupBy(*same).agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("lines")).where("lines > 1").select(*same, "first")
+    first = stored(first, "line-again")
+    met = prints.select("doc", "no", *same).join(F.broadcast(first) if first.count() <= SEND_IDS else first, same)
+    copies = stored(met.where(F.struct("doc", "no") != F.col("first")).select("doc", "no"), "line-copies")
+    alone = prints.where(F.size("sigs") > 0).join(F.broadcast(copies) if copies.count() <= SEND_IDS else copies, ["doc", "no"], "left_anti")
+
+    # The lines that stand for the rest, by the signatures that more than one of them has.
+    rows = alone.select(F.struct("doc", "no").alias("line"), "n", "bits", F.explode("sigs").alias("s"))
+    counted = rows.groupBy("s.sig").agg(F.count("*").alias("lines")).where("lines > 1")
+    rows = rows.select("s.sig", F.struct("line", "n", "s.at", "bits").alias("row"))
+    shared = stored(rows.join(counted, "sig"), "line-signatures")
+    few, many = shared.where(F.col("lines") <= MANY), shared.where(F.col("lines") > MANY)
+    firsts = stored(many.groupBy("sig").agg(F.min("row").alias("a")), "line-firsts")
+
+    # Few lines meet all earlier ones; of many, each meets the earliest.
+    pairs = meeting(few, few, ["sig"], similar).union(meeting(firsts.withColumnRenamed("a", "row"), many, ["sig"], similar))
+    pairs = stored(pairs.distinct(), "line-pairs")
+    gone = stored(verified(tokens_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("line")), levels), pairs, similar), "line-gone")
+
+    # Those of many that are still standing meet the earlier ones that they share a segment with.
+    standing = many.join(gone.select(F.col("b").alias("line")), F.col("row.line") == F.col("line"), "left_anti")
+    standing = stored(standing.join(firsts, "sig").where(F.col("row.line") != F.col("a.line")).select("sig", "row"), "line-standing")
+    crowd = stored(many.join(standing.select("sig").distinct(), "sig", "left_semi").select("sig", "row", F.col("row.line").alias("line")), "line-crowd")
+    sets = tokens_of(docs, crowd, levels)
+    parts = stored(with_segments(crowd, sets, similar), "line-segments")
+    open_ = parts.join(standing.select("sig", F.col("row.line").alias("line")), ["sig", "line"], "left_semi")
+    pairs = stored(meeting(parts, open_, ["sig", "segment"], similar).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    rest = verified(sets, pairs, similar)
     return copies.union(gone.select("b.doc", "b.no")).union(rest.select("b.doc", "b.no")).distinct()
 
 
+def meeting(everyone: DataFrame, later: DataFrame, by: list[str], similar: float) -> DataFrame:
+    """a, b: each line of `later` with each earlier one of the same signature that passes the filters."""
+    a, b = everyone.select(*by, F.col("row").alias("a")), later.select(*by, F.col("row").alias("b"))
+    return a.join(b, by).where(may_match(similar)).select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
+
+
 def drop_lines(docs: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """`docs` without the given lines (doc, no); columns as they were."""
-    gone = lines.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("no").alias("__gone"))
+    doc, gone = unused_name("doc", docs.columns), unused_name("gone", docs.columns)
+    listed = lines.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("no").alias(gone))
     parts = F.split(f"`{text}`", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    out = docs.join(gone, F.col(f"`{key}`") == F.col("__doc"), "left")
-    return out.select(*[F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    out = docs.join(listed, F.col(f"`{key}`") == F.col(doc), "left")
+    return out.select(*[F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:

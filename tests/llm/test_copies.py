@@ -89,31 +89,61 @@ def test_one_of_each_keeps_columns(spark):
 
 def line_sets(text):
     for no, line in enumerate((text or "").split("\n")):
-        w = re.sub("[\t\x0b\f\r]", " ", line.lower()).split(" ")
-        w = [x for x in w if x]
+        w = [x for x in re.sub("[\t\x0b\f\r]", " ", line.lower()).split(" ") if x]
         if w:
-            yield no, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+            yield no, frozenset(w)
 
 
-def expected_lines(texts):
+def expected_lines(texts, similar=line_dedup.SIMILAR):
     seen, out = [], defaultdict(set)
     for doc, text in enumerate(texts):
         for no, s in line_sets(text):
-            if any(len(s & t) >= 0.75 * len(s | t) - 1e-9 for t in seen):
+            if any(len(s & t) >= similar * len(s | t) - 1e-9 for t in seen):
                 out[doc].add(no)
             seen.append(s)
     return {d: sorted(v) for d, v in out.items()}
 
 
-def test_lines_equal_all_pairs(spark):
-    rng = random.Random(9)
-    pool = near_texts(11, 150, (1, 30)) + ["Same line.", "same  LINE.", "", "  ", "a b c d e", "a b c d e f"]
-    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(80)] + [None, "", "\n\n"]
+def removed_lines(spark, texts, similar=line_dedup.SIMILAR):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = defaultdict(list)
-    for r in line_dedup.later_copies(df).collect():
+    for r in line_dedup.later_copies(df, similar=similar).collect():
         got[r["doc"]].append(r["no"])
-    assert {d: sorted(v) for d, v in got.items()} == expected_lines(texts)
+    return {d: sorted(v) for d, v in got.items()}
+
+
+def test_lines_equal_all_pairs(spark):
+    rng = random.Random(9)
+    pool = near_texts(11, 150, (1, 30)) + ["Same line.", "same  LINE.", "", "  ", "a b c d e", "a b c d e f", "É x\ty", "é x y"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(80)] + [None, "", "\n\n"]
+    for similar in (0.9, 0.75):
+        assert removed_lines(spark, texts, similar) == expected_lines(texts, similar)
+
+
+def test_one_word_in_twelve(spark):
+    twelve = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [twelve, twelve.replace("six", "other"), twelve.replace("twelve", "")]
+    assert removed_lines(spark, texts, 0.84) == {1: [0], 2: [0]} and removed_lines(spark, texts) == {2: [0]}
+
+
+def test_crowds_of_lines(spark, monkeypatch):
+    """Lines that share a passage, edited copies of one line, small vocabularies and long lines, with crowds from five lines on."""
+    monkeypatch.setattr(line_dedup, "MANY", 4)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(30)]
+    lines = [" ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(rng.choice([1, 2, 4, 30]))]) for _ in range(60)]
+    base = [f"b{i}" for i in range(60)]
+    for _ in range(80):
+        edited = list(base)
+        for _ in range(rng.randint(0, 5)):
+            edited[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        lines.append(" ".join(edited))
+    lines += [" ".join(f"s{rng.randrange(14)}" for _ in range(rng.randint(8, 40))) for _ in range(120)]
+    long = [f"l{i}" for i in range(3000)]
+    lines += [" ".join(long), " ".join(long[:2800]), " ".join(long[400:])]
+    rng.shuffle(lines)
+    for similar in (0.9,):
+        assert removed_lines(spark, lines, similar) == expected_lines(lines, similar)
 
 
 def test_dropping_lines(spark):
@@ -121,3 +151,6 @@ def test_dropping_lines(spark):
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
     assert out == {1: "keep me here now\nsecond line", 2: "third\n", 3: None, None: "third"}
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "no as gone", "1 as doc", "2 as n", "3 as line")
+    left = line_dedup.dedup_lines(clash)
+    assert left.columns == clash.columns and {r["doc_id"]: r["text"] for r in left.collect()} == out
