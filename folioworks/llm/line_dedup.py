@@ -4,16 +4,13 @@ A line's tokens are its distinct words in lower case, as 64-bit keys whose high
 bits tell how frequent the word is in the corpus: sorted keys are in order of
 rarity. Lines of equal sets are settled by a hash aggregate; one stands for them.
 
-Sets of n tokens that are similar miss at most n - ceil(t * n) of their own
-tokens, and differ in at most h = (a + b)(1 - t) / (1 + t) tokens in all. So
-
-* if they share a rare token, the first shared one is in both prefixes of
-  n - ceil(t * n) + 1 tokens: each rare token there is a signature;
-* if not, all rare tokens are differences, and of the rest, in order of rarity,
-  some `RUN` shared tokens stand next to each other in both sets before the
-  differences are used up: each such run in that longer prefix is a signature.
-  A run keeps words of a small vocabulary as selective as rare ones, where single
-  words would make candidates grow with the square of the corpus.
+Similar sets of sizes a and b differ in at most h = (a + b)(1 - t) / (1 + t)
+tokens. In order of rarity, some `RUN` common tokens therefore stand next to each
+other in both sets before the differences are used up: within the first
+h * (RUN - 1) + RUN tokens and the n - ceil(t * n) that a set may have alone.
+The signatures of a line are the runs in that prefix (with RUN = 1 it is the
+usual prefix filter). A run of three stays selective where single words, even
+rather rare ones, would make candidates grow with the square of the corpus.
 
 Lines that share a signature are candidates if their sizes and the places of the
 signature leave enough overlap (length and positional filter), and 64 parity bits
@@ -48,19 +45,16 @@ from folioworks.tables import stored, unused_name
 
 #: Of words. One changed word in a line of 40 leaves 0.95 of its words.
 SIMILAR = 0.9
-BUCKET_BITS = 18
-CHUNK_BITS = 10
+BUCKET_BITS = 15
 HASH_BITS = 57
 MASK = (1 << HASH_BITS) - 1
 #: Levels of frequency in a doubling; the highest level stands for 2^48 occurrences.
 STEPS = 1.3
-#: A word of a bucket with no more occurrences is rare.
-RARE = 64
 RUN = 3
 #: Signatures with more lines are refined by segments.
 MANY = 64
-#: Up to so many ids are sent to every executor (16 MB); more are joined by a shuffle.
-SEND_IDS = 2_000_000
+#: Up to so many ids are sent to every executor (under 100 MB); more are joined by a shuffle.
+SEND_IDS = 1_000_000
 SPACES = "\t\x0b\f\r"
 
 
@@ -85,16 +79,14 @@ def bucket_of(key: Column) -> Column:
 def rarity(docs: DataFrame) -> Column:
     """array<int>: the level of frequency of each hash bucket of words, from all words of all lines.
 
-    What comes to the driver are as many digits as there are buckets.
+    As many numbers come to the driver as there are buckets.
     """
     words = lines_of(docs).select(F.explode(F.split("line", " ")).alias("word"))
     counts = words.groupBy(bucket_of(F.xxhash64("word")).alias("bucket")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
-    counts = counts.union(every).groupBy("bucket").agg(F.floor(F.log2(F.sum("n") + 1) * STEPS).cast("int").alias("level"))
-    listed = F.sort_array(F.collect_list(F.struct("bucket", "level")))
-    parts = counts.groupBy(F.shiftright("bucket", CHUNK_BITS).alias("chunk")).agg(F.array_join(F.transform(listed, lambda x: x["level"]), ",").alias("levels"))
-    levels = ",".join(r["levels"] for r in parts.orderBy("chunk").collect())
-    return F.split(F.lit(levels), ",").cast("array<int>")
+    levels = [0] * (1 << BUCKET_BITS)
+    for r in counts.select("bucket", F.floor(F.log2(F.col("n") + 1) * STEPS).cast("int").alias("level")).collect():
+        levels[r["bucket"]] = r["level"]
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
 
 
 def with_tokens(lines: DataFrame, levels: Column) -> DataFrame:
@@ -122,19 +114,13 @@ def run_length(similar: float) -> int:
 
 
 def with_signatures(sets: DataFrame, similar: float) -> DataFrame:
-    """Adds sigs: array<struct<sig,at>>, of which similar lines share one, with its place in the order of rarity."""
+    """Adds sigs, of which similar lines share one: the runs of the prefix, none where only equal sets are similar."""
     run, n, kept = run_length(similar), F.col("n"), sets.columns
-    rare = lambda x: F.shiftrightunsigned(x, HASH_BITS) <= int(STEPS * math.log2(RARE + 1))
     apart = most_apart(n, largest_partner(n, similar), similar)
-    sized = sets.select("*", (n - F.ceil(n * similar - 1e-9)).cast("int").alias("own"), apart.alias("apart"))
-    sized = sized.select("*", F.when(F.col("apart") > 0, F.size(F.filter(F.slice("tokens", F.lit(1), F.col("own") + 1), rare))).otherwise(0).alias("rare"))
-    runs = F.greatest(F.col("apart") - F.col("rare"), F.lit(0)) * (run - 1) + F.col("own") - F.col("rare") + 1
-    runs = F.greatest(F.least(runs, n - F.col("rare") - (run - 1)), F.lit(0))
-    sized = sized.select("*", (F.col("rare") + F.when((F.col("apart") > 0) & (F.col("rare") <= F.col("own")), runs).otherwise(0)).alias("count"))
-    sig = lambda i: F.when(i < F.col("rare"), F.get("tokens", i)).otherwise(F.xxhash64(*[F.get("tokens", i + k) for k in range(run)]))
-    listed = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.struct(sig(i).alias("sig"), i.alias("at")))
-    none = F.array().cast("array<struct<sig:bigint,at:int>>")
-    return sized.select(*kept, F.when(F.col("count") > 0, listed).otherwise(none).alias("sigs"))
+    long = apart * (run - 1) + (n - F.ceil(n * similar - 1e-9)).cast("int") + 1
+    sized = sets.select("*", F.when(apart > 0, F.least(long, n - (run - 1))).otherwise(0).alias("count"))
+    listed = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.xxhash64(*[F.get("tokens", i + k) for k in range(run)]))
+    return sized.select(*kept, F.when(F.col("count") > 0, listed).otherwise(F.array().cast("array<bigint>")).alias("sigs"))
 
 
 def parity(tokens: Column) -> Column:
@@ -142,11 +128,14 @@ def parity(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def may_match(similar: float) -> Column:
-    """Length, positional and parity filter of two rows `a`, `b` that share a signature: line, n, at, bits."""
-    na, nb, ia, ib = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
-    apart = F.greatest(F.abs(ia - ib) + F.abs((na - ia) - (nb - ib)), F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))))
-    return (F.col("a.line") < F.col("b.line")) & (apart <= most_apart(na, nb, similar))
+def may_match(similar: float, placed: bool = True) -> Column:
+    """Length, parity and positional filter of an earlier row `a` and a later `b`: line, n, bits, at (where a signature is)."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    apart = [F.abs(na - nb), F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))]
+    if placed:
+        ia, ib = F.col("a.at"), F.col("b.at")
+        apart.append(F.abs(ia - ib) + F.abs((na - ia) - (nb - ib)))
+    return (F.col("a.line") < F.col("b.line")) & (F.greatest(*apart) <= most_apart(na, nb, similar))
 
 
 def filtered_by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -191,7 +180,7 @@ def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", simil
     docs = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     levels = rarity(docs)
     sets = with_signatures(with_tokens(lines_of(docs), levels), similar)
-    prints = sets.select("doc", "no", "n", F.xxhash64("tokens").alias("one"), F.xxhash64(F.lit(1), "tokens").alias("two"), parity(F.col("tokens")).alias("bits"), "sigs")
+    prints = sets.select(F.monotonically_increasing_id().alias("id"), "doc", "no", "n", F.xxhash64("tokens").alias("one"), F.xxhash64(F.lit(1), "tokens").alias("two"), parity(F.col("tokens")).alias("bits"), "sigs")
     prints = stored(prints, "line-prints")
 
     # Lines of the same words: all but the earliest go. The aggregate combines before it shuffles; what it finds is sent to
@@ -203,11 +192,11 @@ def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", simil
     copies = stored(met.where(F.struct("doc", "no") != F.col("first")).select("doc", "no"), "line-copies")
     alone = prints.where(F.size("sigs") > 0).join(F.broadcast(copies) if copies.count() <= SEND_IDS else copies, ["doc", "no"], "left_anti")
 
-    # The lines that stand for the rest, by the signatures that more than one of them has.
-    rows = alone.select(F.struct("doc", "no").alias("line"), "n", "bits", F.explode("sigs").alias("s"))
-    counted = rows.groupBy("s.sig").agg(F.count("*").alias("lines")).where("lines > 1")
-    rows = rows.select("s.sig", F.struct("line", "n", "s.at", "bits").alias("row"))
-    shared = stored(rows.join(counted, "sig"), "line-signatures")
+    # The lines that stand for the rest, by the signatures that more than one of them has. Only ids meet the counts.
+    rows = alone.select("id", F.posexplode("sigs").alias("at", "sig"))
+    counted = rows.groupBy("sig").agg(F.count("*").alias("lines")).where("lines > 1")
+    shared = rows.join(counted, "sig").join(prints.select("id", F.struct("doc", "no").alias("line"), "n", "bits"), "id")
+    shared = stored(shared.select("sig", "lines", F.struct("line", "n", "at", "bits").alias("row")), "line-signatures")
     few, many = shared.where(F.col("lines") <= MANY), shared.where(F.col("lines") > MANY)
     firsts = stored(many.groupBy("sig").agg(F.min("row").alias("a")), "line-firsts")
 
@@ -219,19 +208,22 @@ def later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", simil
     # Those of many that are still standing meet the earlier ones that they share a segment with.
     standing = many.join(gone.select(F.col("b").alias("line")), F.col("row.line") == F.col("line"), "left_anti")
     standing = stored(standing.join(firsts, "sig").where(F.col("row.line") != F.col("a.line")).select("sig", "row"), "line-standing")
-    crowd = stored(many.join(standing.select("sig").distinct(), "sig", "left_semi").select("sig", "row", F.col("row.line").alias("line")), "line-crowd")
+    crowd = many.join(standing.select("sig").distinct(), "sig", "left_semi").select(F.struct("row.line", "row.n", "row.bits").alias("row"), "sig")
+    crowd = stored(crowd.groupBy("row").agg(F.collect_set("sig").alias("sigs")).select("row.line", "row.n", "row.bits", "sigs"), "line-crowd")
     sets = tokens_of(docs, crowd, levels)
-    parts = stored(with_segments(crowd, sets, similar), "line-segments")
-    open_ = parts.join(standing.select("sig", F.col("row.line").alias("line")), ["sig", "line"], "left_semi")
-    pairs = stored(meeting(parts, open_, ["sig", "segment"], similar).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    parts = stored(with_segments(crowd, sets, similar).select("segment", F.struct("line", "n", "bits", "sigs").alias("row")), "line-segments")
+    open_ = parts.join(standing.select("row.line").distinct(), F.col("row.line") == F.col("line"), "left_semi")
+    pairs = stored(meeting(parts, open_, ["segment"], similar, crowded=True).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
     rest = verified(sets, pairs, similar)
     return copies.union(gone.select("b.doc", "b.no")).union(rest.select("b.doc", "b.no")).distinct()
 
 
-def meeting(everyone: DataFrame, later: DataFrame, by: list[str], similar: float) -> DataFrame:
-    """a, b: each line of `later` with each earlier one of the same signature that passes the filters."""
+def meeting(everyone: DataFrame, later: DataFrame, by: list[str], similar: float, crowded: bool = False) -> DataFrame:
+    """a, b: each line of `later` with each earlier one that passes the filters; of a crowd they have to share a signature too."""
     a, b = everyone.select(*by, F.col("row").alias("a")), later.select(*by, F.col("row").alias("b"))
-    return a.join(b, by).where(may_match(similar)).select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
+    fits = may_match(similar, placed=not crowded)
+    met = a.join(b, by).where(fits & F.arrays_overlap("a.sigs", "b.sigs") if crowded else fits)
+    return met.select(F.col("a.line").alias("a"), F.col("b.line").alias("b"))
 
 
 def drop_lines(docs: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

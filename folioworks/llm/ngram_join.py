@@ -19,10 +19,14 @@ Sets that are equal are one set from the start. A candidate pair is first held
 against a bound from parity bitmaps: of b bits, each tells whether an odd number
 of elements hash to it, so two sets differ in at least as many elements as their
 bitmaps differ in bits. Pairs within the bound are verified on whole sets, in
-rounds: first each document with the one partner that it meets most often; what
-this links needs no more checks among itself, so that a large group of near
-copies takes work in proportion to its size. In the last round all remaining
-pairs that meet, from different groups, are verified.
+rounds: first each document with one partner, of the two ends of the signatures
+that it has, the one that it meets most often; what this links needs no more
+checks among itself, so that a large group of near copies takes work in
+proportion to its size. Then pairs from different groups are verified: all that
+meet in signatures that few documents have; of documents that meet in one that
+many have, those that agree in a part of a second, coarser partition, into one
+part more than they can have differences, which documents that only share a
+passage do not.
 
 Defined cases: null text, empty text or text without words has an empty set and
 links with nothing; with fewer words than n the whole sequence is the one
@@ -33,6 +37,7 @@ texts are read whole; ties go to the smaller id; an empty table has no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioworks.tables import stored
+from folioworks.tables import stored, unused_name
 
 WORDS = 5
 PERCENT = 75
@@ -50,9 +55,13 @@ CHUNK = 4096
 #: Up to so many ids are sent to every executor (16 MB); more are joined by a shuffle.
 SEND_IDS = 2_000_000
 #: Rounds in which a document is held against one partner before all remaining pairs are.
-ROUNDS = 2
+ROUNDS = 3
 TINY = 5  # largest size of band 0
-RATIO = 4  # of the bounds of the others
+RATIO = 2  # of the bounds of the others
+#: Signatures with more documents are those of a crowd.
+MANY = 32
+#: Documents that the counts allow a signature to have in one window; more are dealt to several.
+DEALT = 4096
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -141,18 +150,23 @@ def bands_for(size: int, percent: int = PERCENT) -> list[int]:
 
 
 def segments(band: int, single: frozenset) -> int:
-    """How many segments the universe has in a band: as many as its largest sets have elements; 0 for one for each element."""
-    return 0 if band in single else int(bounds()[band])
+    """How many segments the universe has in a band; 0 for one for each element.
+
+    Half as many as its largest sets have elements, with room for chance: a segment then holds two elements or so, which
+    documents that only share a passage seldom have in common.
+    """
+    most = int(bounds()[band])
+    return 0 if band in single else most // 2 + 2 * math.isqrt(most)
 
 
-def signatures(items: np.ndarray, band: int, weights: np.ndarray, single: frozenset, percent: int = PERCENT) -> np.ndarray:
-    """The signatures that a set indexes in a band, in the common order."""
+def signatures(items: np.ndarray, band: int, weights: np.ndarray, single: frozenset, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures that a set indexes in a band, in the common order, and how frequent each can be."""
     salt = np.uint64((band + 1) * int(BASE) % (1 << 64))
     if band == 0:
         whole = mixed(items.sum(keepdims=True) + salt + np.uint64(len(items)))
-        if len(items) == 1:
-            return whole
-        return np.concatenate((whole, mixed(items.sum(keepdims=True) - items + salt + np.uint64(len(items) - 1))))
+        if len(items) > 1:
+            whole = np.concatenate((whole, mixed(items.sum(keepdims=True) - items + salt + np.uint64(len(items) - 1))))
+        return whole, np.full(len(whole), weights[(items >> np.uint64(44)).astype(np.int64)].min(), np.uint8)
     count = segments(band, single)
     where = items % np.uint64(count) if count else items
     order = np.argsort(where, kind="stable")
@@ -160,8 +174,8 @@ def signatures(items: np.ndarray, band: int, weights: np.ndarray, single: frozen
     first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
     found = mixed(np.add.reduceat(items, first) ^ mixed(where[first] + salt))
     cost = np.minimum.reduceat(weights[(items >> np.uint64(44)).astype(np.int64)], first)
-    ranked = np.lexsort((found, cost))
-    return found[ranked[: most_apart(len(items), percent) + 1]]
+    ranked = np.lexsort((found, cost))[: most_apart(len(items), percent) + 1]
+    return found[ranked], cost[ranked]
 
 
 def enough(items: np.ndarray, band: int, percent: int = PERCENT) -> bool:
@@ -169,6 +183,25 @@ def enough(items: np.ndarray, band: int, percent: int = PERCENT) -> bool:
     return band == 0 or len(np.unique(items % np.uint64(segments(band, frozenset())))) > most_apart(len(items), percent)
 
 
+def parts_of(items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Hashes of the parts of a set in a coarse partition, for its band of sizes and the next.
+
+    Bands grow with the largest ratio of similar sets, so two such have a band in common; it has one part more than sets of
+    that size can have differences, so they agree in a part of it at least, which may be empty.
+    """
+    ratio = 100 / percent
+    own = int(math.log(len(items)) / math.log(ratio) + 1e-9)
+    out = []
+    for band in (own, own + 1):
+        most = math.ceil(ratio ** (band + 1)) + 1
+        count = 2 * most * (100 - percent) // (100 + percent) + 1
+        where = (items >> np.uint64(20)) % np.uint64(count)
+        sums, sizes = np.zeros(count, np.uint64), np.bincount(where.astype(np.int64), minlength=count).astype(np.uint64)
+        np.add.at(sums, where.astype(np.int64), mixed(items))
+        out.append(mixed(mixed(sums + np.uint64(band)) ^ mixed(np.arange(count, dtype=np.uint64) * BASE + sizes)))
+    return np.concatenate(out)
+
+
 def bitmap(items: np.ndarray) -> bytes:
     """Parity of the elements of each bit; twice as many bits as elements at least, a power of two."""
     bits = 1 << max(6, int(2 * len(items) - 1).bit_length())
@@ -209,8 +242,8 @@ def summaries(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(told, "kind long, id long, n long, one long, two long, poor long, data binary")
 
 
-def bucket_costs(told: DataFrame) -> np.ndarray:
-    """For each bucket, how far its count is above the mean, in quarters of a doubling. What is gathered has a fixed size."""
+def bucket_costs(told: DataFrame) -> tuple[np.ndarray, float]:
+    """For each bucket, how far its count is above a base, in quarters of a doubling; that base. What is gathered has a fixed size."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -222,7 +255,8 @@ def bucket_costs(told: DataFrame) -> np.ndarray:
     counts = np.zeros(BUCKETS)
     for r in told.where("kind = 1").select("id", "data").repartition(16, "id").mapInArrow(summed, "id long, data binary").collect():
         counts[r["id"] * CHUNK : (r["id"] + 1) * CHUNK] = np.frombuffer(r["data"], np.int64)
-    return np.floor(4 * np.log2(np.maximum(counts / max(counts.mean(), 4), 1))).astype(np.uint8)
+    base = max(counts.mean(), 4)
+    return np.floor(4 * np.log2(np.maximum(counts / base, 1))).astype(np.uint8), base
 
 
 def filtered_by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -293,26 +327,48 @@ def may_match(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.greatest(ia, ib) * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def index_rows(docs: DataFrame, weights: np.ndarray, single: frozenset, words: int, percent: int) -> DataFrame:
-    """sig, doc, size_at: the signatures that each document indexes, with its size and the signature's place in one number."""
+def index_rows(docs: DataFrame, weights: np.ndarray, base: float, single: frozenset, words: int, percent: int) -> DataFrame:
+    """sig, doc, size_at, salt: the signatures that each document indexes, with its size and the signature's place in one number.
+
+    salt is 0 but for signatures that the counts allow more than `DEALT` documents: it deals these out, by number from 1.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deals = np.ceil(base * 2.0 ** ((np.arange(256) + 1) / 4) / DEALT).astype(np.int64)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                sigs, ids, places = [], [], []
-                for doc, text in zip(part.column(0), part.column(1), strict=True):
+                sigs, ids, places, salts = [], [], [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     items = shingles(text.as_py(), words)
+                    spread = int(mixed(np.array([doc & (1 << 64) - 1], np.uint64))[0] >> np.uint64(16))
                     for band in bands_for(len(items), percent) if len(items) else ():
-                        found = signatures(items, band, weights, single, percent)
+                        found, cost = signatures(items, band, weights, single, percent)
+                        n = deals[cost]
                         sigs.append(found)
-                        ids.append(np.full(len(found), doc.as_py(), np.int64))
+                        ids.append(np.full(len(found), doc, np.int64))
+                        salts.append(np.where(n > 1, 1 + spread % n, 0).astype(np.int32))
                         places.append((len(items) << 32) + (0 if band == 0 else 1) * np.arange(len(found), dtype=np.int64))
                 if sigs:
-                    columns = [np.concatenate(sigs).view(np.int64), np.concatenate(ids), np.concatenate(places)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "doc", "size_at"])
+                    columns = [np.concatenate(sigs).view(np.int64), np.concatenate(ids), np.concatenate(places), np.concatenate(salts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "doc", "size_at", "salt"])
+
+    return docs.mapInArrow(made, "sig long, doc long, size_at long, salt int")
+
+
+def part_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """part, doc: the parts of each document's set in the coarse partition."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                found = [(doc, parts_of(items, percent)) for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True) if len(items := shingles(text.as_py(), words))]
+                if found:
+                    ids = np.concatenate([np.full(len(x), doc, np.int64) for doc, x in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for _, x in found]).view(np.int64)), pa.array(ids)], ["part", "doc"])
 
-    return docs.mapInArrow(made, "sig long, doc long, size_at long")
+    return docs.mapInArrow(made, "part long, doc long")
 
 
 def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -321,7 +377,7 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     told = stored(summaries(docs, words, percent), "summaries")
     sizes = told.where("kind = 0").select(F.col("id").alias("doc"), "n", "one", "two", "poor").distinct()
     bitmaps = told.where("kind = 0").select(F.col("id").alias("doc"), "n", F.col("data").alias("bits"))
-    weights = bucket_costs(told)
+    weights, base = bucket_costs(told)
     poor = sizes.agg(F.bit_or("poor")).first()[0] or 0
     single = frozenset(b for b in range(64) if poor >> b & 1)
 
@@ -330,20 +386,19 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     copies = stored(sizes.join(first, ["n", "one", "two"]).where("doc <> first").select("doc", "first"), "copies")
     alone = filtered_by_ids(docs, copies, "left_anti")
 
-    rows = index_rows(alone, weights, single, words, percent)
-    order = Window.partitionBy("sig").orderBy("doc")
-    met = rows.select("*", F.lag("doc").over(order).alias("last"), F.lead("doc").over(order).alias("next")).where("last is not null or next is not null")
+    # Rows with company in their window; those of signatures that are dealt to several windows all go on.
+    rows = index_rows(alone, weights, base, single, words, percent)
+    order = Window.partitionBy("sig", "salt").orderBy("doc")
+    met = rows.select("*", F.lag("doc").over(order).alias("last"), F.lead("doc").over(order).alias("next")).where("salt > 0 or last is not null or next is not null")
     me = F.struct("doc", F.shiftright("size_at", 32).cast("int").alias("n"), F.col("size_at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
     shared = stored(met.select("sig", me.alias("me")), "shared")
 
     links, tried, groups = None, None, None
-    for round_ in range(ROUNDS):
-        rows = shared if groups is None else in_groups(shared, groups)
-        by = F.col("me.doc") if groups is None else F.col("group")
-        order = Window.partitionBy("sig").orderBy("mine", "me.n", "me.doc")
-        near = rows.select("me", by.alias("mine"), F.struct(by.alias("group"), "me.doc", "me.n", "me.at").alias("own"), "sig")
-        near = near.select("me", "mine", F.first("own").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("x"), F.lag("own").over(order).alias("y"))
-        near = near.select("me", "mine", F.explode(F.array("x", "y")).alias("it")).where("it is not null and it.group <> mine").where(may_match("me", "it", percent))
+    for _ in range(ROUNDS):
+        rows = in_groups(shared, groups)
+        own = F.struct("group", "me.n", "me.doc", "me.at")
+        ends = rows.groupBy("sig").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low.group <> high.group")
+        near = rows.join(ends, "sig").select("me", "group", F.explode(F.array("low", "high")).alias("it")).where("it.group <> group").where(may_match("me", "it", percent))
         meet = near.groupBy(F.col("me.doc").alias("doc"), F.col("it.doc").alias("other")).count()
         if tried is not None:
             meet = meet.join(tried.select(F.col("a").alias("doc"), F.col("b").alias("other")), ["doc", "other"], "left_anti")
@@ -354,13 +409,20 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
         groups = stored(components(links), "groups")
 
     rows = in_groups(shared, groups)
-    spread = rows.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("sig")
-    rows = stored(rows.join(spread, "sig", "left_semi"), "open")
-    left = rows.select("sig", F.col("me").alias("x"), F.col("group").alias("x_group"))
-    right = rows.select("sig", F.col("me").alias("y"), F.col("group").alias("y_group"))
+    spread = rows.groupBy("sig").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("docs")).where("low <> high").select("sig", "docs")
+    rows = stored(rows.join(spread, "sig"), "open")
+    few = rows.where(F.col("docs") <= MANY)
+    left = few.select("sig", F.col("me").alias("x"), F.col("group").alias("x_group"))
+    right = few.select("sig", F.col("me").alias("y"), F.col("group").alias("y_group"))
     pairs = left.join(right, "sig").where(F.col("x.doc") < F.col("y.doc")).where("x_group <> y_group").where(may_match("x", "y", percent))
-    pairs = stored(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), "pairs")
-    links = links.union(similar_pairs(docs, bitmaps, pairs, words, percent))
+    pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    crowd = stored(rows.where(F.col("docs") > MANY).select(F.col("me.doc").alias("doc"), F.col("me.n").alias("n"), "group").distinct(), "crowd")
+    parts = stored(part_rows(filtered_by_ids(docs, crowd, "left_semi"), words, percent).join(crowd, "doc"), "parts")
+    left, right = (parts.select("part", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "group")]) for side in "xy")
+    sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    more = left.join(right, "part").where((F.col("doc_x") < F.col("doc_y")) & (F.col("group_x") != F.col("group_y")) & sized)
+    pairs = pairs.union(more.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))).distinct()
+    links = links.union(similar_pairs(docs, bitmaps, stored(pairs, "pairs"), words, percent))
 
     groups = components(links)
     home = sizes.select("doc", "n").join(copies, "doc", "left").withColumn("first", F.coalesce("first", "doc"))
@@ -368,8 +430,10 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     return home.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component"))
 
 
-def in_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of shared signatures with the group that each document is in so far."""
+def in_groups(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Rows of shared signatures with the group that each document is in so far: sig, me, group."""
+    if groups is None:
+        return shared.select("sig", "me", F.col("me.doc").alias("group"))
     out = shared.withColumn("doc", F.col("me.doc")).join(groups, "doc", "left")
     return out.select("sig", "me", F.coalesce("component", "doc").alias("group"))
 
@@ -377,5 +441,6 @@ def in_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """`docs` without those that are linked, over any number of links, to one of smaller id; columns as they were."""
     linked = link_documents(docs, text, key, words, percent)
-    gone = linked.where("doc <> component").select(F.col("doc").alias("__doc"))
-    return docs.join(gone, F.col(f"`{key}`") == F.col("__doc"), "left_anti")
+    doc = unused_name("doc", docs.columns)
+    gone = linked.where("doc <> component").select(F.col("doc").alias(doc))
+    return docs.join(gone, F.col(f"`{key}`") == F.col(doc), "left_anti")

@@ -72,6 +72,23 @@ def test_large_groups_of_copies(spark):
     assert linked(spark, texts) == expected_components(texts)
 
 
+def test_crowds_of_documents(spark, monkeypatch):
+    """Passages that most documents share, near copies of two texts, signatures dealt to several windows."""
+    monkeypatch.setattr(ngram_join, "MANY", 4)
+    monkeypatch.setattr(ngram_join, "DEALT", 3)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(rng.choice([2, 5, 18, 80]))]) for _ in range(90)]
+    for base in ([f"b{i}" for i in range(80)], [f"b{i}" for i in range(40)] + [f"c{i}" for i in range(40)]):
+        for _ in range(60):
+            edited = list(base)
+            for _ in range(rng.randint(0, 4)):
+                edited[rng.randrange(80)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(edited))
+    rng.shuffle(texts)
+    assert linked(spark, texts) == expected_components(texts)
+
+
 def test_hashes_do_not_hang_on_where_a_word_is(spark):
     words = ["alpha", "beta", "g" * 700_000, "delta", "eps", "zeta"]
     a = ngram_join.shingles(" ".join(words))
@@ -84,6 +101,8 @@ def test_one_of_each_keeps_columns(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1, "p"), (1, "a b c d e f", 2, "q"), (None, "a b c d e f", 3, "r"), (7, None, 4, "s")], "doc_id long, text string, n int, component string")
     out = ngram_join.one_of_each(df)
     assert out.columns == df.columns and sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 1, 7]
+    clash = df.withColumnsRenamed({"n": "doc", "component": "_doc"})
+    assert ngram_join.one_of_each(clash).columns == clash.columns and ngram_join.one_of_each(clash).count() == 3
     assert ngram_join.link_documents(df.limit(0)).count() == 0
 
 
