@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioworks.tables import stored
+from folioworks.tables import stored, unused_name
 
 WINDOW = 8
 LITERAL = 4
@@ -62,26 +62,26 @@ def bare(word: Column) -> Column:
     return F.btrim(word, F.lit(PUNCTUATION))
 
 
-def template(words: Column) -> Column:
-    """The key of each word: a placeholder, or a hash of the word in lower case; 0 for punctuation alone.
+def with_keys(worded: DataFrame) -> DataFrame:
+    """Adds clean, the words without outer punctuation, and keys: for each word a placeholder, or a hash of the word in lower case; 0 for punctuation alone.
 
-    A name begins with a capital, is not all capitals and does not begin a sentence; a unit follows a number.
+    A name begins with a capital, is not all capitals and does not begin a sentence; a unit follows a number. Each step is
+    a column of its own, so that no word is trimmed or lowered twice.
     """
+    cleaned = worded.select("*", F.transform("words", bare).alias("clean"))
+    lowered = cleaned.select("*", F.transform("clean", lambda w: F.lower(w)).alias("low"))
+    before = lambda i: F.get("words", i - 1)
+    after_number = lambda i: (i > 0) & F.ascii(F.get("clean", i - 1)).between(48, 57)
+    inside = lambda i: (i > 0) & (before(i) != "") & ~F.right(before(i), F.lit(1)).isin(".", "!", "?", ":", ";")
+    capital = lambda low, clean: (low != clean) & (F.substring(low, 1, 1) != F.substring(clean, 1, 1)) & (F.upper(clean) != clean)
 
-    def one(w: Column, i: Column) -> Column:
-        clean = bare(w)
-        first = F.ascii(clean)
-        digit = lambda x: F.ascii(F.btrim(x, F.lit(PUNCTUATION))).between(48, 57)
-        before = F.get(words, F.greatest(i - 1, F.lit(0)))
-        low = F.lower(clean)
-        plain = F.shiftrightunsigned(F.xxhash64(low), 1)
-        inside = (i > 0) & (before != "") & ~F.right(before, F.lit(1)).isin(".", "!", "?", ":", ";")
-        named = (F.substring(low, 1, 1) != F.substring(clean, 1, 1)) & inside & (F.upper(clean) != clean)
-        unit = low.isin(*UNITS) & (i > 0) & digit(before)
-        small = F.when(unit, UNIT).otherwise(plain)
-        return F.when(clean == "", F.when(w.isin("%", "$", "€") & (i > 0) & digit(before), UNIT).otherwise(0)).when(first.between(48, 57), NUMBER).when(first.between(97, 122), small).otherwise(F.when(named, NAME).otherwise(small)).cast("long")
+    def key(low: Column, i: Column) -> Column:
+        clean, first = F.get("clean", i), F.ascii(low)
+        out = F.when(low == "", F.when(F.get("words", i).isin("%", "$", "€") & after_number(i), UNIT).otherwise(0))
+        out = out.when(first.between(48, 57), NUMBER).when(capital(low, clean) & ~F.ascii(clean).between(97, 122) & inside(i), NAME)
+        return out.when(low.isin(*UNITS) & after_number(i), UNIT).otherwise(F.shiftrightunsigned(F.xxhash64(low), 1)).cast("long")
 
-    return F.transform(words, one)
+    return lowered.select(*worded.columns, "clean", F.transform("low", key).alias("keys"))
 
 
 def literals(words: Column) -> Column:
@@ -101,9 +101,9 @@ def windowed(texts: DataFrame, key: str, text: str, forms: list[tuple[bool, int]
     Only these go through the explode, so that long texts stay linear.
     """
     worded = with_words(texts, key, text)
-    keys = {False: F.filter(template(F.col("words")), lambda k: k != 0), True: literals(F.filter(F.col("words"), lambda w: w != ""))}
+    keys = {False: F.filter("keys", lambda k: k != 0), True: literals(F.filter(F.col("words"), lambda w: w != ""))}
     used = [k for k in keys if any(k == literal for literal, _ in forms)]
-    keyed = worded.select(key, *[keys[k].alias(f"keys_{k}") for k in used])
+    keyed = (with_keys(worded) if False in used else worded).select(key, *[keys[k].alias(f"keys_{k}") for k in used])
     if len(forms) == 1:
         # The outer form: for the inner one a filter on the array's size would be inferred and its expression repeated in it.
         literal, wide = forms[0]
@@ -120,7 +120,7 @@ def with_slots(texts: DataFrame, key: str, text: str, windows: DataFrame) -> Dat
     A text's windows come to it as one list, no longer than the text.
     """
     listed = windows.groupBy(key).agg(F.collect_list(F.struct(*[c for c in windows.columns if c != key])).alias("list"))
-    keyed = with_words(texts, key, text).select(key, "words", template(F.col("words")).alias("keys"))
+    keyed = with_keys(with_words(texts, key, text))
     both = keyed.select(key, F.filter(F.arrays_zip("words", "keys"), lambda z: z["keys"] != 0).alias("pairs")).join(listed, key)
     placed = lambda at, wide: F.transform(F.slice("pairs", at + 1, wide), lambda z, i: F.struct(i.alias("place"), F.lower(bare(z["words"])).alias("value"), z["keys"].alias("k")))
     slots = lambda at, wide: F.transform(F.filter(placed(at, wide), lambda z: z["k"] < 0), lambda z: F.struct(z["place"].alias("place"), z["value"].alias("value")))
@@ -132,7 +132,7 @@ def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
     """key, literal, wide, hash, at, no, slots, windows: the windows of each item that are used, numbered, and how many differ."""
     once = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(key).agg(F.min(text).alias(text))
     once = stored(once, "items")
-    lengths = with_words(once, key, text).select(key, F.size(F.filter(template(F.col("words")), lambda k: k != 0)).alias("length"))
+    lengths = with_keys(with_words(once, key, text)).select(key, F.size(F.filter("keys", lambda k: k != 0)).alias("length"))
     short = [r["length"] for r in lengths.where(F.col("length").between(1, WINDOW - 1)).select("length").distinct().collect()]
     rows = windowed(once, key, text, [(False, wide) for wide in (*short, WINDOW)]).join(lengths, key)
     rows = with_slots(once, key, text, rows.where(F.col("wide") == F.least("length", F.lit(WINDOW))))
@@ -220,5 +220,6 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without those that an item contaminates; columns as they were."""
-    gone = matches(docs, items, key, text).where("contaminated").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, F.col(f"`{key}`") == F.col("__doc"), "left_anti")
+    doc = unused_name("doc", docs.columns)
+    gone = matches(docs, items, key, text).where("contaminated").select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(gone, F.col(f"`{key}`") == F.col(doc), "left_anti")
