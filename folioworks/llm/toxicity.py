@@ -33,10 +33,12 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.tables import stored
+
 #: Bytes of the words that toxic texts have, bytes of the carrier.
-SETTINGS = ((2048, 48), (4096, 48), (2048, 24))
+SETTINGS = ((2048, 48), (4096, 24))
 LEAST_SAVED = (2, 3, 4, 5, 6, 7)
-CACHED = 100_000  # words
+CACHED = 250_000  # words
 SHARED = 12_000  # bytes of ordinary content
 THRESHOLD = 0.7
 
@@ -106,25 +108,25 @@ def compressor(content: bytes) -> zstd.ZstdCompressor:
     return zstd.ZstdCompressor(dict_data=held, compression_params=settings)
 
 
-def sampled(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About `per_class` rows of each class, by a hash of their key; `third` deals them in three."""
-    counts = {r[label]: r["count"] for r in rows.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    hashed = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(key).cast("string")), F.lit(1 << 30))
-    out = rows.select(F.col(key).alias("key"), F.col("text"), F.col(label).cast("int").alias("label"), hashed.alias("hash"), (hashed % 3).alias("third"))
+def sampled(labels: DataFrame, per_class: int) -> DataFrame:
+    """doc_id, label, hash, third: about `per_class` labelled ids of each class, by a hash of the id; `third` deals them in three."""
+    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    hashed = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string")), F.lit(1 << 30))
+    out = labels.select("doc_id", F.col("toxic").cast("int").alias("label"), hashed.alias("hash"), (hashed % 3).alias("third"))
     share = F.lit(0.0)
     for k, n in counts.items():
         share = F.when(F.col("label") == k, min(1.0, per_class / n)).otherwise(share)
-    return out.where(F.col("hash") < share * (1 << 30)).orderBy("hash", "key").limit(3 * per_class)
+    return out.where(F.col("hash") < share * (1 << 30)).orderBy("hash", "doc_id").limit(3 * per_class)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_ratio: float = 8.0, least_evidence: float = 20.0) -> Model:
-    """Learn from documents (doc_id, text) and labels (doc_id, toxic)."""
+    """Learn from documents (doc_id, text) and labels (doc_id, toxic). Ids are sampled first; only their texts are read."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where("text is not null").select("doc_id", "text").join(known, "doc_id")
-    sample = sampled(rows, "toxic", "doc_id", per_class).cache()
+    known = stored(known, "labels")
+    chosen = F.broadcast(stored(sampled(known, per_class), "label-sample"))  # 3 * per_class rows at most
+    sample = stored(docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id"), "labelled")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(classes) < 2:
-        sample.unpersist()
         n = len(Comparer(b"", []).features(""))
         only = next(iter(classes), 0)
         return Model(b"", [], np.zeros(n), np.ones(n), np.zeros(n), 20.0 if only else -20.0)
@@ -162,7 +164,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_ratio:
         return pa.array([comparer.features(t.as_py()).tolist() for t in texts], pa.list_(pa.float64()))
 
     rows = sample.where("third = 2").select("label", measured("text").alias("x")).collect()
-    sample.unpersist()
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)
     middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     # The sample has too many toxic rows; weights bring their share back to the labels' own.
