@@ -6,9 +6,9 @@ takes the codeword with the smallest loss, each bit's loss weighted by how
 reliable its classifier was in training; a small lead over the second codeword
 marks the prediction as ambiguous.
 
-Training uses a bounded sample: at most `per_language` labelled documents of
-each of at most `most_languages` languages, chosen by a hash of their ids. Only
-their feature vectors reach the driver. Prediction is a map over whole texts.
+Training uses a bounded sample: at most `per_language` labelled documents of each
+language, and fewer where that makes more than `most_rows` in all, chosen by a
+hash of their ids. Only their feature vectors (16 KB each) reach the driver. Prediction is a map over whole texts.
 
 Defined cases: null texts and texts without a letter get `und` and score 0; very
 long texts are read whole; repeated rows get equal results; other columns stay,
@@ -18,7 +18,6 @@ prediction is `und`; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: Up to so many languages are sent to every executor.
+SEND_LANGUAGES = 100_000
 DIMENSIONS = 1 << 12
-LETTER = re.compile(r"[^\W\d_]")
 # ASCII that is no letter counts as a space.
 SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 RESULT = "struct<lang_pred:string,score:double,margin:double,ambiguous:boolean>"
@@ -73,28 +73,30 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return max(usable, key=lambda w: min((w[i] != w[j]).sum() for i in range(n) for j in range(i)))
 
 
-def labelled_sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int, most_languages: int) -> DataFrame:
-    """About `per_language` rows of each of the most frequent languages, chosen by a hash of the key."""
+def labelled_sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int, most_rows: int) -> DataFrame:
+    """About `per_language` rows of each language, `most_rows` in all, chosen by a hash of the key."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    top = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect()
-    if not top:
+    counts = rows.groupBy(F.col(lang).alias("lang")).count()
+    each = counts.agg(F.count("*").alias("n")).first()["n"]
+    if not each:
         return rows.limit(0)
-    share = F.lit(0.0)
-    for r in top:
-        share = F.when(F.col(lang) == r[lang], min(1.0, per_language / r["count"])).otherwise(share)
+    wanted = max(1, min(per_language, most_rows // each))
+    share = counts.select("lang", F.least(F.lit(1.0), wanted / F.col("count")).alias("share"))
+    share = F.broadcast(share) if each <= SEND_LANGUAGES else share
     spread = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(spread < share).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(per_language * len(top) * 2)
+    picked = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), spread.alias("spread")).join(share, "lang").where("spread < share")
+    return picked.orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(2 * most_rows)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, most_languages: int = 64) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, most_rows: int = 6000) -> Model:
     """Learn codewords' classifiers from the labelled rows of `docs`."""
 
     @F.arrow_udf("binary")
     def vectors(texts: pa.Array) -> pa.Array:
         return pa.array([features(t or "").tobytes() for t in texts.to_pylist()], pa.binary())
 
-    sample = labelled_sample(docs, text, lang, key, per_language, most_languages)
-    rows = sample.select(F.col(lang).alias("lang"), vectors(F.col(text)).alias("x")).collect()
+    sample = labelled_sample(docs, text, lang, key, per_language, most_rows)
+    rows = sample.select("lang", vectors(F.col("text")).alias("x")).collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
@@ -139,7 +141,7 @@ def predictor(model: Model, least_margin: float):
         out = []
         for at in range(0, len(texts), 64):
             part = texts.slice(at, 64).to_pylist()
-            known = [bool(t and LETTER.search(t) and model.languages) for t in part]
+            known = [bool(t and model.languages and any(map(str.isalpha, t))) for t in part]
             unknown = {"lang_pred": UNKNOWN, "score": 0.0, "margin": 0.0, "ambiguous": True}
             rows = [unknown] * len(part)
             if any(known):

@@ -6,8 +6,11 @@ goes to the shortest tier that holds it. Each tier is packed longest first into
 windows of its length, and the gap a window still has is filled from the next
 shorter tiers, cutting the filler where it doesn't fit. What is left over when
 a block ends is cut at powers of two, so every sequence is exactly full.
-Sequences of a tier are dealt to step groups so that groups hold like numbers
-of pieces.
+A block's sequences of a tier are dealt to step groups, those of most pieces
+first, each to the group with the fewest pieces so far that has room, so that
+groups have like numbers of pieces and equally many sequences (but for a task's
+last block, which may not fill its groups); a group is of one tier, and its id
+is unique.
 
 The packer runs inside the scan's own tasks, in blocks of bounded size, and
 writes pieces only: there is no shuffle, so no hot key, and a task that is run
@@ -22,6 +25,8 @@ a very long text is cut into many windows.
 
 from __future__ import annotations
 
+import heapq
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,6 +37,8 @@ from pyspark.sql import DataFrame
 
 END = 0
 SPECIAL = "<|endoftext|>"
+#: Runs that the fast encoder has no stack or no time for.
+LONG_RUN = re.compile(r"\s{2000}|\S{20000}")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 
 
@@ -39,7 +46,7 @@ def byte_bpe() -> Callable[[list[str]], list[list[int]]]:
     """Ids of the 50k byte-level vocabulary, without special tokens.
 
     The rank file of the same vocabulary gives the same ids at a quarter of the time; a text that spells the
-    special token out goes through the vocabulary's JSON form.
+    special token out, or has a very long run of white space or of other characters, goes through the JSON form.
     """
     import base64
 
@@ -53,7 +60,7 @@ def byte_bpe() -> Callable[[list[str]], list[list[int]]]:
     exact = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [exact.encode(t, add_special_tokens=False).ids if SPECIAL in t else fast.encode_ordinary(t) for t in texts]
+        return [exact.encode(t, add_special_tokens=False).ids if SPECIAL in t or LONG_RUN.search(t) else fast.encode_ordinary(t) for t in texts]
 
     return encode
 
@@ -65,32 +72,49 @@ class Packer:
         self.window, self.hold, self.group = window, hold, group
         self.tiers = [2**k for k in range(window.bit_length() - 1, -1, -1)]
         self.waiting: list[tuple[int, int, tuple]] = []  # length, start, document
-        self.next = 0
-        self.dealt: dict[int, int] = {}
+        self.block: dict[int, list[list[tuple]]] = {}  # by tier, sequences that have no step group yet
+        self.next = self.groups = self.held = 0
         self.out: list[tuple] = []
 
     def add(self, doc: tuple) -> None:
-        """doc: id, ids. Whole windows leave at once; the rest waits."""
+        """doc: id, ids. Whole windows are sequences at once; the rest waits."""
         total = len(doc[1])
         for start in range(0, total - total % self.window, self.window):
             self.emit([(doc, start, self.window)])
         if rest := total % self.window:
             self.waiting.append((rest, total - rest, doc))
-        if len(self.waiting) >= self.hold:
+        if len(self.waiting) >= self.hold or self.held >= self.hold:
             self.pack()
 
     def emit(self, pieces: list[tuple]) -> None:
-        """One sequence. Its step group: sequences of a tier are dealt in turn, `group` to a step."""
-        tier = sum(n for _, _, n in pieces)
-        number = self.dealt.get(tier, 0)
-        self.dealt[tier] = number + 1
+        self.block.setdefault(sum(n for _, _, n in pieces), []).append(pieces)
+        self.held += 1
+
+    def deal(self, last: bool) -> None:
+        """Step groups of the block's sequences; what fills no group waits for the next block, if there is one."""
+        for tier, sequences in self.block.items():
+            count = len(sequences) // self.group
+            whole = len(sequences) if last else count * self.group
+            count += last and len(sequences) % self.group > 0
+            loads = [(0, 0, self.groups + g) for g in range(count)]
+            room = -(-whole // max(1, count))
+            for pieces in sorted(sequences[:whole], key=len, reverse=True):
+                load, n, group = heapq.heappop(loads)
+                self.write(pieces, tier, group)
+                if n + 1 < room:
+                    heapq.heappush(loads, (load + len(pieces), n + 1, group))
+            self.groups += count
+            self.block[tier] = sequences[whole:]
+        self.held = sum(map(len, self.block.values()))
+
+    def write(self, pieces: list[tuple], tier: int, group: int) -> None:
         at = 0
         for (doc_id, ids), start, n in pieces:
-            self.out.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), self.next, at, tier, number // self.group))
+            self.out.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), self.next, at, tier, group))
             at += n
         self.next += 1
 
-    def pack(self) -> None:
+    def pack(self, last: bool = False) -> None:
         """Longest first: open a window of the piece's tier, then fill its gap with the longest piece that fits, else with a part of the next shorter one."""
         by_length: dict[int, list] = {}
         for n, start, doc in self.waiting:
@@ -132,6 +156,7 @@ class Packer:
                 gap -= used
             left -= tier
             self.emit(pieces)
+        self.deal(last)
 
 
 def pack_documents(
@@ -170,7 +195,7 @@ def pack_documents(
                     packer.add((doc_id, np.array([*ids, END], dtype="<u4")))
                 if len(packer.out) >= 8192:
                     yield flush()
-        packer.pack()
+        packer.pack(last=True)
         yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(packed, PIECES)

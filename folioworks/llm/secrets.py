@@ -28,10 +28,16 @@ BASE_KINDS = ("assign", "access", "hex")
 #: Character classes: name, alphabet, pattern of candidates, window, least bits a character within some window.
 HEX_DIGITS = "0123456789abcdefABCDEF"
 LETTERS_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+AROUND = ("(?<![A-Za-z0-9+/_-])", "(?![A-Za-z0-9+/_-])")
 CLASSES = (
-    ("hex", HEX_DIGITS, r"(?<![A-Za-z0-9+/_-])(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_-])", 16, 3.0),
-    ("base64", LETTERS_DIGITS, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[^A-Z\s]*+[A-Z])(?=[^a-z\s]*+[a-z])[A-Za-z0-9+/_-]{20,}", 20, 3.7),
+    ("hex", HEX_DIGITS, AROUND[0] + "(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{20,}" + AROUND[1], 16, 3.0),
+    ("base64", LETTERS_DIGITS, AROUND[0] + "(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}", 20, 3.7),
+    ("upper", LETTERS_DIGITS, AROUND[0] + "(?=[A-Z]*+[0-9])(?=[0-9]*+[A-Z])[A-Z0-9]{20,}" + AROUND[1], 20, 3.6),
+    ("lower", LETTERS_DIGITS, AROUND[0] + "(?=[a-z]*+[0-9])(?=[0-9]*+[a-z])[a-z0-9]{20,}" + AROUND[1], 20, 3.6),
+    ("letters", LETTERS_DIGITS, AROUND[0] + "(?=[A-Z]*+[a-z])(?=[A-Z]?[a-z]*+[A-Z])[A-Za-z]{24,}" + AROUND[1], 24, 3.9),
 )
+#: What a text has to have for any class.
+LEAST_RUN = "[A-Za-z0-9+/_-]{20}"
 #: Strings that look random but are no secrets: identifiers, made-up examples, paths.
 ALLOW = (r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"(?i)example|sample|dummy|placeholder", r"^(/[a-z_]+)+$")
 BLOCK = 256
@@ -56,32 +62,35 @@ def starts(pieces: Column, matches: Column) -> Column:
     return F.when(count > 0, spread).otherwise(F.array().cast("array<int>"))
 
 
-def entropy(text: Column, alphabet: str, window: int) -> Column:
+def entropy(text: Column, window: int) -> Column:
     """The largest entropy, in bits a character, among the windows of `text`; of the whole where that is shorter.
 
-    With w characters and counts c, it is log2(w) - sum(c * log2(c)) / w. Only two counts change with a step.
+    With w characters and counts c, it is log2(w) - sum(c * log2(c)) / w. A step changes two counts, of the character that
+    enters and of the one that leaves; the sum is kept up from these.
     """
-    length = F.length(text)
-    wide = F.least(length, F.lit(window))
-    at = lambda i: F.instr(F.lit(alphabet), F.substring(text, i, F.lit(1)))
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("terms"), F.lit(1e9).alias("least"))
-
-    def enter(acc: Column, i: Column, leaves: Column) -> Column:
-        come, go = at(i), F.when(leaves > 0, at(leaves)).otherwise(0)
-        n_in = F.element_at(acc["counts"], come)
-        n_out = F.when(go > 0, F.element_at(acc["counts"], F.greatest(go, F.lit(1)))).otherwise(0)
-        same = come == go
-        terms = F.when(same, acc["terms"]).otherwise(acc["terms"] + term(n_in + 1) - term(n_in) + F.when(go > 0, term(n_out - 1) - term(n_out)).otherwise(0.0))
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k + 1 == come, 1).otherwise(0) - F.when(k + 1 == go, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), terms.alias("terms"), F.when(i >= wide, F.least(acc["least"], terms)).otherwise(acc["least"]).alias("least"))
-
-    return F.aggregate(F.sequence(F.lit(1), length), zero, lambda acc, i: enter(acc, i, i - wide), lambda acc: F.log2(wide) - acc["least"] / wide)
-
-
-def located(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Pieces and matches of a pattern; texts without a match cost one search."""
-    hit = text.rlike(pattern)
+    wide = lambda chars: F.least(F.size(chars), F.lit(window))
+    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    zero = F.struct(F.lit(0.0).alias("terms"), F.lit(1e9).alias("least"))
+
+    def step(chars: Column, acc: Column, i: Column) -> Column:
+        come, go = F.get(chars, i), F.get(chars, i - window)
+        held = lambda: F.slice(chars, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
+        count = lambda c: F.size(F.filter(held(), lambda x: x == c))
+        n_in = count(come)
+        entered = acc["terms"] + term(n_in + 1) - term(n_in)
+        n_out = count(go)
+        terms = F.when(i < window, entered).when(come == go, acc["terms"]).otherwise(entered + term(n_out - 1) - term(n_out))
+        return F.struct(terms.alias("terms"), F.when(i + 1 >= wide(chars), F.least(acc["least"], terms)).otherwise(acc["least"]).alias("least"))
+
+    end = lambda chars, acc: F.log2(wide(chars).cast("double")) - acc["least"] / wide(chars)
+    slid = lambda chars: F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, lambda acc, i: step(chars, acc, i), lambda acc: end(chars, acc))
+    # The characters are bound once, as the single item of an array.
+    return F.get(F.transform(F.array(F.split(text, "")), slid), F.lit(0))
+
+
+def located(text: Column, pattern: str, first: Column | None = None) -> tuple[Column, Column]:
+    """Pieces and matches of a pattern; texts without a match cost one search, and none where `first` is false."""
+    hit = text.rlike(pattern) if first is None else first & text.rlike(pattern)
     none = F.array().cast("array<string>")
     return F.when(hit, F.split(text, pattern, -1)).otherwise(none), F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
 
@@ -105,8 +114,11 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", allo
     kinds = [("assign", ASSIGN, None, None), ("access", ACCESS, None, None), ("hex", HEX, None, None)]
     kinds += [(f"entropy_{name}", pattern, alphabet, (window, least)) for name, alphabet, pattern, window, least in CLASSES]
     kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
-    cut = {f"{work}{k}_{part}": col for k, pattern, _, _ in kinds for part, col in zip("pm", located(source, pattern), strict=True)}
-    parts = docs.select(*kept, *[c.alias(n) for n, c in cut.items()])
+    run, whole = f"{work}run", f"{work}text"
+    held = docs.select(*kept, source.alias(whole), source.rlike(LEAST_RUN).alias(run))
+    first = lambda alphabet: F.col(run) if alphabet else None
+    cut = {f"{work}{k}_{part}": col for k, pattern, alphabet, _ in kinds for part, col in zip("pm", located(F.col(whole), pattern, first(alphabet)), strict=True)}
+    parts = held.select(*kept, *[c.alias(n) for n, c in cut.items()])
 
     def found(kind, pattern, alphabet, limits):
         pieces, matches = F.col(f"{work}{kind}_p"), F.col(f"{work}{kind}_m")
@@ -114,7 +126,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", allo
             spans = spans_of(kind, pieces, matches)
             value = lambda s: F.length(F.regexp_extract(s["text"], f"^{ASSIGN}", 1)) >= 6
             return F.filter(spans, value) if kind == "assign" else spans
-        spans = spans_of("entropy", pieces, matches, lambda m: entropy(m, alphabet, limits[0]))
+        spans = spans_of("entropy", pieces, matches, lambda m: entropy(m, limits[0]))
         excused = lambda s: [s["text"].rlike(p) for p in allow]
         return F.filter(spans, lambda s: (s["bits"] >= limits[1]) & ~any_of(excused(s)))
 

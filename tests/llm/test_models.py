@@ -18,7 +18,7 @@ def made_up(rng, lang, n):
 
 def test_packing_is_a_partition_of_all_ids(spark):
     rng = random.Random(3)
-    texts = [None, "", "é€😀 x", "<|endoftext|> a", "  spaces   and\n\ttabs ", "x" * 3000] + [made_up(rng, "aa", rng.choice([1, 30, 700, 3000])) for _ in range(60)]
+    texts = [None, "", "é€😀 x", "<|endoftext|> a", "  spaces   and\n\ttabs ", "x" * 3000, " " * 1_000_000 + "a", "y" * 100_000] + [made_up(rng, "aa", rng.choice([1, 30, 700, 3000])) for _ in range(60)]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(3, texts[3], 1)], "doc_id long, text string, length int").repartition(2)
     pieces = packing.pack_documents(df).toPandas()
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -38,6 +38,18 @@ def test_packing_is_a_partition_of_all_ids(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_step_groups_are_balanced(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, made_up(rng, "aa", rng.choice([3, 20, 90, 400, 2000]))) for i in range(700)], "doc_id long, text string").coalesce(1)
+    pieces = packing.pack_documents(df, group=8).toPandas()
+    groups = pieces.groupby(["tier", "step_group"]).agg(n=("sequence_id", "nunique"), pieces=("length", "size")).reset_index()
+    assert groups.step_group.is_unique
+    full = groups[groups.tier == 1024]
+    most = pieces[pieces.tier == 1024].groupby("sequence_id").size().max()
+    assert len(full) >= 50 and full.n.max() == 8
+    assert full.pieces.max() <= max(full.pieces.mean() + 2, most + 1) and full.pieces.min() >= full.pieces.median() - 3
+
+
 def test_fast_ids_equal_the_vocabulary(spark):
     rng = random.Random(4)
     pool = "aàé ñ\n\t  0123!?.,'’\"€😀漢字العربيةßẞ​ \x00-_/\\"
@@ -55,13 +67,13 @@ def test_language_codes_are_apart():
 def test_language_of_held_out_texts(spark):
     rng = random.Random(6)
     rows = [(i, made_up(rng, lang, rng.randint(5, 60)), lang, "s") for i, lang in enumerate(rng.choices(list(SYLLABLES), k=240))]
-    rows += [(900, None, "aa", "s"), (901, "123 !!", "aa", "s"), (902, "", None, "s")]
+    rows += [(900, None, "aa", "s"), (901, "123 !!", "aa", "s"), (902, "", None, "s"), (903, "½ ² _", "aa", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     model = langid.fit(df.where("doc_id % 3 <> 0"))
     told = {r["doc_id"]: r for r in langid.identify(df, model).collect()}
     held = [r for r in rows[:240] if r[0] % 3 == 0]
     assert sum(told[r[0]]["lang_pred"] == r[2] for r in held) >= 0.97 * len(held)
-    assert {told[i]["lang_pred"] for i in (900, 901, 902)} == {"und"} and all(0 <= r["score"] <= 1 for r in told.values())
+    assert {told[i]["lang_pred"] for i in (900, 901, 902, 903)} == {"und"} and all(0 <= r["score"] <= 1 for r in told.values())
     none = langid.fit(df.limit(0))
     assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
 

@@ -85,10 +85,23 @@ def test_entropy_of_windows(spark):
 
     words = ["aaaaaaaaaa", "abcdefghij", "aabbccddeeffgghhiijj0123", "Zz9", "ababababababababababababab01234567"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    for r in df.select("w", secrets.entropy(F.col("w"), secrets.LETTERS_DIGITS, 8).alias("e")).collect():
+    for r in df.select("w", secrets.entropy(F.col("w"), 8).alias("e")).collect():
         assert abs(r["e"] - slow(r["w"], 8)) < 1e-9
 
 
+def test_classes_and_long_candidates(spark):
+    import random
+
+    rng = random.Random(3)
+    run = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    found = [run(upper + "234567", 32), run(lower + "0123456789", 32), run(upper + lower, 40), run("ABCEFGHIJKLMNOQRSTUVWXYZabcefghijklmnoqrstuvwxyz0123456789", 200_000)]
+    plain = ["donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION", "xxxxxxxxxxxxxxxxxxxxxxxx1", "a,b;" * 100_000, "x" * 200_000 + "Y1"]
+    df = spark.createDataFrame([(i, f"so {t} end") for i, t in enumerate(found + plain)], "doc_id long, text string")
+    got = rows(secrets.find_secrets(df), "secrets")
+    assert got == {i: [("entropy", 3, 3 + len(t))] for i, t in enumerate(found)} | {len(found) + i: [] for i in range(len(plain))}
+
+
 def test_extra_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "token=abcdef1", "x", 5), (1, "token=abcdef1", "x", 5)], "doc_id long, text string, secrets string, spans int")
     out = secrets.find_secrets(df)
