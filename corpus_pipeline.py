@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.llm import decontam, langid, line_dedup, ngram_join, packing
-from folioworks.tables import stored, table
+from folioworks.tables import stored, table, unused_name
 
 #: A language has to reach this score for a document to stay.
 LEAST_SCORE = 0.5
@@ -18,7 +18,8 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters go, and those that no language fits clearly."""
-    told = langid.identify(docs.withColumn("__text", F.col("text")), langid.fit(docs), "__text")
+    rows = docs.withColumn(whole := unused_name("whole_text", docs.columns), F.col("text"))
+    told = langid.identify(rows, langid.fit(docs), whole)
     kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return told.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -26,8 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line is similar to go; documents that have no words left then go with them."""
     worded = lambda t: F.coalesce(F.regexp_replace(t, r"\s+", "") != "", F.lit(False))
-    left = line_dedup.dedup_lines(docs.withColumn("__had", worded(F.col("text"))))
-    return left.where(~F.col("__had") | worded(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    had = unused_name("had_words", docs.columns)
+    left = line_dedup.dedup_lines(docs.withColumn(had, worded(F.col("text"))))
+    return left.where(~F.col(had) | worded(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
