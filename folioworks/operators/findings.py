@@ -112,10 +112,14 @@ def acr_sections(assessed: DataFrame) -> DataFrame:
     )
 
 
-def job_status(jobs: DataFrame, summary: DataFrame) -> DataFrame:
-    """delivered, in-review, remediated or detected. `jobs` has delivered, reviewer and remediated_at."""
-    joined = jobs.join(summary.select("job_id", "conforms"), "job_id", "left")
-    status = F.when(F.col("delivered"), "delivered").when(F.col("reviewer").isNotNull(), "in-review").when(F.col("remediated_at").isNotNull(), "remediated").otherwise("detected")
+def job_status(jobs: DataFrame, summary: DataFrame, touched: DataFrame) -> DataFrame:
+    """delivered if all conforms, in-review once a person has decided or confirmed anything, then remediated, else detected.
+
+    `jobs` has remediated_at; `touched` the job_id of decisions and confirmations.
+    """
+    hands = touched.select("job_id").distinct().withColumn("hands", F.lit(True))
+    joined = jobs.join(summary.select("job_id", "conforms"), "job_id", "left").join(hands, "job_id", "left")
+    status = F.when(F.col("conforms"), "delivered").when(F.col("hands"), "in-review").when(F.col("remediated_at").isNotNull(), "remediated").otherwise("detected")
     return joined.select("job_id", status.alias("status"))
 
 

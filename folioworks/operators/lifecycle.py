@@ -98,7 +98,7 @@ def swept(jobs: DataFrame, now: Column) -> DataFrame:
 def history(events: DataFrame) -> DataFrame:
     """By account: readable events, unreadable ones (no time), security events, first and last."""
     at = parsed(F.col("at"))
-    security = F.col("action").rlike("^(account|sign-in|sign-out|session|reset)")
+    security = F.col("action").rlike("^(account|sign-in|reset)") | F.col("action").isin("session.expired", "mail.failed")
     return events.groupBy("account").agg(
         F.count_if(at.isNotNull()).alias("events"), F.count_if(at.isNull()).alias("unreadable"), F.count_if(security).alias("security"), F.min(at).alias("first_at"), F.max(at).alias("last_at")
     )

@@ -17,13 +17,13 @@ def tier(pages: Column, textless: Column, tagged: Column, headings: Column) -> C
 
 def counts_by_tier(facts: DataFrame) -> DataFrame:
     """One row with a count for each tier, zero where there is none."""
-    return facts.agg(*[F.count_if(F.col("tier") == t).alias(t) for t in TIERS], F.round(F.coalesce(F.count_if(F.col("tier") == "structured") * 100 / F.count("*"), F.lit(0.0))).cast("long").alias("certifiable_percent"))
+    return facts.agg(*[F.count_if(F.col("tier") == t).alias(t) for t in TIERS], F.round(F.coalesce(F.count_if(F.col("tier").isin("tagged", "structured")) * 100 / F.count("*"), F.lit(0.0))).cast("long").alias("certifiable_percent"))
 
 
 def figures_mix(facts: DataFrame) -> DataFrame:
-    """Documents with undescribed figures, those of them whose figures can be described, and how many figures that is."""
-    needs, can = F.col("undescribed") > 0, F.col("tier").isin("tagged", "structured")
-    return facts.agg(F.count_if(needs).alias("needing"), F.count_if(needs & can).alias("draftable"), F.sum(F.when(needs & can, F.col("undescribed")).otherwise(0)).alias("figures"))
+    """Documents with undescribed figures, those of them with raster images that could be sent, and all figures that wait."""
+    needs, can = F.col("undescribed") > 0, F.col("raster_images") > 0
+    return facts.agg(F.count_if(needs).alias("needing"), F.count_if(needs & can).alias("draftable"), F.coalesce(F.sum(F.when(needs, F.col("undescribed"))), F.lit(0)).alias("figures"))
 
 
 def reach(fmt: Column, tier_: Column) -> Column:

@@ -57,7 +57,9 @@ def acr_sections(spark, sf_dir):
 
 
 def job_status(spark, sf_dir):
-    return findings.job_status(surrogates.jobs(spark, sf_dir), findings.summarise(assessed(spark, sf_dir)))
+    decided = surrogates.findings(spark, sf_dir).where("action is not null").select("job_id")
+    touched = decided.union(confirmed(spark, sf_dir).select("job_id"))
+    return findings.job_status(surrogates.jobs(spark, sf_dir), findings.summarise(assessed(spark, sf_dir)), touched)
 
 
 def rebuild_membership(spark, sf_dir):
@@ -123,8 +125,8 @@ a AS (SELECT j.job_id, j.format, c.ord, c.criterion, c.principle, coalesce(k.ope
 s AS (SELECT job_id, bool_and(status IN ('Supports', 'Not Applicable')) AS conforms, count(*) FILTER (status <> 'Not Applicable') AS owed, count(*) FILTER (status IN ('Partially Supports', 'Does Not Support')) AS short,
   count(*) FILTER (status = 'Needs Review') AS review, sum(CASE WHEN status IN ('Partially Supports', 'Does Not Support') THEN blocking ELSE 0 END)::BIGINT AS blocking,
   sum(CASE WHEN status IN ('Partially Supports', 'Does Not Support') THEN open - blocking ELSE 0 END)::BIGINT AS other FROM a GROUP BY 1)"""
-FACTS_SQL = """fa AS (SELECT o_orderkey AS job_id, (o_orderkey % 5)::INT AS pages, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 5 ELSE 0 END AS textless, o_orderkey % 3 <> 0 AS tagged, o_custkey % 4 AS headings, (o_custkey % 17)::INT AS undescribed FROM orders),
-t AS (SELECT job_id, undescribed, CASE WHEN pages > 0 AND textless = pages THEN 'scan' WHEN NOT tagged THEN 'untagged' WHEN headings > 0 THEN 'structured' ELSE 'tagged' END AS tier FROM fa)"""
+FACTS_SQL = """fa AS (SELECT o_orderkey AS job_id, (o_orderkey % 5)::INT AS pages, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 5 ELSE 0 END AS textless, o_orderkey % 3 <> 0 AS tagged, o_custkey % 4 AS headings, (o_custkey % 17)::INT AS undescribed, (o_custkey % 5)::INT AS raster FROM orders),
+t AS (SELECT job_id, undescribed, raster, CASE WHEN pages > 0 AND textless = pages THEN 'scan' WHEN NOT tagged THEN 'untagged' WHEN headings > 0 THEN 'structured' ELSE 'tagged' END AS tier FROM fa)"""
 Q_SQL = f"""{FACTS_SQL}, r AS (SELECT job_id, undescribed AS figures, CASE WHEN job_id % 6 = 0 OR tier = 'structured' THEN 'most' WHEN tier = 'untagged' THEN 'metadata' WHEN tier = 'tagged' THEN 'figures' ELSE 'nothing' END AS reach FROM t),
 o(offer, rank) AS (VALUES ('assessment', 1), ('statement', 2), ('remediation', 3)),
 q AS (SELECT job_id, offer, rank, reach, figures, NOT (offer <> 'assessment' AND (reach = 'nothing' OR (offer = 'remediation' AND reach = 'metadata'))) AS available FROM r CROSS JOIN o),
@@ -139,7 +141,7 @@ ORACLE_SQL = {
     "summarise": f"WITH {A_SQL} SELECT * FROM s",
     "conforms": f"WITH {A_SQL} SELECT CASE WHEN conforms THEN 'conforms' WHEN short = 0 THEN 'awaits review' ELSE 'falls short' END AS headline, count(*) AS jobs FROM s GROUP BY 1",
     "acr_sections": f"WITH {A_SQL} SELECT job_id, principle, count(*) FILTER (status = 'Supports') AS supports, count(*) FILTER (status IN ('Partially Supports', 'Does Not Support')) AS short, count(*) FILTER (status = 'Needs Review') AS review, coalesce(string_agg(CASE WHEN status IN ('Partially Supports', 'Does Not Support') THEN criterion END, ', ' ORDER BY ord), '') AS short_criteria FROM a GROUP BY 1, 2",
-    "job_status": "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 7 = 0 THEN 'delivered' WHEN o_orderpriority LIKE '1%' THEN 'in-review' WHEN o_orderstatus = 'P' THEN 'remediated' ELSE 'detected' END AS status FROM orders",
+    "job_status": f"WITH {A_SQL} SELECT o_orderkey AS job_id, CASE WHEN conforms THEN 'delivered' WHEN s.job_id IS NOT NULL THEN 'in-review' WHEN o_orderstatus = 'P' THEN 'remediated' ELSE 'detected' END AS status FROM orders LEFT JOIN s ON s.job_id = o_orderkey",
     "rebuild_membership": f"""WITH {F_SQL}, n AS (SELECT l_orderkey AS job_id, {KIND_LIST}[(l_partkey % 20)::INT + 1] AS kind, 'page ' || (l_suppkey % 9 + CASE WHEN l_suppkey % 7 = 0 THEN 100 ELSE 0 END) AS location FROM lineitem WHERE l_partkey % 2 = 0 OR l_suppkey % 7 = 0),
 b AS (SELECT f.job_id, f.remediated OR NOT EXISTS (SELECT 1 FROM n WHERE n.job_id = f.job_id AND n.kind = f.kind AND n.location = f.location) AS fixed, false AS new FROM f),
 w AS (SELECT n.job_id, false AS fixed, true AS new FROM n WHERE NOT EXISTS (SELECT 1 FROM f WHERE n.job_id = f.job_id AND n.kind = f.kind AND n.location = f.location))
@@ -147,8 +149,8 @@ SELECT job_id, count(*) FILTER (fixed AND NOT new) AS fixed, count(*) FILTER (NO
     "fixable": f"""WITH {F_SQL}, x AS (SELECT *, CASE WHEN job_id % 5 = 0 THEN 'web' WHEN job_id % 2 = 0 THEN 'docx' ELSE 'pdf' END AS format, CASE kind WHEN 'image-alt' THEN 'alt' WHEN 'link-text' THEN 'text' ELSE 'judge' END AS review_input FROM f)
 SELECT format, review_input, count(*) FILTER (open AND (format = 'docx' AND kind IN {catalog.FIXABLE['docx']} OR format = 'pdf' AND kind IN {catalog.FIXABLE['pdf']})) AS fixable, count(*) FILTER (open) AS open, count(*) FILTER (dismissed) AS decided FROM x GROUP BY 1, 2""",
     "triage_tier": f"WITH {FACTS_SQL} SELECT job_id, tier, undescribed FROM t",
-    "tier_mix": f"WITH {FACTS_SQL} SELECT count(*) FILTER (tier = 'scan') AS scan, count(*) FILTER (tier = 'untagged') AS untagged, count(*) FILTER (tier = 'tagged') AS tagged, count(*) FILTER (tier = 'structured') AS structured, round(count(*) FILTER (tier = 'structured')*100.0 / count(*))::BIGINT AS certifiable_percent FROM t",
-    "figures_mix": f"WITH {FACTS_SQL} SELECT count(*) FILTER (undescribed > 0) AS needing, count(*) FILTER (undescribed > 0 AND tier IN ('tagged', 'structured')) AS draftable, coalesce(sum(undescribed) FILTER (undescribed > 0 AND tier IN ('tagged', 'structured')), 0)::BIGINT AS figures FROM t",
+    "tier_mix": f"WITH {FACTS_SQL} SELECT count(*) FILTER (tier = 'scan') AS scan, count(*) FILTER (tier = 'untagged') AS untagged, count(*) FILTER (tier = 'tagged') AS tagged, count(*) FILTER (tier = 'structured') AS structured, round(count(*) FILTER (tier IN ('tagged', 'structured'))*100.0 / count(*))::BIGINT AS certifiable_percent FROM t",
+    "figures_mix": f"WITH {FACTS_SQL} SELECT count(*) FILTER (undescribed > 0) AS needing, count(*) FILTER (undescribed > 0 AND raster > 0) AS draftable, coalesce(sum(undescribed) FILTER (undescribed > 0), 0)::BIGINT AS figures FROM t",
     "quote_all": f"WITH {Q_SQL} SELECT job_id, offer, available, cents, extra_figures, available AND offer <> 'assessment' AND reach <> 'most' AS caveat FROM p",
     "best_offer": f"WITH {Q_SQL} SELECT job_id, arg_max(offer, rank) AS offer, arg_max(cents, rank) AS cents FROM p WHERE available GROUP BY 1",
 }

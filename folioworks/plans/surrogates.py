@@ -69,7 +69,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         k.alias("job_id"), (k % 5).cast("int").alias("pages"), F.when(k % 4 == 0, k % 5).otherwise(0).cast("int").alias("textless"), (k % 3 != 0).alias("tagged"),
-        (F.col("o_custkey") % 4).cast("int").alias("headings"), (F.col("o_custkey") % 17).cast("int").alias("undescribed"),
+        (F.col("o_custkey") % 4).cast("int").alias("headings"), (F.col("o_custkey") % 17).cast("int").alias("undescribed"), (F.col("o_custkey") % 5).cast("int").alias("raster_images"),
     )
 
 

@@ -161,3 +161,17 @@ def test_idle_sessions_as_a_stream(spark, tmp_path):
         sessions.run_available(sessions.idle_sessions(stream), str(tmp_path / "out"), str(tmp_path / "check"))
     got = sorted((r["user_id"], r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_rules_as_stated(spark):
+    """Literal cases of audit, triage, figures and status."""
+    actions = ["sign-in.failed", "sign-out", "session.expired", "session.started", "mail.failed", "account.created", "reset.requested", "job.created"]
+    events = spark.createDataFrame([("a", x, "2024-01-01 00:00:00") for x in actions], "account string, action string, at string")
+    assert lifecycle.history(events).first()["security"] == 5
+    facts = spark.createDataFrame([("scan", 2, 1), ("untagged", 0, 3), ("tagged", 4, 0), ("structured", 1, 2)], "tier string, undescribed int, raster_images int")
+    assert triage.counts_by_tier(facts).first()["certifiable_percent"] == 50
+    assert tuple(triage.figures_mix(facts).first()) == (3, 2, 7)
+    jobs = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, None)], "job_id long, remediated_at string")
+    summary = spark.createDataFrame([(1, True), (2, False), (3, False), (4, False)], "job_id long, conforms boolean")
+    touched = spark.createDataFrame([(1,), (2,), (2,)], "job_id long")
+    assert {r["job_id"]: r["status"] for r in findings.job_status(jobs, summary, touched).collect()} == {1: "delivered", 2: "in-review", 3: "remediated", 4: "detected"}
