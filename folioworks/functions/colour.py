@@ -48,3 +48,27 @@ def format_ratio(ratio: Column) -> Column:
     """Two decimals, cut off, without trailing zeros: 4.5:1."""
     cut = F.format_string("%.2f", F.floor(ratio * 100) / 100)
     return F.concat(F.regexp_replace(cut, r"\.?0+$", ""), F.lit(":1"))
+
+
+def adjusted(ink: Column, paper: Column, minimum: Column, halvings: int = 24) -> Column:
+    """The ink, mixed with as little black (on light paper) or white (on dark paper) as reaches the minimum.
+
+    Both searches are folds with a small state, so the expression stays small; ink that passes costs one comparison.
+    """
+    end = F.when(luminance(paper) > 0.5, 0).otherwise(255)
+
+    def mixed(share: Column) -> Column:
+        part = lambda c: F.floor(ink[c] + (end - ink[c]) * share + 0.5).cast("int").alias(c)
+        return F.struct(part("r"), part("g"), part("b"))
+
+    def halve(range_: Column, _: Column) -> Column:
+        middle = (range_["low"] + range_["high"]) / 2
+        enough = contrast(mixed(middle), paper) >= minimum
+        return F.struct(F.when(enough, range_["low"]).otherwise(middle).alias("low"), F.when(enough, middle).otherwise(range_["high"]).alias("high"))
+
+    whole = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    share = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), whole, halve, lambda range_: range_["high"])
+    # Rounding to whole numbers can fall short of the minimum: go on by 1/255 until it is reached.
+    short = lambda s: (s < 1) & (contrast(mixed(s), paper) < minimum)
+    enough = F.aggregate(F.sequence(F.lit(1), F.lit(255)), share, lambda s, _: F.when(short(s), F.least(F.lit(1.0), s + 1 / 255)).otherwise(s), mixed)
+    return F.when(contrast(ink, paper) >= minimum, ink).otherwise(enough)

@@ -34,6 +34,12 @@ def pixel_mode(spark, sf_dir):
     return painted.paper_and_ink(pixels).select("run_id", "paper", F.round("share", 6).alias("share"), "ink")
 
 
+def colour_adjusted(spark, sf_dir):
+    rows = part_colours(spark, sf_dir)
+    least = colour.minimum_ratio(F.col("points"), F.col("bold"))
+    return rows.select("p_partkey", colour.to_hex(colour.adjusted(F.col("fg"), F.col("bg"), least)).alias("adjusted"))
+
+
 CHANNEL = "(CASE WHEN {0}/255.0 <= 0.03928 THEN {0}/255.0/12.92 ELSE pow(({0}/255.0+0.055)/1.055, 2.4) END)"
 
 
@@ -54,9 +60,22 @@ RUNS_SQL = f"""runs AS (SELECT l_orderkey AS doc_id, 1 AS page,
   'part ' || l_partkey AS text, l_quantity AS points, l_returnflag = 'R' AS bold, 0.5 + 2*l_discount AS share,
   l_partkey*7919 % 16777216 AS f, {BG_SQL}[(l_suppkey % 4)::INT + 1] AS g, l_partkey, l_suppkey, l_quantity FROM lineitem)"""
 
-QUERIES = {"contrast_ratio": contrast_ratio, "contrast_findings": contrast_findings, "pixel_mode": pixel_mode}
+QUERIES = {"contrast_ratio": contrast_ratio, "contrast_findings": contrast_findings, "pixel_mode": pixel_mode, "colour_adjusted": colour_adjusted}
+
+# A colour on the way from f to e.
+MIX = "(floor(({n})//{d}%256 + (({e}) - ({n})//{d}%256)*{t} + 0.5)::BIGINT)"
+
+
+def mix_sql(share: str) -> str:
+    return "(" + " + ".join(MIX.format(n="f", d=d, e="e", t=share) + f"*{d}" for d in (65536, 256, 1)) + ")"
 
 ORACLE_SQL = {
+    "colour_adjusted": f"""WITH RECURSIVE {PARTS_SQL}, r AS (SELECT p_partkey, f, g, CASE WHEN {lum('g')} > 0.5 THEN 0 ELSE 255 END AS e, CASE WHEN large THEN 3.0 ELSE 4.5 END AS m, {ratio_sql('f', 'g')} AS x FROM parts),
+b AS (SELECT *, 0 AS k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high FROM r WHERE x < m
+  UNION ALL SELECT p_partkey, f, g, e, m, x, k + 1, CASE WHEN {ratio_sql('c', 'g')} >= m THEN low ELSE (low + high)/2 END, CASE WHEN {ratio_sql('c', 'g')} >= m THEN (low + high)/2 ELSE high END FROM (SELECT *, {mix_sql('((low + high)/2)')} AS c FROM b WHERE k < 24)),
+t AS (SELECT p_partkey, g, m, n, {mix_sql('least(1.0, high + n/255.0)')} AS c FROM b, range(256) u(n) WHERE k = 24 AND n < 4),
+w AS (SELECT p_partkey, arg_min(c, n) AS c FROM t WHERE {ratio_sql('c', 'g')} >= m GROUP BY 1)
+SELECT p_partkey, {HEX.format('CASE WHEN x >= m THEN f ELSE coalesce(c, e*65793) END')} AS adjusted FROM r LEFT JOIN w USING (p_partkey)""",
     "contrast_ratio": f"""WITH {PARTS_SQL}, r AS (SELECT *, {ratio_sql('f', 'g')} AS x, CASE WHEN large THEN 3.0 ELSE 4.5 END::DOUBLE AS m FROM parts)
 SELECT p_partkey, {HEX.format('f')} AS fg, {HEX.format('g')} AS bg, round(x, 6) AS ratio, m AS minimum, x >= m AS passes FROM r""",
     "contrast_findings": f"""WITH {RUNS_SQL}, j AS (SELECT *, CASE WHEN points >= 18 OR (bold AND points >= 14) THEN 3.0 ELSE 4.5 END::DOUBLE AS m,

@@ -59,8 +59,8 @@ y AS (SELECT *, lag(top) OVER w AS pt, lag(bottom) OVER w AS pb FROM x WINDOW w
 z AS (SELECT *, sum(CASE WHEN pt IS NOT NULL AND (least(pb, bottom) - greatest(pt, top)) / least(pb - pt, bottom - top) > 0.5 THEN 0 ELSE 1 END) OVER w AS line, row_number() OVER w AS place FROM y WINDOW w AS (PARTITION BY doc_id, page ORDER BY top, l, ord))"""
 
 ORACLE_SQL = {
-    "heading_skip": f"WITH {RUNS_SQL}, h AS (SELECT doc_id, ord, (1 + l_partkey % 6)::INT AS level FROM runs), p AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY doc_id ORDER BY ord), 0) AS previous FROM h) SELECT * FROM p WHERE level > previous + 1",
-    "heading_repair": f"WITH RECURSIVE {RUNS_SQL}, h AS (SELECT doc_id, ord, (1 + l_partkey % 6)::INT AS level FROM runs), c AS (SELECT doc_id, ord, level, 1 AS corrected FROM h WHERE ord = 1 UNION ALL SELECT h.doc_id, h.ord, h.level, least(h.level, c.corrected + 1) FROM c JOIN h ON h.doc_id = c.doc_id AND h.ord = c.ord + 1) SELECT * FROM c",
+    "heading_skip": f"WITH {RUNS_SQL}, h AS (SELECT doc_id, ord, (1 + l_partkey % 6)::INT AS level FROM runs), p AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY ord) AS previous FROM h) SELECT * FROM p WHERE level > previous + 1",
+    "heading_repair": f"WITH RECURSIVE {RUNS_SQL}, h AS (SELECT doc_id, ord, (1 + l_partkey % 6)::INT AS level FROM runs), c AS (SELECT doc_id, ord, level, level AS corrected FROM h WHERE ord = 1 UNION ALL SELECT h.doc_id, h.ord, h.level, least(h.level, c.corrected + 1) FROM c JOIN h ON h.doc_id = c.doc_id AND h.ord = c.ord + 1) SELECT * FROM c",
     "pdf_heading_h": f"WITH {RUNS_SQL}, h AS (SELECT doc_id, ord, (l_partkey % 7)::INT AS level FROM runs) SELECT doc_id, ord, level, coalesce(last_value(CASE WHEN level > 0 THEN level END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord), 1) AS carried FROM h",
     "sequence_inversion": f"""WITH {BLOCKS_SQL}, g AS (SELECT doc_id, page, list_sort(list(abs(bottom - top)))[(count(*) // 2 + 1)::INT] / 2 AS gap FROM b GROUP BY 1, 2),
 d AS (SELECT b.*, arg_max(ord, top*1000 - ord) OVER (PARTITION BY doc_id, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS deep, max(top) OVER (PARTITION BY doc_id, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS deepest FROM b),

@@ -63,12 +63,12 @@ def test_heading_folds(spark):
     up = {(r["doc_id"], r["ord"]): r["corrected"] for r in headings.pulled_up(df.where("level > 0")).collect()}
     carried = {(r["doc_id"], r["ord"]): r["carried"] for r in headings.carried(df).collect()}
     for d, levels in enumerate(docs):
-        before, last = 0, 1
+        before, last = None, 1
         for i, v in enumerate(levels):
             last = v or last
             assert carried[d, i] == last
             if v:
-                before = min(v, before + 1)
+                before = v if before is None else min(v, before + 1)
                 assert up[d, i] == before
 
 
@@ -148,7 +148,57 @@ def test_word_archives_round_trip(spark):
     nodes = source.nodes_of(parts)
     assert [r["text"] for r in word.paragraphs(nodes).where("doc_id = 1").orderBy("pre").collect()] == ["Top <&>", "plain", "Deep"]
     got = {(r["doc_id"], r["kind"], r["location"]) for r in word.detect(nodes).collect()}
-    assert got == {(1, "heading-skip", "heading 2"), (2, "no-title", "document"), (2, "no-language", "document"), (2, "no-headings", "document"), (3, "no-title", "document")}
+    assert got == {(1, "heading-skip", "paragraph 3 (“Deep”)"), (2, "no-title", "document properties"), (2, "no-language", "document defaults"), (2, "no-headings", "whole document"), (3, "no-title", "document properties")}
+
+
+def test_word_rules_as_stated(spark):
+    """One case that is found and one that isn't for each kind, as XML."""
+    from folioworks.operators import word
+    from folioworks.sources import word as source
+
+    r = lambda t, props="": f"<r>{props}<t>{t}</t></r>"
+    p = lambda inner, props="": f"<p>{props}{inner}</p>"
+    drawing = lambda props: p(f"<r><drawing><inline><docPr {props}/></inline></drawing></r>")
+    box = f"<txbxContent>{p(r('Inside'))}</txbxContent>"
+    cell = lambda *ps: f"<tc>{''.join(ps)}</tc>"
+    row = lambda inner, props="": f"<tr>{props}{inner}</tr>"
+    two = cell(p(r("A"))) + cell(p(r("B")))
+    faulty = [
+        p(r("One"), '<pPr><pStyle val="Kop"/></pPr>'), p(r("Three"), '<pPr><outlineLvl val="2"/></pPr>'), drawing('id="7" name="Logo"'), f"<tbl>{row(two)}</tbl>",
+        p(r("Go ") + f"<hyperlink>{r('Click here.')}</hyperlink><hyperlink>{r('www.a.org')}</hyperlink><hyperlink/>"),
+        p(r("Pale", '<rPr><color val="999"/></rPr>') + r("plain")), p("<r><audioFile/></r>"), p(f"<sdt>{r('x')}</sdt><r><instrText>FORMCHECKBOX</instrText></r>"),
+        p(f"<r><AlternateContent><Choice>{box}</Choice><Fallback>{box}</Fallback></AlternateContent></r>"), p(r("Set aside"), "<pPr><framePr/></pPr>"),
+        f"<tbl>{row(cell(p(r('A')), p(r('B'))) + cell(p(r('C'))), '<trPr><tblHeader/></trPr>')}</tbl>", p(r("Press the round button. Errors are shown in red.")), p("<r><chart/></r>"),
+    ]
+    sound = [
+        p(r("Two"), '<pPr><pStyle val="Kop"/></pPr>'), p(r("Two"), '<pPr><outlineLvl val="1"/></pPr>'), drawing('descr="A logo"'), f"<tbl>{row(two, '<trPr><tblHeader/></trPr>')}</tbl>", p(f"<hyperlink>{r('Annual report')}</hyperlink>"),
+        p(r("Dark", '<rPr><color val="595959"/><b/></rPr>') + r("plain")), p(r("Pale", '<rPr><color val="8C8C8C"/><sz val="36"/></rPr>')), p("<r><instrText>PAGE</instrText></r>"), p(r(" "), "<pPr><framePr/></pPr>"),
+        f"<tbl><tblPr><tblBorders><top val='single'/></tblBorders></tblPr>{row(cell(p(r('A')), p(r('B'))) + cell(p(r('C'))), '<trPr><tblHeader/></trPr>')}</tbl>", p(r("The round tower is red.")),
+    ]
+    styles = '<styles><docDefaults><rPrDefault><rPr><lang val="en-GB"/></rPr></rPrDefault></docDefaults><style type="paragraph" styleId="Kop"><pPr><outlineLvl val="0"/></pPr></style></styles>'
+    rows = [(i, part, xml, None) for i, doc in ((1, faulty), (2, sound)) for part, xml in (("word/document.xml", f"<document><body>{''.join(doc)}</body></document>"), ("word/styles.xml", styles), ("docProps/core.xml", "<core><title>T</title></core>"))]
+    rows += [(3, "word/document.xml", "<document><body/></document>", None), (3, "word/settings.xml", '<settings><themeFontLang eastAsia="ja-JP"/></settings>', None), (4, "word/document.xml", "<broken", None)]
+    found = word.detect(source.nodes_of(spark.createDataFrame(rows, "doc_id long, part string, xml string, error string"))).orderBy("doc_id", "seq").collect()
+    got = [(r["kind"], r["location"], r["detail"]) for r in found if r["doc_id"] == 1]
+    assert got == [
+        ("image-alt", "image 1 (Logo), paragraph 3", None), ("table-header", "table 1 (“A · B”)", None), ("heading-skip", "paragraph 2 (“Three”)", "3 after 1"),
+        ("link-text", "paragraph 6 (“Go Click here.www.a.org”)", "generic: Click here."), ("link-text", "paragraph 6 (“Go Click here.www.a.org”)", "address: www.a.org"), ("link-text", "paragraph 6 (“Go Click here.www.a.org”)", "empty"),
+        ("contrast", "paragraph 7 (“Paleplain”)", "#999999 on #FFFFFF, 2.84:1; 4.5:1"), ("media", "recording 1, paragraph 8", None), ("forms", "field 1, paragraph 9 (“x”)", None), ("forms", "field 2, paragraph 9 (“x”)", None),
+        ("reading-order", "text box 1 (“Inside”), paragraph 10", None), ("reading-order", "paragraph 11 (“Set aside”)", None), ("layout-table", "table 2", None),
+        ("sensory", "paragraph 15 (“Press the round button. Errors are shown in red.”)", "shape: round button"), ("colour-words", "paragraph 15 (“Press the round button. Errors are shown in red.”)", "shown in red"),
+        ("colour-only", "paragraph 7 (“Paleplain”)", "#999"), ("chart", "chart 1, paragraph 16", None),
+    ]
+    assert [r["kind"] for r in found if r["doc_id"] == 2] == [] and [r["kind"] for r in found if r["doc_id"] == 3] == ["no-title"]
+    assert [r["anchor"] for r in found if r["anchor"]] == ["docPr:7", "hyperlink:0", "hyperlink:1", "hyperlink:2"]
+
+
+def test_colours_are_adjusted(spark):
+    white = rgb(255, 255, 255)
+    fit = lambda c, least: tuple(one(spark, c=colour.adjusted(c, white, F.lit(least)))["c"])
+    pale = fit(rgb(153, 153, 153), 4.5)
+    assert 0x70 <= pale[0] < 0x80 and len(set(pale)) == 1 and fit(rgb(0x59, 0x59, 0x59), 4.5) == (0x59,) * 3 and fit(rgb(0x8C, 0x8C, 0x8C), 3.0) == (0x8C,) * 3
+    grey = rgb(128, 128, 128)
+    assert tuple(one(spark, c=colour.adjusted(rgb(100, 100, 100), grey, F.lit(4.5)))["c"]) == (255, 255, 255)
 
 
 def test_idle_sessions_as_a_stream(spark, tmp_path):
