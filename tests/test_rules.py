@@ -225,3 +225,28 @@ def test_rules_as_stated(spark):
     summary = spark.createDataFrame([(1, True), (2, False), (3, False), (4, False)], "job_id long, conforms boolean")
     touched = spark.createDataFrame([(1,), (2,), (2,)], "job_id long")
     assert {r["job_id"]: r["status"] for r in findings.job_status(jobs, summary, touched).collect()} == {1: "delivered", 2: "in-review", 3: "remediated", 4: "detected"}
+
+
+def test_pdf_rules_as_stated(spark):
+    """One case that is found and one that isn't for each kind; roles over hops, pages from around."""
+    from folioworks.operators import pdf
+
+    flags = "doc_id long, tagged boolean, language string, title string, display_title boolean, pages int, pages_without_text array<int>, pages_with_graphics array<int>, fields int"
+    facts = spark.createDataFrame([(1, True, "", "T", False, 3, [2, 3], [1], 2), (2, True, "en", "T", True, 1, [1], [], 0), (3, False, None, None, None, 2, [], [1], 1), (4, True, "en", "T", True, 1, [], [], 0)], flags)
+    tree = [
+        (1, 1, 9, 0, "Sect", 10, 2, None, None), (1, 2, 2, 1, "Kop", 11, None, None, None), (1, 3, 3, 1, "H", 12, None, None, None), (1, 4, 4, 1, "H4", 13, None, None, None), (1, 5, 7, 1, "Table", 14, None, None, None), (1, 6, 7, 5, "TR", 15, None, None, None),
+        (1, 7, 7, 6, "TD", 16, None, None, None), (1, 8, 8, 1, "Figure", 17, None, " ", None), (1, 9, 9, 1, "Bild", 18, 3, None, None),
+        (2, 1, 1, 0, "Figure", 1, 1, "A cat", None), (2, 2, 2, 0, "H3", 2, 1, None, None), (2, 3, 3, 0, "H4", 3, 1, None, None), (2, 4, 6, 0, "Table", 4, 1, None, None), (2, 5, 5, 4, "TH", 5, 1, None, None), (2, 6, 6, 4, "TD", 6, 1, None, None), (3, 1, 1, 0, "Figure", 1, 1, None, None),
+        *[(4, i, i, 0, "P", i, 1, None, None) for i in range(1, 21)],
+    ]
+    elements = spark.createDataFrame(tree, "doc_id long, pre int, last int, parent int, tag string, num long, page int, alt string, actual_text string")
+    roles = spark.createDataFrame([(1, "Kop", "Titel"), (1, "Titel", "H1"), (1, "Bild", "Abb"), (1, "Abb", "Bild")], "doc_id long, tag string, mapped string")
+    notes = [(1, 1, 1, "Link", "More", None), (1, 2, 1, "Link", "", "/a"), (1, 3, 1, "Movie", None, None), (2, 1, 1, "Link", "Annual report", None), (2, 1, 2, "Text", None, None), (3, 1, 1, "Link", "", None)]
+    annotations = spark.createDataFrame(notes, "doc_id long, page int, ord int, subtype string, contents string, uri string")
+    rows = pdf.detect(facts, elements, roles, annotations).orderBy("doc_id", "seq").collect()
+    assert [(r["kind"], r["location"], r["anchor"]) for r in rows if r["doc_id"] == 1] == [
+        ("pdf-title-not-shown", "document properties", None), ("no-language", "document catalogue", None), ("pdf-no-text", "pages 2, 3", None), ("image-alt", "figure 1, page 2", "struct:17"), ("heading-skip", "page 2", None),
+        ("table-header", "table 1, page 2", None), ("link-text", "link 1, page 1", None), ("link-text", "link 2, page 2", None), ("media", "page 3", None), ("forms", "2 fields", None),
+    ]
+    assert [(r["kind"], r["location"]) for r in rows if r["doc_id"] == 3] == [("no-title", "document properties"), ("no-language", "document catalogue"), ("pdf-untagged", "whole document"), ("image-alt", "whole document")]
+    assert [(r["doc_id"], r["kind"]) for r in rows if r["doc_id"] in (2, 4)] == [(4, "no-headings")]
