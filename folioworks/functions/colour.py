@@ -70,5 +70,6 @@ def adjusted(ink: Column, paper: Column, minimum: Column, halvings: int = 24) ->
     share = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), whole, halve, lambda range_: range_["high"])
     # Rounding to whole numbers can fall short of the minimum: go on by 1/255 until it is reached.
     short = lambda s: (s < 1) & (contrast(mixed(s), paper) < minimum)
-    enough = F.aggregate(F.sequence(F.lit(1), F.lit(255)), share, lambda s, _: F.when(short(s), F.least(F.lit(1.0), s + 1 / 255)).otherwise(s), mixed)
-    return F.when(contrast(ink, paper) >= minimum, ink).otherwise(enough)
+    nudged = lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(255)), s, lambda t, _: F.when(short(t), F.least(F.lit(1.0), t + 1 / 255)).otherwise(t))
+    settled = F.transform(F.array(share), lambda s: F.when(short(s), nudged(s)).otherwise(s))
+    return F.when(contrast(ink, paper) >= minimum, ink).otherwise(F.get(F.transform(settled, mixed), F.lit(0)))
