@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import ann, decontam, langid, line_dedup, ngram_join, packing, pii, secrets, tool_calls, toxicity
-from folioworks.tables import table
+from folioworks.llm import ann, decontam, html_text, langid, line_dedup, merkle, ngram_join, packing, pii, repair, secrets, tool_calls, toxicity
+from folioworks.tables import stored, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,42 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row or so is tampered with: its text in lower case (A to Z only)."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", ascii_uppercase, ascii_lowercase))
+    told = merkle.manifest(table(spark, sf_dir, "documents"), "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], tampered)
+    back = merkle.folded(F.coalesce("altered_leaf", "leaf"), F.col("path"))
+    out = told.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), back.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fault in about a quarter of the rows, by conversation and turn."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    how = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    text = F.when(how == 1, "").when(how == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    times = F.explode(F.when(how == 0, F.array().cast("array<int>")).when(how == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", F.when(how == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    turns = repair.in_order(damaged(rows))
+    found = stored(repair.faults(turns), "faults")
+    edits = stored(repair.edited(found), "edits")
+    told = repair.report(found).join(repair.costs(found, edits), "conv").join(repair.rendered(repair.repaired(turns, edits)), "conv")
+    all_ = rows.groupBy("conv_id").agg(F.count("*").alias("rows")).withColumn("conv", repair.conversation(F.col("conv_id")))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    numbers = map(count, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return all_.join(told, "conv", "left").select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    told = html_text.extract(pages, html_text.fit(pages))
+    return told.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -78,6 +116,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle": op11_merkle,
+    "op12_repair": op12_repair,
+    "op13_main_text": op13_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
