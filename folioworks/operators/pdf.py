@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioworks.functions.text import squeezed
-from folioworks.operators.word import ADDRESS, ENOUGH_PARAGRAPHS, GENERIC_LINK, found
+from folioworks.operators.word import ADDRESS, GENERIC_LINK, found
 from folioworks.tables import stored
 
+# Fixed value: paragraphs from which on a PDF needs headings; fewer than in Word, and blank ones count.
+ENOUGH_PARAGRAPHS = 6
 # Hops from a tag to its role, and depth of a tree.
 HOPS, DEPTH = 8, 64
 KEY = "doc_id"

@@ -63,7 +63,7 @@ UNION ALL SELECT doc_id, 3, 0, 'pdf-no-text', CASE WHEN c6 = 0 OR pages = 1 THEN
 UNION ALL SELECT doc_id, 4, 0, 'pdf-untagged', 'whole document', 'blocking', NULL, NULL FROM f WHERE NOT tagged
 UNION ALL SELECT doc_id, 5, 0, 'image-alt', 'whole document', 'blocking', NULL, NULL FROM f WHERE NOT tagged AND drawn AND c6 >= 2
 UNION ALL SELECT doc_id, 5, pre, 'image-alt', 'figure ' || n || ', ' || spot, 'partial', 'struct:' || s, NULL FROM g WHERE s % 4 <> 0 AND s % 7 <> 0
-UNION ALL SELECT doc_id, 6, 0, 'no-headings', 'whole document', 'partial', NULL, count(*) FILTER (role = 'P')::VARCHAR FROM a GROUP BY doc_id HAVING count(*) FILTER (role = 'P') >= 20 AND count(*) FILTER (role[1] = 'H') = 0
+UNION ALL SELECT doc_id, 6, 0, 'no-headings', 'whole document', 'partial', NULL, count(*) FILTER (role = 'P')::VARCHAR FROM a GROUP BY doc_id HAVING count(*) FILTER (role = 'P') >= 6 AND count(*) FILTER (role[1] = 'H') = 0
 UNION ALL SELECT doc_id, 7, pre, 'heading-skip', spot, 'partial', NULL, level || ' after ' || before FROM h WHERE level > before + 1
 UNION ALL SELECT doc_id, 8, pre, 'table-header', 'table ' || n || ', ' || spot, 'partial', NULL, NULL FROM tb
 UNION ALL SELECT doc_id, 9, 1, 'link-text', 'link 1, page 1', 'partial', NULL, CASE doc_id % 4 WHEN 0 THEN 'click here' WHEN 1 THEN '/x' ELSE 'www.example.org/a' END FROM f WHERE tagged AND doc_id % 4 <> 2

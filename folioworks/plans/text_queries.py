@@ -151,13 +151,13 @@ def phrase_sql(text_: str, patterns) -> str:
 
 
 def sensory_sql() -> str:
-    kinds = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {phrase_sql('sentence', ps)} AS phrase, sentence FROM i" for k, ps in phrases.SENSORY.items())
-    return f"WITH {PHRASED_SQL}, s AS (SELECT doc_id, unnest({SPLIT_SQL}) AS sentence FROM p), i AS (SELECT * FROM s WHERE regexp_matches(sentence, '{phrases.INSTRUCTION}', 'i')) SELECT DISTINCT * FROM ({kinds}) WHERE phrase IS NOT NULL"
+    kinds = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {phrase_sql('sentence', ps)} AS phrase, sentence FROM i" for k, ps in phrases.ENGLISH_PATTERNS.senses.items())
+    return f"WITH {PHRASED_SQL}, s AS (SELECT doc_id, unnest({SPLIT_SQL}) AS sentence FROM p), i AS (SELECT * FROM s WHERE regexp_matches(sentence, '{phrases.ENGLISH_PATTERNS.instruction}', 'i')) SELECT DISTINCT * FROM ({kinds}) WHERE phrase IS NOT NULL"
 
 
 def colour_sql() -> str:
-    pair = f"CASE WHEN regexp_matches(sentence, '{phrases.COLOUR_SIGNAL}', 'i') THEN nullif(regexp_extract(sentence, '{phrases.COLOUR_PAIR}', 0, 'i'), '') END"
-    return f"WITH {PHRASED_SQL}, s AS (SELECT doc_id, unnest({SPLIT_SQL}) AS sentence FROM p) SELECT DISTINCT doc_id, 'colour' AS kind, coalesce({phrase_sql('sentence', phrases.COLOUR)}, {pair}) AS phrase, sentence FROM s WHERE phrase IS NOT NULL"
+    pair = f"CASE WHEN regexp_matches(sentence, '{phrases.ENGLISH_PATTERNS.stands}', 'i') THEN nullif(regexp_extract(sentence, '{phrases.ENGLISH_PATTERNS.colours}', 0, 'i'), '') END"
+    return f"WITH {PHRASED_SQL}, s AS (SELECT doc_id, unnest({SPLIT_SQL}) AS sentence FROM p) SELECT DISTINCT doc_id, 'colour' AS kind, coalesce({phrase_sql('sentence', phrases.ENGLISH_PATTERNS.colour)}, {pair}) AS phrase, sentence FROM s WHERE phrase IS NOT NULL"
 
 
 ORACLE_SQL = {

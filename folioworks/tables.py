@@ -24,10 +24,13 @@ def unused_name(wanted: str, columns: list[str]) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    It is set here only where the session has none (local runs and tests).
+    Only where the session has none and all runs in one process, as in tests, a local folder is set; on a cluster
+    executors would not see it, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="folioworks-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -36,9 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
-    This cuts the lineage with a table that outlives any executor.
+    This cuts the lineage with a table that outlives any executor. Results are read from such tables whenever they are
+    asked for, so they stay until `dropped`, or whoever owns the folder removes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, df: DataFrame) -> None:
+    """Remove the tables that `df`, as `stored` gave it, is read from; nothing that is derived from it can be read any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[0].endswith(shared_dir(spark).rpartition(":")[2].rstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
