@@ -66,30 +66,6 @@ def session_islands(events: DataFrame) -> DataFrame:
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
 
-def lockouts(attempts: DataFrame) -> DataFrame:
-    """Adds `outcome` (ok, failed, locked) to sign-in attempts (account, seq, at in seconds, matched).
-
-    Whether an attempt counts hangs on those before it: a fold over an account's attempts in order. Attempts of one account
-    are one array, folded by an aggregate; accounts are dealt by a hash.
-    """
-    listed = attempts.groupBy("account").agg(F.sort_array(F.collect_list(F.struct("seq", "at", "matched"))).alias("tries"))
-    start = F.struct(F.lit(0).alias("count"), F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("outcomes"))
-
-    def step(acc: Column, t: Column) -> Column:
-        recent = F.coalesce(t["at"] - acc["last"] < LOCK_MINUTES * 60, F.lit(False))
-        locked = (acc["count"] >= LOCK_AFTER) & recent
-        failed = F.when(recent, acc["count"] + 1).otherwise(1)
-        return F.struct(
-            F.when(locked, acc["count"]).when(t["matched"], 0).otherwise(failed).cast("int").alias("count"),
-            F.when(locked, acc["last"]).when(t["matched"], None).otherwise(t["at"]).alias("last"),
-            F.concat(acc["outcomes"], F.array(F.when(locked, "locked").when(t["matched"], "ok").otherwise("failed"))).alias("outcomes"),
-        )
-
-    outcomes = F.aggregate("tries", start, step, lambda acc: acc["outcomes"])
-    spread = listed.select("account", F.explode(F.arrays_zip(F.col("tries").alias("t"), outcomes.alias("o"))).alias("z"))
-    return spread.select("account", "z.t.seq", "z.t.at", "z.t.matched", F.col("z.o").alias("outcome"))
-
-
 def swept(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs whose files go now: expired and not gone yet. `jobs` has due_at and deleted_at."""
     return jobs.where(F.col("deleted_at").isNull() & expired(F.col("due_at"), now)).withColumn("deleted_at", now)

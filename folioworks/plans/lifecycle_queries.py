@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioworks.operators import lifecycle
+from folioworks.operators import lifecycle, lockouts
 from folioworks.plans import surrogates
 from folioworks.tables import table
 
@@ -53,7 +53,7 @@ def lockout_fold(spark, sf_dir):
     """Events as sign-ins, a minute apart for each four hours; errors and clicks fail."""
     e = event_times(spark, sf_dir)
     attempts = e.select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), F.floor(F.col("ts").cast("long") / 240).alias("at"), (~F.col("event_type").isin("error", "click")).alias("matched"))
-    return lifecycle.lockouts(attempts).groupBy("account", "outcome").agg(F.count("*").alias("attempts"))
+    return lockouts.lockouts(attempts).groupBy("account", "outcome").agg(F.count("*").alias("attempts"), F.sum("seq").alias("seqs"))
 
 
 def reset_state(spark, sf_dir):
@@ -99,6 +99,11 @@ ACTIONS_SQL = "['" + "', '".join(ACTIONS) + "']"
 HOLD_SQL = "h AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS account, CASE WHEN o_orderkey % 3 = 1 THEN o_custkey END AS visitor FROM orders)"
 
 ORACLE_SQL = {
+    "lockout_fold": """WITH RECURSIVE t AS (SELECT user_id AS account, event_id AS seq, epoch(ts)::BIGINT // 240 AS sec, event_type NOT IN ('error', 'click') AS matched, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT // 240, event_id) AS i FROM events),
+f AS (SELECT account, 0::BIGINT AS i, 0 AS n, NULL::BIGINT AS last, NULL::VARCHAR AS outcome, NULL::BIGINT AS seq FROM t GROUP BY 1
+UNION ALL SELECT account, i, CASE WHEN outcome = 'locked' THEN n WHEN outcome = 'ok' THEN 0 WHEN recent THEN n + 1 ELSE 1 END, CASE WHEN outcome = 'locked' THEN last WHEN outcome = 'failed' THEN sec END, outcome, seq
+FROM (SELECT t.account, t.i, n, last, sec, coalesce(sec - last < 900, false) AS recent, CASE WHEN n >= 5 AND coalesce(sec - last < 900, false) THEN 'locked' WHEN matched THEN 'ok' ELSE 'failed' END AS outcome, t.seq FROM f JOIN t ON t.account = f.account AND t.i = f.i + 1))
+SELECT account, outcome, count(*) AS attempts, sum(seq)::BIGINT AS seqs FROM f WHERE i > 0 GROUP BY 1, 2""",
     "retention_due": f"WITH {JOBS_SQL} SELECT job_id, {STAMP.format('due_at')} AS due_at, clock FROM u",
     "retention_expired": f"WITH {JOBS_SQL} SELECT job_id, coalesce(now >= due_at, false) AS expired, CASE WHEN due_at IS NULL THEN NULL WHEN now >= due_at THEN 0 ELSE ceil(epoch(due_at - now) / 86400)::BIGINT END AS days_left FROM u",
     "sweep": f"WITH {JOBS_SQL} SELECT job_id, clock FROM u WHERE job_id % 5 <> 0 AND now >= due_at",

@@ -72,25 +72,6 @@ def test_heading_folds(spark):
                 assert up[d, i] == before
 
 
-def test_lockout_fold(spark):
-    rng = random.Random(2)
-    rows = [(a, i, rng.randint(0, 9000), rng.random() < 0.15) for a in range(30) for i in range(40)]
-    rows = [(a, i, sorted(t for b, _, t, _ in rows if b == a)[i], m) for a, i, _, m in rows]
-    got = {(r["account"], r["seq"]): r["outcome"] for r in lifecycle.lockouts(spark.createDataFrame(rows, "account int, seq int, at long, matched boolean")).collect()}
-    for a in range(30):
-        count, last = 0, None
-        for _, i, t, m in [r for r in rows if r[0] == a]:
-            recent = last is not None and t - last < 900
-            if count >= 5 and recent:
-                assert got[a, i] == "locked"
-            elif m:
-                assert got[a, i] == "ok"
-                count, last = 0, None
-            else:
-                assert got[a, i] == "failed"
-                count, last = (count + 1 if recent else 1), t
-
-
 def test_assessment(spark):
     jobs = spark.createDataFrame([(1, "docx"), (2, "docx"), (3, "pdf")], "job_id long, format string")
     rows = [(1, "image-alt", "partial", False, None), (1, "pdf-no-text", "blocking", False, None), (2, "contrast", "partial", True, None), (2, "link-text", "partial", False, "dismiss")]
