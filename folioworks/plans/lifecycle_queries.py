@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioworks.operators import lifecycle, lockouts
 from folioworks.plans import surrogates
-from folioworks.tables import table
+from folioworks.streaming.sessions import run_available
+from folioworks.streaming.sign_ins import session_ends as ended_sessions
+from folioworks.streaming.sign_ins import with_state_store
+from folioworks.tables import shared_dir, table
 
 def now():
     return F.lit(surrogates.NOW).cast("timestamp")
@@ -89,7 +94,28 @@ def claim_jobs(spark, sf_dir):
     return lifecycle.claimed(surrogates.jobs(spark, sf_dir), viewers)
 
 
-QUERIES = {f.__name__: f for f in (retention_due, retention_expired, sweep, session_state, session_islands, lockout_fold, reset_state, audit_history, may_open, claim_jobs)}
+def sign_ins(spark, sf_dir):
+    """Events as sign-ins: a token for each user and day, opened by the first event; purchases sign out."""
+    e = event_times(spark, sf_dir).select(F.col("user_id").cast("string").alias("account"), "ts", F.col("event_id").alias("seq"), "event_type")
+    day = F.date_format("ts", "yyyyMMdd")
+    firsts = e.groupBy("account", day.alias("day")).agg(F.min(F.struct("ts", "seq")).alias("first"))
+    e = e.withColumn("day", day).join(firsts, ["account", "day"])
+    event = F.when((F.col("ts") == F.col("first.ts")) & (F.col("seq") == F.col("first.seq")), "start").when(F.col("event_type") == "purchase", "end").otherwise("touch")
+    return e.select("account", F.concat_ws("-", "account", "day").alias("token"), F.col("ts").alias("at"), "seq", event.alias("event"))
+
+
+def session_ends(spark, sf_dir):
+    """A stream over all sign-ins, with what has ended by the time the watermark reaches."""
+    folder = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    sign_ins(spark, sf_dir).write.parquet(f"{folder}/in")
+    with_state_store(spark)
+    came = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    run_available(ended_sessions(came), f"{folder}/out", f"{folder}/state")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return spark.read.parquet(f"{folder}/out").select("account", "token", text("started"), text("ended"), "reason")
+
+
+QUERIES = {f.__name__: f for f in (session_ends, retention_due, retention_expired, sweep, session_state, session_islands, lockout_fold, reset_state, audit_history, may_open, claim_jobs)}
 
 JOBS_SQL = f"""j AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 11 = 0 THEN TIMESTAMP '1970-01-01' ELSE o_orderdate::TIMESTAMP + INTERVAL 72 HOURS END AS c, CASE WHEN o_orderstatus = 'P' THEN o_orderdate::TIMESTAMP + INTERVAL 4 DAYS END AS m, o_orderpriority LIKE '1%' AS held,
   CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate::TIMESTAMP + INTERVAL 7 DAYS END AS d FROM orders),
@@ -99,6 +125,14 @@ ACTIONS_SQL = "['" + "', '".join(ACTIONS) + "']"
 HOLD_SQL = "h AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS account, CASE WHEN o_orderkey % 3 = 1 THEN o_custkey END AS visitor FROM orders)"
 
 ORACLE_SQL = {
+    "session_ends": """WITH e AS (SELECT user_id::VARCHAR AS account, user_id || '-' || strftime(ts, '%Y%m%d') AS token, epoch_ms(ts) AS ms, event_id AS seq, event_type = 'purchase' AS out FROM events),
+g AS (SELECT *, ms - lag(ms) OVER w >= 1800000 AS gap, first_value(ms) OVER w AS started, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY token ORDER BY ms, seq)),
+a AS (SELECT *, coalesce(bool_or(gap OR ms >= started + 28800000) OVER (PARTITION BY token ORDER BY ms, seq), false) AS dead FROM g),
+l AS (SELECT *, coalesce(bool_or(out AND i > 1 AND NOT dead) OVER (PARTITION BY token ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM a WHERE NOT dead),
+s AS (SELECT account, token, started, max(ms) AS seen, min(ms) FILTER (out AND i > 1) AS left_ FROM l WHERE NOT gone GROUP BY 1, 2, 3),
+d AS (SELECT *, least(seen + 1800000, started + 28800000) AS due FROM s)
+SELECT account, token, strftime(make_timestamp(started * 1000), '%Y-%m-%d %H:%M:%S') AS started, strftime(make_timestamp(coalesce(left_, due) * 1000), '%Y-%m-%d %H:%M:%S') AS ended,
+CASE WHEN left_ IS NOT NULL THEN 'signed-out' WHEN started + 28800000 <= seen + 1800000 THEN 'expired' ELSE 'idle' END AS reason FROM d WHERE left_ IS NOT NULL OR due <= (SELECT max(ms) FROM e) - 3600000""",
     "lockout_fold": """WITH RECURSIVE t AS (SELECT user_id AS account, event_id AS seq, epoch(ts)::BIGINT // 240 AS sec, event_type NOT IN ('error', 'click') AS matched, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT // 240, event_id) AS i FROM events),
 f AS (SELECT account, 0::BIGINT AS i, 0 AS n, NULL::BIGINT AS last, NULL::VARCHAR AS outcome, NULL::BIGINT AS seq FROM t GROUP BY 1
 UNION ALL SELECT account, i, CASE WHEN outcome = 'locked' THEN n WHEN outcome = 'ok' THEN 0 WHEN recent THEN n + 1 ELSE 1 END, CASE WHEN outcome = 'locked' THEN last WHEN outcome = 'failed' THEN sec END, outcome, seq
