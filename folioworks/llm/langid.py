@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.tables import unused_name
+
 UNKNOWN = "und"
 #: Up to so many languages are sent to every executor.
 SEND_LANGUAGES = 100_000
@@ -157,9 +159,10 @@ def predictor(model: Model, least_margin: float):
 def identify(docs: DataFrame, model: Model, text: str = "text", least_margin: float = 0.2) -> DataFrame:
     """`docs` with lang_pred, score (0 to 1), margin and ambiguous (margin under `least_margin`)."""
     names = ("lang_pred", "score", "margin", "ambiguous")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    held = docs.select(*kept, predictor(model, least_margin)(F.col(f"`{text}`")).alias("__language"))
-    return held.select(*kept, *[F.col(f"__language.{n}").alias(n) for n in names])
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
+    told = unused_name("language", docs.columns)
+    held = docs.select(*kept, predictor(model, least_margin)(F.col(f"`{text}`")).alias(told))
+    return held.select(*kept, *[F.col(f"{told}.{n}").alias(n) for n in names])
 
 
 def remainder(key: str, n: int) -> Column:

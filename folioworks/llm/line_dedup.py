@@ -28,8 +28,9 @@ All of it is Spark expressions. Rarity comes from counts of all words in a fixed
 number of hash buckets; it orders tokens and never changes the result.
 
 Defined cases: blank lines stay and match nothing; rows whose text or id is null
-pass unchanged; rows with the same id share decisions; ties in order can't occur
-between lines of different ids; other columns, also ones named like a working
+pass unchanged; of rows with the same id `dedup_lines` takes each for itself, in
+the order of a hash of their texts, while `later_copies` speaks of ids and so
+needs them to be unique; other columns, also ones named like a working
 column, pass through; very long lines have as many signatures as a share of
 their words; an empty table gives an empty table.
 """
@@ -41,6 +42,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.llm.rows import with_own_ids
 from folioworks.tables import stored, unused_name
 
 #: Of words. One changed word in a line of 40 leaves 0.95 of its words.
@@ -238,5 +240,6 @@ def drop_lines(docs: DataFrame, lines: DataFrame, text: str = "text", key: str =
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
-    """`docs` with every line gone that an earlier line is similar to."""
-    return drop_lines(docs, later_copies(docs, text, key, similar), text, key)
+    """`docs` with every line gone that an earlier line is similar to. Rows that share an id are told apart by their texts."""
+    rows, own = with_own_ids(docs, key, text)
+    return drop_lines(rows, later_copies(rows, text, own, similar), text, own).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioworks.llm.rows import with_own_ids
 from folioworks.tables import stored, unused_name
 
 WORDS = 5
@@ -183,15 +184,15 @@ def enough(items: np.ndarray, band: int, percent: int = PERCENT) -> bool:
     return band == 0 or len(np.unique(items % np.uint64(segments(band, frozenset())))) > most_apart(len(items), percent)
 
 
-def parts_of(items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the parts of a set in a coarse partition, for its band of sizes and the next.
+def parts_of(items: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the parts of a set in a coarse partition, for its band of sizes and the next; and which of them are empty.
 
     Bands grow with the largest ratio of similar sets, so two such have a band in common; it has one part more than sets of
     that size can have differences, so they agree in a part of it at least, which may be empty.
     """
     ratio = 100 / percent
     own = int(math.log(len(items)) / math.log(ratio) + 1e-9)
-    out = []
+    out, empty = [], []
     for band in (own, own + 1):
         most = math.ceil(ratio ** (band + 1)) + 1
         count = 2 * most * (100 - percent) // (100 + percent) + 1
@@ -199,7 +200,8 @@ def parts_of(items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         sums, sizes = np.zeros(count, np.uint64), np.bincount(where.astype(np.int64), minlength=count).astype(np.uint64)
         np.add.at(sums, where.astype(np.int64), mixed(items))
         out.append(mixed(mixed(sums + np.uint64(band)) ^ mixed(np.arange(count, dtype=np.uint64) * BASE + sizes)))
-    return np.concatenate(out)
+        empty.append(sizes == 0)
+    return np.concatenate(out), np.concatenate(empty)
 
 
 def bitmap(items: np.ndarray) -> bytes:
@@ -357,7 +359,7 @@ def index_rows(docs: DataFrame, weights: np.ndarray, base: float, single: frozen
 
 
 def part_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """part, doc: the parts of each document's set in the coarse partition."""
+    """part, doc, empty: the parts of each document's set in the coarse partition."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,10 +367,11 @@ def part_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 part = batch.slice(low, 256)
                 found = [(doc, parts_of(items, percent)) for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True) if len(items := shingles(text.as_py(), words))]
                 if found:
-                    ids = np.concatenate([np.full(len(x), doc, np.int64) for doc, x in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for _, x in found]).view(np.int64)), pa.array(ids)], ["part", "doc"])
+                    ids = np.concatenate([np.full(len(x), doc, np.int64) for doc, (x, _) in found])
+                    hashes, empty = (np.concatenate([pair[i] for _, pair in found]) for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids), pa.array(empty)], ["part", "doc", "empty"])
 
-    return docs.mapInArrow(made, "part long, doc long")
+    return docs.mapInArrow(made, "part long, doc long, empty boolean")
 
 
 def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -417,7 +420,11 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     pairs = left.join(right, "sig").where(F.col("x.doc") < F.col("y.doc")).where("x_group <> y_group").where(may_match("x", "y", percent))
     pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     crowd = stored(rows.where(F.col("docs") > MANY).select(F.col("me.doc").alias("doc"), F.col("me.n").alias("n"), "group").distinct(), "crowd")
-    parts = stored(part_rows(filtered_by_ids(docs, crowd, "left_semi"), words, percent).join(crowd, "doc"), "parts")
+    # Sets that agree in nothing but an empty part have a signature of the crowd in common: they meet there, by part and signature.
+    parts = stored(part_rows(filtered_by_ids(docs, crowd, "left_semi"), words, percent), "all-parts")
+    marks = rows.where(F.col("docs") > MANY).select(F.col("me.doc").alias("doc"), "sig").distinct()
+    bare = parts.where("empty").join(marks, "doc").select(F.xxhash64("part", "sig").alias("part"), "doc")
+    parts = stored(parts.where("not empty").select("part", "doc").union(bare).join(crowd, "doc"), "parts")
     left, right = (parts.select("part", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "group")]) for side in "xy")
     sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
     more = left.join(right, "part").where((F.col("doc_x") < F.col("doc_y")) & (F.col("group_x") != F.col("group_y")) & sized)
@@ -439,8 +446,13 @@ def in_groups(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """`docs` without those that are linked, over any number of links, to one of smaller id; columns as they were."""
-    linked = link_documents(docs, text, key, words, percent)
-    doc = unused_name("doc", docs.columns)
+    """`docs` without those that are linked, over any number of links, to one of smaller id; columns as they were.
+
+    Rows that share an id are told apart by their texts; of whole copies one stays.
+    """
+    rows, own = with_own_ids(docs, key, text)
+    linked = link_documents(rows, text, own, words, percent)
+    doc = unused_name("doc", rows.columns)
     gone = linked.where("doc <> component").select(F.col("doc").alias(doc))
-    return docs.join(gone, F.col(f"`{key}`") == F.col(doc), "left_anti")
+    left = rows.join(gone, F.col(f"`{own}`") == F.col(doc), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -110,10 +110,12 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", allo
     a span of a known shape is left out. A column named `out` is replaced; working columns never meet others.
     """
     work = "__secrets_"
+    while any(c.lower().startswith(work) for c in docs.columns):
+        work = "_" + work
     source = F.coalesce(F.col(text), F.lit(""))
     kinds = [("assign", ASSIGN, None, None), ("access", ACCESS, None, None), ("hex", HEX, None, None)]
     kinds += [(f"entropy_{name}", pattern, alphabet, (window, least)) for name, alphabet, pattern, window, least in CLASSES]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
     run, whole = f"{work}run", f"{work}text"
     held = docs.select(*kept, source.alias(whole), source.rlike(LEAST_RUN).alias(run))
     first = lambda alphabet: F.col(run) if alphabet else None

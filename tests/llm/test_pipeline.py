@@ -1,5 +1,7 @@
 """The pipeline on the smallest tables, stage by stage."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from folioworks.tables import stored, table
 from tests.llm.test_copies import expected_components, expected_lines
@@ -39,3 +41,27 @@ def test_stages(spark):
 
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(ids(after))
+
+
+def test_rows_that_share_an_id_lose_nothing(spark):
+    from folioworks.llm import line_dedup, ngram_join
+
+    rows = [(0, "alpha beta gamma delta epsilon zeta"), (1, "alpha beta gamma delta epsilon zeta"), (1, "only here and nowhere else at all"), (None, "no id here"), (None, "no id here"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Rank", F.lit(1)).withColumn("own_id", F.lit(2))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    lines = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()), key=repr)
+    assert lines == sorted([(0, rows[0][1]), (1, ""), rows[2], rows[3], rows[4], (2, None)], key=repr)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert [(r.doc_id, r.text) for r in sorted(kept.collect(), key=key)] == [rows[0], rows[2], (2, None), rows[3], rows[4]]
+
+
+def test_columns_named_like_predictions_come_through(spark):
+    from folioworks.llm import langid, secrets
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({c: F.lit(42.0) for c in ("Score", "margin", "__language", "lang_pred", "__secrets_text")})
+    out = corpus_pipeline.language(spark, docs, "")
+    assert out.columns == docs.columns and {tuple(r) for r in out.select("Score", "margin", "__language", "lang_pred").distinct().collect()} == {(42.0,) * 4}
+    told = langid.identify(docs, langid.fit(docs))
+    assert told.columns[-4:] == ["lang_pred", "score", "margin", "ambiguous"] and told.where("score > 1").count() == 0 and "__language" in told.columns
+    assert secrets.find_secrets(docs.withColumn("Secrets", F.lit(1))).where("__secrets_text <> 42").count() == 0
