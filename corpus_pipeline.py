@@ -14,14 +14,16 @@ from folioworks.tables import stored, table, unused_name
 
 #: A language has to reach this score for a document to stay.
 LEAST_SCORE = 0.5
+#: Below this lead over the second language a prediction counts as ambiguous; documents stay all the same.
+LEAST_MARGIN = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters go, and those that no language fits clearly."""
-    rows = docs.withColumn(whole := unused_name("whole_text", docs.columns), F.col("text"))
-    told = langid.identify(rows, langid.fit(docs), whole)
-    kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return told.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    told = unused_name("language", docs.columns)
+    rows = docs.withColumn(told, langid.predictor(langid.fit(docs), LEAST_MARGIN)(F.col("text")))
+    kept = (F.col(f"{told}.lang_pred") != langid.UNKNOWN) & (F.col(f"{told}.score") >= LEAST_SCORE)
+    return rows.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
