@@ -217,6 +217,31 @@ def least_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ folded).sum())
 
 
+def sketch(bits: bytes) -> list[int]:
+    """A bitmap folded to 64 bits, and to four times as many where it has them, as five whole numbers."""
+    words = np.frombuffer(bits, np.int64)
+    wide = np.bitwise_xor.reduce(words.reshape(-1, 4), axis=0) if len(words) >= 4 else np.zeros(4, np.int64)
+    return [int(np.bitwise_xor.reduce(words)), *map(int, wide)]
+
+
+def with_sketches(crowd: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """`crowd` (doc, n, group) with `sketch`."""
+
+    @F.arrow_udf("array<bigint>")
+    def folded(bits: pa.Array) -> pa.Array:
+        return pa.array([sketch(b.as_py()) for b in bits], pa.list_(pa.int64()))
+
+    return crowd.join(bitmaps.select("doc", folded("bits").alias("sketch")).dropDuplicates(["doc"]), "doc")
+
+
+def sketches_fit(percent: int) -> Column:
+    """Whether the sketches of x and y allow so few differences as similar sets of their sizes have; within the join, so that what doesn't fit is never a row."""
+    most = (F.col("n_x") + F.col("n_y")) * (100 - percent) / (100 + percent)
+    apart = lambda i: F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i))))
+    wide = (F.col("n_x") > 64) & (F.col("n_y") > 64)  # whose bitmaps have 256 bits at least
+    return (apart(0) <= most) & (~wide | (apart(1) + apart(2) + apart(3) + apart(4) <= most))
+
+
 def summaries(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Kind 0: for each document its size, two hashes of its set, the bands where it lacks segments, and its bitmap.
     Kind 1: for each task the counts of n-grams by hash bucket, in chunks."""
@@ -420,14 +445,15 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     pairs = left.join(right, "sig").where(F.col("x.doc") < F.col("y.doc")).where("x_group <> y_group").where(may_match("x", "y", percent))
     pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     crowd = stored(rows.where(F.col("docs") > MANY).select(F.col("me.doc").alias("doc"), F.col("me.n").alias("n"), "group").distinct(), "crowd")
+    crowd = stored(with_sketches(crowd, bitmaps), "sketched")
     # Sets that agree in nothing but an empty part have a signature of the crowd in common: they meet there, by part and signature.
     parts = stored(part_rows(filtered_by_ids(docs, crowd, "left_semi"), words, percent), "all-parts")
     marks = rows.where(F.col("docs") > MANY).select(F.col("me.doc").alias("doc"), "sig").distinct()
     bare = parts.where("empty").join(marks, "doc").select(F.xxhash64("part", "sig").alias("part"), "doc")
     parts = stored(parts.where("not empty").select("part", "doc").union(bare).join(crowd, "doc"), "parts")
-    left, right = (parts.select("part", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "group")]) for side in "xy")
+    left, right = (parts.select("part", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "group", "sketch")]) for side in "xy")
     sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    more = left.join(right, "part").where((F.col("doc_x") < F.col("doc_y")) & (F.col("group_x") != F.col("group_y")) & sized)
+    more = left.join(right, "part").where((F.col("doc_x") < F.col("doc_y")) & (F.col("group_x") != F.col("group_y")) & sized & sketches_fit(percent))
     pairs = pairs.union(more.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))).distinct()
     links = links.union(similar_pairs(docs, bitmaps, stored(pairs, "pairs"), words, percent))
 
