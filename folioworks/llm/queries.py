@@ -121,4 +121,23 @@ QUERIES = {
     "op13_main_text": op13_main_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: op11 in SQL: crc32 by its table, trees level by level, paths as lists of `left|right` digests.
+FIELD_SQL = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+LEAF_SQL = "sha256(" + " || ".join(FIELD_SQL.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+PLACED_SQL = """SELECT *, coalesce(string_agg(d, '') OVER (PARTITION BY {by}, h, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|' ||
+coalesce(string_agg(d, '') OVER (PARTITION BY {by}, h, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS beside FROM {nodes} WHERE n > 1"""
+ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": f"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+c AS (SELECT d.*, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0, false) AS bad FROM documents d, t),
+l AS (SELECT doc_id, lang, {LEAF_SQL.format(text="text")} AS leaf, CASE WHEN bad THEN {LEAF_SQL.format(text=f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')")} END AS altered FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+up AS (SELECT lang, 0 AS h, i, n, leaf AS d FROM r UNION ALL SELECT lang, h + 1, i // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lang, h, i // 8, n),
+s AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS h, i, n, subroot AS d FROM s UNION ALL SELECT h + 1, i // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY h, i // 8, n),
+pl AS ({PLACED_SQL.format(by="lang", nodes="up")}), pt AS ({PLACED_SQL.format(by="n", nodes="top")}),
+ps AS (SELECT s.lang, subroot, coalesce(list(beside ORDER BY h) FILTER (beside IS NOT NULL), []) AS above FROM s LEFT JOIN pt ON pt.i = s.i // power(8, h)::BIGINT GROUP BY 1, 2),
+pr AS (SELECT r.doc_id, r.lang, r.i, leaf, altered, coalesce(list(beside ORDER BY h) FILTER (beside IS NOT NULL), []) AS below FROM r LEFT JOIN pl ON pl.lang IS NOT DISTINCT FROM r.lang AND pl.i = r.i // power(8, h)::BIGINT GROUP BY ALL),
+x AS (SELECT doc_id, leaf, altered, subroot, list_concat(below, above) AS path FROM pr JOIN ps ON ps.lang IS NOT DISTINCT FROM pr.lang),
+f AS (SELECT *, (SELECT d FROM top WHERE n = 1) AS root, list_reduce(list_prepend(coalesce(altered, leaf), path), lambda a, b: sha256(split_part(b, '|', 1) || a || split_part(b, '|', 2))) AS folded_root FROM x)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f""",
+}

@@ -207,3 +207,15 @@ def test_pages_of_any_shape(spark):
     empty = df.where("false")
     assert html_text.extract(empty, html_text.fit(empty)).count() == 0
     assert (html_text.fit(empty) == html_text.PRIOR).all()
+
+
+def test_manifest_equals_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    told = c.execute(queries.ORACLE_SQL["op11_merkle"])
+    names = [d[0] for d in told.description]
+    want = sorted(told.fetchall())
+    df = queries.op11_merkle(spark, SF)
+    assert sorted(names) == sorted(df.columns) and sorted(map(tuple, df.select(*names).collect())) == want and len(want) == 200
