@@ -38,7 +38,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -185,22 +187,29 @@ def enough(items: np.ndarray, band: int, percent: int = PERCENT) -> bool:
 
 
 def parts_of(items: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts of a set in a coarse partition, for its band of sizes and the next; and which of them are empty.
+    """Hashes of the parts of a set in a coarse partition, for its band of sizes and the next; and which of them are empty ones.
 
-    Bands grow with the largest ratio of similar sets, so two such have a band in common; it has one part more than sets of
-    that size can have differences, so they agree in a part of it at least, which may be empty.
+    Bands grow with the largest ratio of similar sets, so two such have a band in common. A difference spoils one part at
+    most, so a set with more parts that have elements than it can have differences to any similar set of the band agrees with
+    that in one of them; there are an eighth more parts than differences, which makes that so but for few sets. Only the empty parts
+    of those few are listed: they are needed where both sets are such.
     """
     ratio = 100 / percent
     own = int(math.log(len(items)) / math.log(ratio) + 1e-9)
     out, empty = [], []
     for band in (own, own + 1):
         most = math.ceil(ratio ** (band + 1)) + 1
-        count = 2 * most * (100 - percent) // (100 + percent) + 1
+        count = (2 * most * (100 - percent) // (100 + percent)) * 9 // 8 + 2
         where = (items >> np.uint64(20)) % np.uint64(count)
         sums, sizes = np.zeros(count, np.uint64), np.bincount(where.astype(np.int64), minlength=count).astype(np.uint64)
         np.add.at(sums, where.astype(np.int64), mixed(items))
-        out.append(mixed(mixed(sums + np.uint64(band)) ^ mixed(np.arange(count, dtype=np.uint64) * BASE + sizes)))
-        empty.append(sizes == 0)
+        hashes = mixed(mixed(sums + np.uint64(band)) ^ mixed(np.arange(count, dtype=np.uint64) * BASE + sizes))
+        largest = min(most, len(items) * 100 // percent)
+        listed = sizes > 0
+        if listed.sum() <= (len(items) + largest) * (100 - percent) // (100 + percent):
+            listed[:] = True
+        out.append(hashes[listed])
+        empty.append(sizes[listed] == 0)
     return np.concatenate(out), np.concatenate(empty)
 
 
@@ -218,10 +227,9 @@ def least_apart(x: bytes, y: bytes) -> int:
 
 
 def sketch(bits: bytes) -> list[int]:
-    """A bitmap folded to 64 bits, and to four times as many where it has them, as five whole numbers."""
+    """A bitmap folded to 64 bits, and to 256 and 1,024 where it has as many, as whole numbers."""
     words = np.frombuffer(bits, np.int64)
-    wide = np.bitwise_xor.reduce(words.reshape(-1, 4), axis=0) if len(words) >= 4 else np.zeros(4, np.int64)
-    return [int(np.bitwise_xor.reduce(words)), *map(int, wide)]
+    return [int(w) for width in (1, 4, 16) if len(words) >= width for w in np.bitwise_xor.reduce(words.reshape(-1, width), axis=0)]
 
 
 def with_sketches(crowd: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -237,9 +245,11 @@ def with_sketches(crowd: DataFrame, bitmaps: DataFrame) -> DataFrame:
 def sketches_fit(percent: int) -> Column:
     """Whether the sketches of x and y allow so few differences as similar sets of their sizes have; within the join, so that what doesn't fit is never a row."""
     most = (F.col("n_x") + F.col("n_y")) * (100 - percent) / (100 + percent)
-    apart = lambda i: F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i))))
-    wide = (F.col("n_x") > 64) & (F.col("n_y") > 64)  # whose bitmaps have 256 bits at least
-    return (apart(0) <= most) & (~wide | (apart(1) + apart(2) + apart(3) + apart(4) <= most))
+    apart = lambda low, high: reduce(operator.add, [F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i)))) for i in range(low, high)])
+    fits = apart(0, 1) <= most
+    for low, high, least in ((1, 5, 64), (5, 21, 256)):  # of sets with more elements, bitmaps are as wide
+        fits = fits & ((F.least("n_x", "n_y") <= least) | (apart(low, high) <= most))
+    return fits
 
 
 def summaries(docs: DataFrame, words: int, percent: int) -> DataFrame:
