@@ -12,8 +12,9 @@ groups have like numbers of pieces and equally many sequences (but for a task's
 last block, which may not fill its groups); a group is of one tier, and its id
 is unique.
 
-The packer runs inside the scan's own tasks, in blocks of bounded size, and
-writes pieces only: there is no shuffle, so no hot key, and a task that is run
+The packer runs inside the scan's own tasks, in blocks of bounded size (rests
+shorter than a window, and pieces without their ids, so a task's memory does not
+grow with the length of documents beyond the one at hand), and writes pieces only: there is no shuffle, so no hot key, and a task that is run
 again after an executor is lost gives the same sequences, because partitions,
 their row order and the packing are all fixed. Sequence ids are the partition's
 number and a running number in it.
@@ -71,23 +72,30 @@ class Packer:
     def __init__(self, window: int, hold: int, group: int):
         self.window, self.hold, self.group = window, hold, group
         self.tiers = [2**k for k in range(window.bit_length() - 1, -1, -1)]
-        self.waiting: list[tuple[int, int, tuple]] = []  # length, start, document
-        self.block: dict[int, list[list[tuple]]] = {}  # by tier, sequences that have no step group yet
+        self.waiting: list[tuple[int, int, tuple]] = []  # length, start, rest
+        self.block: dict[int, list[list[tuple]]] = {}  # by tier, sequences that have no step group yet, without their ids
         self.next = self.groups = self.held = 0
         self.out: list[tuple] = []
 
     def add(self, doc: tuple) -> None:
-        """doc: id, ids. Whole windows are sequences at once; the rest waits."""
-        total = len(doc[1])
-        for start in range(0, total - total % self.window, self.window):
-            self.emit([(doc, start, self.window)])
-        if rest := total % self.window:
-            self.waiting.append((rest, total - rest, doc))
+        """doc: id, ids. Whole windows are sequences at once; a copy of the rest, shorter than a window, waits."""
+        doc_id, ids = doc
+        total = len(ids)
+        rest = total % self.window
+        for start in range(0, total - rest, self.window):
+            self.emit([self.piece((doc_id, ids, 0, total), start, self.window)])
+        if rest:
+            self.waiting.append((rest, total - rest, (doc_id, ids[total - rest :].copy(), total - rest, total)))
         if len(self.waiting) >= self.hold or self.held >= self.hold:
             self.pack()
 
+    def piece(self, rest: tuple, start: int, n: int) -> tuple:
+        """rest: id of the document, ids, the first one's place, ids of the document. What is kept of a piece has no ids."""
+        doc_id, ids, first, total = rest
+        return doc_id, start, n, zlib.crc32(ids[start - first : start - first + n].tobytes()), total
+
     def emit(self, pieces: list[tuple]) -> None:
-        self.block.setdefault(sum(n for _, _, n in pieces), []).append(pieces)
+        self.block.setdefault(sum(p[2] for p in pieces), []).append(pieces)
         self.held += 1
 
     def deal(self, last: bool) -> None:
@@ -109,9 +117,9 @@ class Packer:
 
     def write(self, pieces: list[tuple], tier: int, group: int) -> None:
         at = 0
-        for (doc_id, ids), start, n in pieces:
-            self.out.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), self.next, at, tier, group))
-            at += n
+        for told in pieces:
+            self.out.append((*told, self.next, at, tier, group))
+            at += told[2]
         self.next += 1
 
     def pack(self, last: bool = False) -> None:
@@ -152,7 +160,7 @@ class Packer:
                     start, doc = take(n)
                     used = gap
                     put(n - used, start + used, doc)
-                pieces.append((doc, start, used))
+                pieces.append(self.piece(doc, start, used))
                 gap -= used
             left -= tier
             self.emit(pieces)

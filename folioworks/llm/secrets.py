@@ -34,7 +34,7 @@ CLASSES = (
     ("base64", LETTERS_DIGITS, AROUND[0] + "(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}", 20, 3.7),
     ("upper", LETTERS_DIGITS, AROUND[0] + "(?=[A-Z]*+[0-9])(?=[0-9]*+[A-Z])[A-Z0-9]{20,}" + AROUND[1], 20, 3.6),
     ("lower", LETTERS_DIGITS, AROUND[0] + "(?=[a-z]*+[0-9])(?=[0-9]*+[a-z])[a-z0-9]{20,}" + AROUND[1], 20, 3.6),
-    ("letters", LETTERS_DIGITS, AROUND[0] + "(?=[A-Z]*+[a-z])(?=[A-Z]?[a-z]*+[A-Z])[A-Za-z]{24,}" + AROUND[1], 24, 3.9),
+    ("letters", LETTERS_DIGITS, AROUND[0] + "(?=[A-Z]*+[a-z])(?=[A-Z]?+[a-z]*+[A-Z])[A-Za-z]{24,}" + AROUND[1], 24, 3.9),
 )
 #: What a text has to have for any class.
 LEAST_RUN = "[A-Za-z0-9+/_-]{20}"
@@ -62,30 +62,34 @@ def starts(pieces: Column, matches: Column) -> Column:
     return F.when(count > 0, spread).otherwise(F.array().cast("array<int>"))
 
 
-def entropy(text: Column, window: int) -> Column:
+def entropy(text: Column, window: int, alphabet: str = LETTERS_DIGITS) -> Column:
     """The largest entropy, in bits a character, among the windows of `text`; of the whole where that is shorter.
 
-    With w characters and counts c, it is log2(w) - sum(c * log2(c)) / w. A step changes two counts, of the character that
-    enters and of the one that leaves; the sum is kept up from these.
+    With w characters and counts c, it is log2(w) - sum(c * log2(c)) / w. The state holds a count for each character of the
+    alphabet (others share one), packed into longs of equal fields, and the sum. A step changes two counts, of the character
+    that enters and of the one that leaves, and the sum by their terms: its work does not depend on the window.
     """
-    wide = lambda chars: F.least(F.size(chars), F.lit(window))
+    bits = window.bit_length()
+    fields = 63 // bits
+    wide = lambda places: F.least(F.size(places), F.lit(window))
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    zero = F.struct(F.lit(0.0).alias("terms"), F.lit(1e9).alias("least"))
-
-    def step(chars: Column, acc: Column, i: Column) -> Column:
-        come, go = F.get(chars, i), F.get(chars, i - window)
-        held = lambda: F.slice(chars, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
-        count = lambda c: F.size(F.filter(held(), lambda x: x == c))
-        n_in = count(come)
+    held = lambda counts, p: F.call_function("shiftright", F.get(counts, F.floor(p / fields).cast("int")), p % fields * bits).bitwiseAND(2**bits - 1).cast("int")
+    one = lambda p, j: F.when(F.floor(p / fields).cast("int") == j, F.call_function("shiftleft", F.lit(1).cast("long"), p % fields * bits)).otherwise(F.lit(0).cast("long"))
+    empty = F.array(*[F.lit(0).cast("long") for _ in range(len(alphabet) // fields + 1)])
+    zero = F.struct(empty.alias("counts"), F.lit(0.0).alias("terms"), F.lit(1e9).alias("least"))
+
+    def step(places: Column, acc: Column, i: Column) -> Column:
+        come, go = F.get(places, i), F.get(places, i - window)
+        n_in, n_out = held(acc["counts"], come), held(acc["counts"], go)
         entered = acc["terms"] + term(n_in + 1) - term(n_in)
-        n_out = count(go)
         terms = F.when(i < window, entered).when(come == go, acc["terms"]).otherwise(entered + term(n_out - 1) - term(n_out))
-        return F.struct(terms.alias("terms"), F.when(i + 1 >= wide(chars), F.least(acc["least"], terms)).otherwise(acc["least"]).alias("least"))
+        counts = F.transform(acc["counts"], lambda c, j: c + one(come, j) - F.when(i < window, F.lit(0).cast("long")).otherwise(one(go, j)))
+        return F.struct(counts.alias("counts"), terms.alias("terms"), F.when(i + 1 >= wide(places), F.least(acc["least"], terms)).otherwise(acc["least"]).alias("least"))
 
-    end = lambda chars, acc: F.log2(wide(chars).cast("double")) - acc["least"] / wide(chars)
-    slid = lambda chars: F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, lambda acc, i: step(chars, acc, i), lambda acc: end(chars, acc))
-    # The characters are bound once, as the single item of an array.
-    return F.get(F.transform(F.array(F.split(text, "")), slid), F.lit(0))
+    end = lambda places, acc: F.log2(wide(places).cast("double")) - acc["least"] / wide(places)
+    slid = lambda places: F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), zero, lambda acc, i: step(places, acc, i), lambda acc: end(places, acc))
+    # The places of the characters are bound once, as the single item of an array.
+    return F.get(F.transform(F.array(F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c))), slid), F.lit(0))
 
 
 def located(text: Column, pattern: str, first: Column | None = None) -> tuple[Column, Column]:
@@ -128,7 +132,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", allo
             spans = spans_of(kind, pieces, matches)
             value = lambda s: F.length(F.regexp_extract(s["text"], f"^{ASSIGN}", 1)) >= 6
             return F.filter(spans, value) if kind == "assign" else spans
-        spans = spans_of("entropy", pieces, matches, lambda m: entropy(m, limits[0]))
+        spans = spans_of("entropy", pieces, matches, lambda m: entropy(m, limits[0], alphabet))
         excused = lambda s: [s["text"].rlike(p) for p in allow]
         return F.filter(spans, lambda s: (s["bits"] >= limits[1]) & ~any_of(excused(s)))
 

@@ -83,10 +83,13 @@ def test_entropy_of_windows(spark):
         parts = [s[i : i + w] for i in range(max(1, len(s) - w + 1))]
         return max(-sum(p.count(c) / len(p) * math.log2(p.count(c) / len(p)) for c in set(p)) for p in parts)
 
-    words = ["aaaaaaaaaa", "abcdefghij", "aabbccddeeffgghhiijj0123", "Zz9", "ababababababababababababab01234567"]
+    words = ["aaaaaaaaaa", "abcdefghij", "aabbccddeeffgghhiijj0123", "Zz9", "ababababababababababababab01234567", "0123456789abcdefABCDEF" * 4, secrets.LETTERS_DIGITS * 2]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    for r in df.select("w", secrets.entropy(F.col("w"), 8).alias("e")).collect():
-        assert abs(r["e"] - slow(r["w"], 8)) < 1e-9
+    for window in (1, 8, 20, 31, 32, 100):
+        for r in df.select("w", secrets.entropy(F.col("w"), window).alias("e")).collect():
+            assert abs(r["e"] - slow(r["w"], window)) < 1e-9
+    # Characters outside the alphabet share a count.
+    assert abs(df.select(secrets.entropy(F.lit("a?!?b!"), 6, "ab")).head()[0] - slow("a---b-", 6)) < 1e-9
 
 
 def test_classes_and_long_candidates(spark):
@@ -96,7 +99,7 @@ def test_classes_and_long_candidates(spark):
     run = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     found = [run(upper + "234567", 32), run(lower + "0123456789", 32), run(upper + lower, 40), run("ABCEFGHIJKLMNOQRSTUVWXYZabcefghijklmnoqrstuvwxyz0123456789", 200_000)]
-    plain = ["donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION", "xxxxxxxxxxxxxxxxxxxxxxxx1", "a,b;" * 100_000, "x" * 200_000 + "Y1"]
+    plain = ["donaudampfschifffahrtsgesellschaft", "Abcdefghijklmnopqrstuvwxyz", "INTERNATIONALIZATION", "xxxxxxxxxxxxxxxxxxxxxxxx1", "a,b;" * 100_000, "x" * 200_000 + "Y1"]
     df = spark.createDataFrame([(i, f"so {t} end") for i, t in enumerate(found + plain)], "doc_id long, text string")
     got = rows(secrets.find_secrets(df), "secrets")
     assert got == {i: [("entropy", 3, 3 + len(t))] for i, t in enumerate(found)} | {len(found) + i: [] for i in range(len(plain))}
