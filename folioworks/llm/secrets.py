@@ -142,7 +142,10 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", allo
     joined = listed.select(*kept, base.alias(f"{work}base"), F.concat(*[F.col(f"{work}{k[0]}") for k in kinds[3:]]).alias(f"{work}more"))
     rank = lambda s: F.array_position(F.array(*map(F.lit, (*BASE_KINDS, "entropy"))), s["kind"]).cast("int")
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(rank(a) - rank(b))
-    return joined.select(*kept, F.array_sort(F.concat(F.col(f"{work}base"), F.array_distinct(F.filter(F.col(f"{work}more"), apart))), order).alias(out))
+    # A string of several classes is one span, with the most bits of these.
+    less = lambda s: F.exists(F.col(f"{work}more"), lambda o: (o["start"] == s["start"]) & (o["bits"] > s["bits"]))
+    more = F.array_distinct(F.filter(F.col(f"{work}more"), lambda s: apart(s) & ~less(s)))
+    return joined.select(*kept, F.array_sort(F.concat(F.col(f"{work}base"), more), order).alias(out))
 
 
 def any_of(tests: list[Column]) -> Column:
