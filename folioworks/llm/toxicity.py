@@ -119,8 +119,13 @@ def sampled(labels: DataFrame, per_class: int) -> DataFrame:
     return out.where(F.col("hash") < share * (1 << 30)).orderBy("hash", "doc_id").limit(3 * per_class)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_ratio: float = 8.0, least_evidence: float = 20.0) -> Model:
-    """Learn from documents (doc_id, text) and labels (doc_id, toxic). Ids are sampled first; only their texts are read."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_ratio: float = 8.0, least_evidence: float = 20.0, most_words: int = 2000, most_pieces: int = 40_000) -> Model:
+    """Learn from documents (doc_id, text) and labels (doc_id, toxic). Ids are sampled first; only their texts are read.
+
+    `per_class` bounds the labelled rows of a class. Two more bounds hold what the driver gathers: of words that qualify, the
+    `most_words` that most toxic documents have (a dictionary holds 4,096 bytes of them, so more would be cut off), and
+    `most_pieces` pieces of ordinary text, chosen by hash, for the one dictionary of `SHARED` bytes.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = stored(known, "labels")
     chosen = F.broadcast(stored(sampled(known, per_class), "label-sample"))  # 3 * per_class rows at most
@@ -142,14 +147,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least_ratio:
     both = (F.col("toxic") + F.col("plain")) / (toxic + plain)
     gain = lambda n, share: F.when(n > 0, n * F.log(n / share)).otherwise(0.0)
     evidence = 2 * (gain(F.col("toxic"), toxic * both) + gain(F.col("plain"), plain * both))
-    told = counts.where((ratio >= least_ratio) & (evidence >= least_evidence)).orderBy(F.desc("toxic"), "word").limit(2000).collect()
+    told = counts.where((ratio >= least_ratio) & (evidence >= least_evidence)).orderBy(F.desc("toxic"), "word").limit(most_words).collect()
 
     @F.arrow_udf("array<binary>")
     def cut(texts: pa.Array) -> pa.Array:
         return pa.array([pieces_of(t.as_py().lower().encode("utf-8", "replace"), 64) for t in texts], pa.list_(pa.binary()))
 
     pieces = first.where("label = 0").select(F.explode_outer(cut("text")).alias("w"))
-    pieces = [bytes(r["w"]) for r in pieces.orderBy(F.xxhash64("w"), "w").limit(40_000).collect()]
+    pieces = [bytes(r["w"]) for r in pieces.orderBy(F.xxhash64("w"), "w").limit(most_pieces).collect()]
     try:
         trained = zstd.train_dictionary(SHARED + 4096, pieces, k=64, d=6).as_bytes()
     except zstd.ZstdError:  # too little text to train on
