@@ -9,12 +9,14 @@ left out, the others ranked by their true distance.
 
 Rotations and r are learned on a bounded sample (`sample` vectors, chosen by a
 hash of their ids): r is the distance within which the share `reach` of the
-sample's true neighbours lies. The index covers all rows. It is built and probed
-in cells of a grid, a block of rows by a block of queries, so that no task holds
-more than two blocks; both block sizes grow with the root of the table, and
-blocks are dealt by a hash of the id, so no cell is large. Each cell returns its
-k best for a query; where fewer than k codes of a cell are within r, the radius
-grows until k are. An aggregate of bounded lists joins the cells' answers.
+sample's true neighbours lies. The index covers all rows. Each vector is coded
+once and kept with its code as bytes, of the width that it was given in. The
+index is built and probed in cells of a grid, a block of rows by a block of as
+many queries, which copies least for what a task holds; blocks grow with the
+root of the table up to `most` vectors and are dealt by a hash of the id, so no
+cell is large. Each cell returns its k best for a query; where fewer than k
+codes of a cell are within r, the radius grows until k are. A window keeps the
+best of the cells' answers.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold
 null or non-finite parts take no part, nor do rows without an id; of rows with
@@ -25,13 +27,17 @@ all of them; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
+from folioworks.tables import stored
+
 BITS = 256
 SUBSTRING = 8
 
@@ -108,27 +114,43 @@ def probe(codes: np.ndarray, asked: np.ndarray, radius: int) -> list[np.ndarray]
     return out
 
 
-def cell_search(learned: Codes, k: int):
-    """The k nearest of a cell's rows to each of its queries."""
+def coded(rows: DataFrame, learned: Codes, width: str) -> DataFrame:
+    """id, code, v of rows (id, v): codes and vectors as bytes; `width` is the numpy name of the parts' type."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                columns = [batch.column(0), *(pa.array([r.tobytes() for r in part], pa.binary()) for part in (learned.of(x), x.astype(width)))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "code", "v"])
 
-    def searched(cell: pd.DataFrame) -> pd.DataFrame:
-        queries, rows = cell[cell["asks"]].sort_values("id"), cell[~cell["asks"]].sort_values("id")
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        if queries.empty or rows.empty:
-            return empty
-        q, x = np.stack(queries["v"].to_numpy()), np.stack(rows["v"].to_numpy())
-        ids, asked, codes = rows["id"].to_numpy(), learned.of(q), learned.of(x)
-        out = [empty]
-        for query, vector, code, near in zip(queries["id"], q, asked, probe(codes, asked, learned.radius), strict=True):
-            radius = learned.radius
-            while len(near := near[ids[near] != query]) < k and radius < learned.bits:
-                radius = min(learned.bits, radius + learned.bits // 8)
-                near = probe(codes, code[None, :], radius)[0]
-            gap = x[near] - vector
-            score = np.sqrt((gap * gap).sum(axis=1))
-            best = np.lexsort((ids[near], score))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(out, ignore_index=True)
+    return rows.select("id", "v").mapInArrow(told, "id long, code binary, v binary")
+
+
+def cell_search(most_apart: int, bits: int, k: int, width: str):
+    """The k nearest of a cell's rows to each of its queries."""
+    as_rows = lambda column, kind: np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+    def searched(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("id")
+        asks = cell["asks"].to_numpy()
+        ids = cell["id"].to_numpy()
+        asking, ids = ids[asks], ids[~asks]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(asking) and len(ids):
+            queries, rows = cell.filter(pa.array(asks)), cell.filter(pa.array(~asks))
+            asked, codes = as_rows(queries["code"], np.uint8), as_rows(rows["code"], np.uint8)
+            q, x = as_rows(queries["v"], width), as_rows(rows["v"], width)
+            for query, vector, code, near in zip(asking, q, asked, probe(codes, asked, most_apart), strict=True):
+                radius = most_apart
+                while len(near := near[ids[near] != query]) < k and radius < bits:
+                    radius = min(bits, radius + bits // 8)
+                    near = probe(codes, code[None, :], radius)[0]
+                gap = x[near].astype(float) - vector.astype(float)
+                score = np.sqrt((gap * gap).sum(axis=1))
+                best = np.lexsort((ids[near], score))[:k]
+                out.append((np.full(len(best), query), ids[near][best], score[best]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
     return searched
 
@@ -143,13 +165,16 @@ def nearest(
     sample: int = 4096,
     reach: float = 0.97,
     block: int = 8,
+    most: int = 1 << 18,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest other rows to each row whose id `every` divides.
 
-    A block of rows has `block` times the root of the table's size, one of queries a quarter of that.
+    A block of rows, as one of queries, has `block` times the root of the table's size, but no more than `most`.
     """
-    rows = usable(vectors, key, vector)
-    total = rows.count()
+    width = "<f4" if isinstance(vectors.schema[vector].dataType.elementType, FloatType) else "<f8"
+    rows = stored(usable(vectors, key, vector), "usable")
+    counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("id") % every == 0).alias("queries")).first()
+    total, queries = counts["rows"], counts["queries"]
     schema = "query_id long, vec_id long, score double"
     spark = vectors.sparkSession
     if not total:
@@ -157,12 +182,13 @@ def nearest(
     some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < math.ceil(sample * 1.2 / total * (1 << 30)))
     learned = Codes(np.array([r["v"] for r in some.orderBy(F.xxhash64("id"), "id").limit(sample).collect()] or [rows.first()["v"]]), k, bits, reach)
 
-    size = max(1, block * math.isqrt(total))
-    across, down = math.ceil(total / size), math.ceil(total / every / max(1, size // 4))
+    size = min(max(1, block * math.isqrt(total)), most)
+    across, down = math.ceil(total / size), max(1, math.ceil(queries / size))
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = rows.select("id", "v", F.lit(False).alias("asks"), deal(across, 1).alias("across"), everywhere(down).alias("down"))
-    asked = rows.where(F.col("id") % every == 0).select("id", "v", F.lit(True).alias("asks"), everywhere(across).alias("across"), deal(down, 2).alias("down"))
-    found = held.unionByName(asked).groupBy("across", "down").applyInPandas(cell_search(learned, k), schema)
+    codes = stored(coded(rows, learned, width), "codes")
+    held = codes.select("id", "code", "v", F.lit(False).alias("asks"), deal(across, 1).alias("across"), everywhere(down).alias("down"))
+    asked = codes.where(F.col("id") % every == 0).select("id", "code", "v", F.lit(True).alias("asks"), everywhere(across).alias("across"), deal(down, 2).alias("down"))
+    found = held.unionByName(asked).groupBy("across", "down").applyInArrow(cell_search(learned.radius, learned.bits, k, width), schema)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -119,3 +119,15 @@ def test_neighbours_against_brute_force(spark):
     few = ann.nearest(df.where("vec_id < 5"), every=2, k=10).toPandas()
     assert (few.groupby("query_id").size() == 4).all()
     assert ann.nearest(df.limit(0), every=2).count() == 0
+
+
+def test_neighbours_in_many_cells_and_ties(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(40, 24)), 6, axis=0)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    # Every row asks; 15 vectors a block at most, so 16 blocks by 16; every vector has five equal ones, in the order of their ids.
+    got = ann.nearest(df, every=1, k=5, sample=200, most=15).toPandas().sort_values(["query_id", "rank"])
+    for q, found in got.groupby("query_id"):
+        assert list(found.vec_id) == [i for i in range(q // 6 * 6, q // 6 * 6 + 6) if i != q] and (found.score == 0).all()
+    assert got.query_id.nunique() == 240
+    assert ann.nearest(df.limit(200), every=5000, k=5).where("query_id <> 0").count() == 0
