@@ -97,19 +97,24 @@ def probe(codes: np.ndarray, asked: np.ndarray, radius: int) -> list[np.ndarray]
     """For each asked code the rows within the radius: each substring's buckets are read, then whole codes compared."""
     m = codes.shape[1]
     flips = masks(radius // m)
-    order = np.argsort(codes, axis=0, kind="stable")
-    sorted_ = np.take_along_axis(codes, order, axis=0)
-    edges = np.stack([np.searchsorted(sorted_[:, j], np.arange(257)) for j in range(m)])
+    columns = np.ascontiguousarray(codes.T)
+    order = np.argsort(columns, axis=1, kind="stable")
+    sorted_ = np.take_along_axis(columns, order, axis=1)
+    edges = np.stack([np.searchsorted(sorted_[j], np.arange(257)) for j in range(m)])
+    words = codes.view(np.uint64 if m % 8 == 0 else np.uint8)
     out = []
     for code in asked:
         seen = np.zeros(len(codes), dtype=bool)
         for j in range(m):
-            for b in code[j] ^ flips:
-                seen[order[edges[j, b] : edges[j, int(b) + 1], j]] = True
+            buckets = (code[j] ^ flips).astype(int)
+            starts, sizes = edges[j, buckets], edges[j, buckets + 1] - edges[j, buckets]
+            # Places of all rows of these buckets, one run after another.
+            places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            seen[order[j, places]] = True
             if seen.all():
                 break
         rows = np.flatnonzero(seen)
-        apart = np.bitwise_count(codes[rows] ^ code).sum(axis=1)
+        apart = np.bitwise_count(words[rows] ^ code.view(words.dtype)).sum(axis=1, dtype=np.int64)
         out.append(rows[apart <= radius])
     return out
 
