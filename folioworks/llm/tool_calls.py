@@ -22,10 +22,13 @@ call id is null or unknown are rows of their own (`link_all`); empty tables give
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.tables import stored
+from folioworks.tables import stored, unused_name
 
 #: The least kind of variant that a parameter type admits, as a pattern on its schema.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY<", "object": "^OBJECT<"}
@@ -78,27 +81,28 @@ def ordered(calls: DataFrame) -> DataFrame:
 
 
 def argument_faults(calls: DataFrame, parameters: DataFrame) -> DataFrame:
-    """row, faults: what is wrong with each call's arguments; calls without a fault have no row.
+    """Adds `faults` to rows with tool and arguments (JSON text): what is wrong with the arguments, sorted, without repeats.
 
-    `calls` has row, tool and arguments (variant); `parameters` has tool, name, type and required.
+    `parameters` has tool, name, type and required. Those of a tool are joined to its calls as one list, so a call is checked where it is.
     """
-    is_object = F.schema_of_variant("arguments").startswith("OBJECT<")
-    bad = calls.where(F.coalesce(~is_object, F.lit(True))).select("row", F.lit("arguments: no object").alias("fault"))
-    tools = parameters.select("tool").distinct()
-    unknown = calls.join(tools, "tool", "left_anti").select("row", F.lit("tool: unknown").alias("fault"))
-    good = calls.where(is_object).join(tools, "tool", "left_semi")
-    view = good.select("row", "tool", "arguments")
-    given = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("arguments").outer())).select("row", "tool", F.col("key").alias("name"), F.schema_of_variant("value").alias("kind"))
-    checked = given.join(parameters, ["tool", "name"], "left")
-    fits = F.lit(False)
-    for name, pattern in TYPES.items():
-        fits = fits | ((F.col("type") == name) & F.col("kind").rlike(pattern))
-    wrong = checked.where(F.col("type").isNull()).select("row", F.concat("name", F.lit(": not a parameter")).alias("fault"))
-    typed = checked.where(F.col("type").isNotNull() & ~fits).select("row", F.concat("name", F.lit(": no "), "type").alias("fault"))
-    asked = good.select("row", "tool").join(parameters.where("required"), "tool")
-    missing = asked.join(given.select("row", "name"), ["row", "name"], "left_anti").select("row", F.concat("name", F.lit(": missing")).alias("fault"))
-    faults = bad.union(unknown).union(wrong).union(typed).union(missing)
-    return faults.groupBy("row").agg(F.array_sort(F.collect_set("fault")).alias("faults"))
+    known, listed, given = (unused_name(n, calls.columns) for n in ("known_tool", "listed", "given"))
+    spec = F.struct("name", "type", F.coalesce("required", F.lit(False)).alias("required"))
+    tools = parameters.where("tool is not null").groupBy(F.col("tool").alias(known)).agg(F.collect_set(F.when(F.col("name").isNotNull(), spec)).alias(listed))
+    rows = calls.withColumn(given, F.try_parse_json("arguments")).join(tools, F.col("tool") == F.col(known), "left")
+    kinds = F.map_entries(F.try_variant_get(given, "$", "map<string, variant>"))
+    kinds = F.transform(kinds, lambda e: F.struct(e["key"].alias("name"), F.schema_of_variant(e["value"]).alias("kind")))
+    fits = lambda s, kind: reduce(operator.or_, [(s["type"] == name) & kind.rlike(pattern) for name, pattern in TYPES.items()])
+    of = lambda e: F.filter(listed, lambda s: s["name"] == e["name"])
+    stray = lambda e: F.filter(F.array(F.concat(e["name"], F.lit(": not a parameter"))), lambda _: F.size(of(e)) == 0)
+    wrong = lambda e: F.transform(F.filter(of(e), lambda s: s["type"].isNotNull() & ~fits(s, e["kind"])), lambda s: F.concat(e["name"], F.lit(": no "), s["type"]))
+    untyped = lambda e: F.transform(F.filter(of(e), lambda s: s["type"].isNull()), lambda s: F.concat(e["name"], F.lit(": not a parameter")))
+    missing = F.transform(F.filter(listed, lambda s: s["required"] & ~F.exists(kinds, lambda e: e["name"] == s["name"])), lambda s: F.concat(s["name"], F.lit(": missing")))
+    no_object, no_tool = F.coalesce(~F.schema_of_variant(given).startswith("OBJECT<"), F.lit(True)), F.col(known).isNull()
+    none = F.array().cast("array<string>")
+    checked = F.when(no_object | no_tool, none).otherwise(F.concat(F.flatten(F.transform(kinds, lambda e: F.concat(stray(e), wrong(e), untyped(e)))), missing))
+    shape = F.when(no_object, F.array(F.lit("arguments: no object"))).otherwise(none)
+    tool = F.when(no_tool, F.array(F.lit("tool: unknown"))).otherwise(none)
+    return rows.withColumn("faults", F.array_sort(F.array_distinct(F.concat(shape, tool, checked)))).drop(known, listed, given)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -111,21 +115,19 @@ def link_calls(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> D
     key = ["conv_id", "call_id"]
     answers = results.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("answer"), F.count("*").alias("results"))
     uses = calls.groupBy(*key).count().where("count > 1").select(*key, F.lit(True).alias("repeated"))
-    rows = ordered(calls).withColumn("row", F.xxhash64("conv_id", "call_id", "turn", "tool", "arguments"))
-    faults = argument_faults(rows.select("row", "tool", F.try_parse_json("arguments").alias("arguments")).dropDuplicates(["row"]), parameters)
-    linked = rows.join(answers, key, "left").join(uses, key, "left").join(faults, "row", "left")
+    rows = argument_faults(ordered(calls), parameters)
+    linked = rows.join(answers, key, "left").join(uses, key, "left")
     after = F.struct("level", "turn", "call_id")
     places = linked.where("level is not null").select("conv_id", after.alias("after")).distinct()
     places = ranked(places)
     linked = linked.withColumn("after", after).join(places, ["conv_id", "after"], "left")
-    found = F.coalesce("faults", F.array().cast("array<string>"))
     alone = F.col("conv_id").isNull() | F.col("call_id").isNull()
     out = linked.select(
         "conv_id", "call_id", "turn", "tool", "arguments", "needs",
         F.coalesce("repeated", F.lit(False)).alias("repeated"),
         F.col("answer.turn").alias("result_turn"), F.col("answer.content").alias("content"), F.coalesce("results", F.lit(0)).alias("results"),
         "level", "place",
-        F.when(alone, F.array_append(found, F.lit("call: no id"))).otherwise(found).alias("faults"),
+        F.when(alone, F.array_append("faults", F.lit("call: no id"))).otherwise(F.col("faults")).alias("faults"),
     )
     fields = {"arguments": canonical(F.col("arguments")), "id": F.to_json(F.struct("call_id")), "name": F.col("tool"), "result": F.col("content")}
     return out.withColumn("record", record_of(fields))
@@ -193,10 +195,10 @@ def calls_in(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def calls_of_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations read as calls: a user's turn asks the tool `reply`, the turn after it is the result.
 
-    Each call needs the one two turns before it. This gives a table of plain conversations the form that `link_calls` takes.
+    Each call needs the one two turns before it. A turn without text or words gives a call that lacks arguments, which is a fault. This gives a table of plain conversations the form that `link_calls` takes.
     """
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    arguments = F.to_json(F.struct(F.size(words).alias("words"), F.element_at(words, 1).alias("first"), F.length("text").alias("chars"), F.concat_ws(" ", F.slice(words, 1, 5)).alias("about")), {"ignoreNullFields": "true"})
+    arguments = F.to_json(F.struct(F.size(words).alias("words"), F.get(words, F.lit(0)).alias("first"), F.length("text").alias("chars"), F.concat_ws(" ", F.slice(words, 1, 5)).alias("about")), {"ignoreNullFields": "true"})
     name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     users = messages.where("role = 'user'")
     calls = users.select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("tool"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))

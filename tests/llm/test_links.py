@@ -119,3 +119,42 @@ def test_levels_equal_a_plain_order(spark):
     for _ in range(400):
         want |= {k: 1 + max((want[x] for x in ns), default=-1) for k, ns in needs.items() if k not in want and all(x in want for x in ns)}
     assert {k: v for k, v in got.items() if v is not None} == want and got[1, "c299"] == 299
+
+
+def test_arguments_against_a_plain_check(spark):
+    import random
+
+    rng = random.Random(9)
+    values = {"string": "s", "integer": 3, "number": 1.5, "boolean": True, "array": [1, "a"], "object": {"b": 1}}
+    parameters = [(t, f"p{i}", rng.choice([*values, "odd"]), rng.random() < 0.4) for t in ("one", "two") for i in range(6)] + [("one", "p0", "string", False), ("three", None, None, True), (None, "p0", "string", True)]
+    calls = []
+    for i in range(300):
+        args = {f"p{j}": rng.choice([*values.values(), None, {}]) for j in range(8) if rng.random() < 0.5}
+        text = rng.choice([json.dumps(args), json.dumps(args), json.dumps(args), "[1]", "3", "null", "", "{", None])
+        calls.append((i % 7, f"c{i}", i, rng.choice(["one", "one", "two", "three", "none", None]), text, []))
+
+    def kind(v):
+        return next((k for k, t in (("boolean", bool), ("integer", int), ("number", float), ("string", str), ("array", list), ("object", dict)) if isinstance(v, t)), "null")
+
+    def want(tool, text):
+        try:
+            args = json.loads(text or "")
+        except ValueError:
+            args = None
+        known = {t for t, *_ in parameters if t is not None}
+        out = set() if isinstance(args, dict) else {"arguments: no object"}
+        out |= set() if tool in known else {"tool: unknown"}
+        if out:
+            return sorted(out)
+        mine = [p for p in parameters if p[0] == tool and p[1] is not None]
+        for name, v in args.items():
+            specs = [p for p in mine if p[1] == name]
+            out |= set() if specs else {f"{name}: not a parameter"}
+            out |= {f"{name}: no {p[2]}" for p in specs if kind(v) != p[2] and (kind(v), p[2]) != ("integer", "number")}
+        return sorted(out | {f"{p[1]}: missing" for p in mine if p[3] and p[1] not in args})
+
+    frame = calls_frame(spark, calls).withColumnRenamed("turn", "Given")
+    got = tool_calls.argument_faults(frame, spark.createDataFrame(parameters, "tool string, name string, type string, required boolean"))
+    assert got.columns == [*frame.columns, "faults"]
+    rows = {r["call_id"]: r["faults"] for r in got.collect()}
+    assert rows == {c[1]: want(c[3], c[4]) for c in calls}
