@@ -128,6 +128,7 @@ PLACED_SQL = """SELECT *, coalesce(string_agg(d, '') OVER (PARTITION BY {by}, h,
 coalesce(string_agg(d, '') OVER (PARTITION BY {by}, h, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS beside FROM {nodes} WHERE n > 1"""
 ORACLE_SQL: dict[str, str] = {
     **sql.ORACLE_SQL,
+    "op4_tool_calls": sql.TOOL_CALLS,
     "op11_merkle": f"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
 c AS (SELECT d.*, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0, false) AS bad FROM documents d, t),
 l AS (SELECT doc_id, lang, {LEAF_SQL.format(text="text")} AS leaf, CASE WHEN bad THEN {LEAF_SQL.format(text=f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')")} END AS altered FROM c),

@@ -118,3 +118,29 @@ SELECT d.doc_id, len(string_split(text, chr(10))) AS n_lines, count(no) AS n_rem
 FROM documents d LEFT JOIN gone USING (doc_id) GROUP BY d.doc_id, text"""
 
 ORACLE_SQL = {"op5_pii": OP5, "op7_ngram_join": OP7, "op9_secrets": OP9, "op10_line_dedup": OP10}
+
+
+def json_fields(fields: dict[str, str], tail: str = "") -> str:
+    """SQL of a JSON object of those fields that are not null, written as text."""
+    return "'{' || array_to_string(list_filter([" + ", ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + "], lambda x: x IS NOT NULL), ',') || '}'" + tail
+
+
+#: op4: turns are numbered by conversation; a call's level is half its turn if all calls that it needs, at every second turn before it, are there.
+TOOL_CALLS = f"""WITH u AS (SELECT conv_id, turn, 'call-' || turn AS call_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS words FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),
+nodes AS (SELECT DISTINCT conv_id, turn, call_id FROM u WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+reached AS (SELECT *, CASE WHEN turn < 2 THEN 0 WHEN count(*) FILTER (turn >= 0) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) = turn // 2 + 1 THEN turn // 2 END AS level FROM nodes),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) AS place FROM reached WHERE level IS NOT NULL),
+answers AS (SELECT conv_id, call_id, min(turn) AS result_turn, count(*) AS results, arg_min(coalesce(text, ''), (turn, text IS NOT NULL, text)) AS said, count(*) = count(text) AS told FROM a WHERE conv_id IS NOT NULL AND call_id IS NOT NULL GROUP BY ALL),
+uses AS (SELECT conv_id, call_id, count(*) > 1 AS repeated FROM u GROUP BY ALL),
+linked AS (SELECT u.conv_id, u.call_id, u.turn, result_turn, coalesce(results, 0) AS results, coalesce(repeated, false) AS repeated, level, place,
+CASE WHEN told THEN said END AS content,
+{json_fields({"about": "to_json(array_to_string(coalesce(words, [])[:5], ' '))", "chars": "length(text)", "first": "to_json(words[1])", "words": "len(words)"})} AS arguments,
+array_to_string(list_concat(CASE WHEN text IS NULL THEN ['chars: missing'] ELSE [] END, CASE WHEN words[1] IS NULL THEN ['first: missing'] ELSE [] END, CASE WHEN text IS NULL THEN ['words: missing'] ELSE [] END,
+CASE WHEN u.conv_id IS NULL OR u.call_id IS NULL THEN ['call: no id'] ELSE [] END), '; ') AS faults, 'reply' AS tool
+FROM u LEFT JOIN answers USING (conv_id, call_id) LEFT JOIN uses USING (conv_id, call_id) LEFT JOIN placed USING (conv_id, call_id)),
+lost AS (SELECT a.conv_id, a.call_id, NULL::BIGINT AS turn, a.turn AS result_turn, 1 AS results, false AS repeated, NULL::BIGINT AS level, NULL::BIGINT AS place, text AS content, 'null' AS arguments,
+CASE WHEN conv_id IS NULL OR call_id IS NULL THEN 'result: no id' ELSE 'result: no call' END AS faults, NULL AS tool FROM a ANTI JOIN nodes USING (conv_id, call_id)),
+rows AS (FROM linked UNION ALL BY NAME FROM lost)
+SELECT conv_id, call_id, turn, result_turn, results::BIGINT AS results, repeated, level::INTEGER AS level, place::INTEGER AS place, faults,
+{json_fields({"answer": json_fields({"text": "to_json(content)", "tool": "to_json(tool)"}), "arguments": "arguments", "call": json_fields({"call_id": "to_json(call_id)"})})} AS record FROM rows"""

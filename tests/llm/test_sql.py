@@ -14,9 +14,9 @@ from tests.llm.test_spans import PII_TEXTS, SECRET_TEXTS
 SF = "/root/testdata/sf0.001"
 
 
-def held_against_sql(spark, name, sf):
+def held_against_sql(spark, name, sf, table="documents"):
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    c.execute(f"create view {table} as select * from read_parquet('{sf}/{table}.parquet')")
     told = c.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in told.description]
     want = sorted(told.fetchall(), key=repr)
@@ -53,3 +53,17 @@ def test_odd_texts(spark, name, tmp_path):
         assert all(sum(r[f"n_{k}"] for r in rows) for k in ("email", "ip", "card", "phone", "iban")) and len({r["best_score"] for r in rows}) > 6
     if name == "op9_secrets":
         assert sum(r["n_entropy"] for r in rows) > 20
+
+
+def test_tool_calls(spark, tmp_path):
+    rows = held_against_sql(spark, "op4_tool_calls", "/root/testdata/sf0.01", "conversations")
+    assert len(rows) > 200 and {r["level"] for r in rows} >= {0, 1}
+    rng = random.Random(5)
+    texts = [None, "", " \t", "one", "a b  c\nd e f g", 'quo"te \\ and \x01 \t/ é 😀', "x" * 50_000, "\x0bv\x0b w"]
+    turns = [(rng.choice([0, 1, 2, 3, None]), rng.choice([*range(-2, 12), None]), rng.choice(["user", "user", "assistant", "system", None]), rng.choice(texts)) for _ in range(160)]
+    turns += [(9, t, "user" if t % 2 == 0 else "assistant", "so it goes on") for t in range(40) if t != 30]
+    columns = {n: pa.array(c, k) for n, k, c in zip(("conv_id", "turn", "role", "text"), (pa.int64(), pa.int64(), pa.string(), pa.string()), zip(*turns, strict=True), strict=True)}
+    pq.write_table(pa.table(columns), tmp_path / "conversations.parquet")
+    rows = held_against_sql(spark, "op4_tool_calls", tmp_path.as_posix(), "conversations")
+    assert {"call: no id", "result: no call", "result: no id", "first: missing"} <= {r["faults"] for r in rows} and any(r["repeated"] for r in rows) and 14 in {r["level"] for r in rows}
+    assert all(r["level"] is None for r in rows if r["conv_id"] == 9 and (r["turn"] or 0) > 30)
