@@ -71,7 +71,8 @@ IS_SPACE = np.zeros(256, dtype=bool)
 SPACES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
 IS_SPACE[[ord(s) for s in SPACES]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
-PART = 1 << 20
+#: Bytes that are hashed at once. The tables of powers are this long and travel with every function that hashes words.
+PART = 1 << 14
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

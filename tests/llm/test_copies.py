@@ -97,6 +97,16 @@ def test_hashes_do_not_hang_on_where_a_word_is(spark):
     assert len(a) == 2 and (a == b).all() and set(a) <= set(c)
 
 
+def test_functions_that_hash_words_are_small(spark):
+    """They travel by value with every step of a job and wait in the driver meanwhile."""
+    from pyspark import cloudpickle
+
+    assert len(cloudpickle.dumps(ngram_join.shingles)) < 1 << 20
+    words = [f"word{i}" for i in range(9000)]
+    a, b = (ngram_join.shingles(start + " ".join(words)) for start in ("", "  " * 5000))
+    assert len(a) == 8996 and (a == b).all()
+
+
 def test_one_of_each_keeps_columns(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1, "p"), (1, "a b c d e f", 2, "q"), (None, "a b c d e f", 3, "r"), (7, None, 4, "s")], "doc_id long, text string, n int, component string")
     out = ngram_join.one_of_each(df)
