@@ -63,6 +63,8 @@ TINY = 5  # largest size of band 0
 RATIO = 2  # of the bounds of the others
 #: Signatures with more documents are those of a crowd.
 MANY = 32
+#: So many parts of a set, the first, travel with each of its parts, so that two sets meet in the first that they share.
+HEAD = 16
 #: Documents that the counts allow a signature to have in one window; more are dealt to several.
 DEALT = 4096
 
@@ -187,8 +189,8 @@ def enough(items: np.ndarray, band: int, percent: int = PERCENT) -> bool:
     return band == 0 or len(np.unique(items % np.uint64(segments(band, frozenset())))) > most_apart(len(items), percent)
 
 
-def parts_of(items: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts of a set in a coarse partition, for its band of sizes and the next; and which of them are empty ones.
+def parts_of(items: np.ndarray, percent: int = PERCENT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the parts of a set in a coarse partition, and which of them are empty ones: for its band of sizes and for the next.
 
     Bands grow with the largest ratio of similar sets, so two such have a band in common. A difference spoils one part at
     most, so a set with more parts that have elements than it can have differences to any similar set of the band agrees with
@@ -197,7 +199,7 @@ def parts_of(items: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
     """
     ratio = 100 / percent
     own = int(math.log(len(items)) / math.log(ratio) + 1e-9)
-    out, empty = [], []
+    out = []
     for band in (own, own + 1):
         most = math.ceil(ratio ** (band + 1)) + 1
         count = (2 * most * (100 - percent) // (100 + percent)) * 9 // 8 + 2
@@ -209,9 +211,8 @@ def parts_of(items: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
         listed = sizes > 0
         if listed.sum() <= (len(items) + largest) * (100 - percent) // (100 + percent):
             listed[:] = True
-        out.append(hashes[listed])
-        empty.append(sizes[listed] == 0)
-    return np.concatenate(out), np.concatenate(empty)
+        out.append((hashes[listed], sizes[listed] == 0))
+    return out
 
 
 def bitmap(items: np.ndarray) -> bytes:
@@ -395,7 +396,7 @@ def index_rows(docs: DataFrame, weights: np.ndarray, base: float, single: frozen
 
 
 def part_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """part, doc, empty: the parts of each document's set in the coarse partition."""
+    """part, doc, empty, next, head: the parts of each document's set in the coarse partition; whether of the next band; the first of that band that are not empty."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,11 +404,30 @@ def part_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 part = batch.slice(low, 256)
                 found = [(doc, parts_of(items, percent)) for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True) if len(items := shingles(text.as_py(), words))]
                 if found:
-                    ids = np.concatenate([np.full(len(x), doc, np.int64) for doc, (x, _) in found])
-                    hashes, empty = (np.concatenate([pair[i] for _, pair in found]) for i in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids), pa.array(empty)], ["part", "doc", "empty"])
+                    bands = [(doc, later, *band) for doc, both in found for later, band in enumerate(both)]
+                    hashes, empty = (np.concatenate([b[i] for b in bands]) for i in (2, 3))
+                    ids = np.concatenate([np.full(len(x), doc, np.int64) for doc, _, x, _ in bands])
+                    later = np.concatenate([np.full(len(x), later, bool) for _, later, x, _ in bands])
+                    heads = [(len(x), x[~bare][:HEAD]) for _, _, x, bare in bands]
+                    ends = np.cumsum(np.concatenate(([0], *[np.full(n, len(h)) for n, h in heads])))
+                    head = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.tile(h, n) for n, h in heads]).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids), pa.array(empty), pa.array(later), head], ["part", "doc", "empty", "next", "head"])
 
-    return docs.mapInArrow(made, "part long, doc long, empty boolean")
+    return docs.mapInArrow(made, "part long, doc long, empty boolean, next boolean, head array<bigint>")
+
+
+def crowd_pairs(parts: DataFrame, percent: int) -> DataFrame:
+    """a, b: sets (part, doc, n, group, sketch, next, head) of different groups that agree in a part and that sizes and sketches allow to be similar.
+
+    Sets that agree in many parts are a row at the first of their heads in which they agree, or at each part if there they agree in none.
+    Two of the same own band meet in that band only, where they agree if they are similar.
+    """
+    left, right = (parts.select("part", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "group", "sketch", "next", "head")]) for side in "xy")
+    apart = (F.col("doc_x") < F.col("doc_y")) & (F.col("group_x") != F.col("group_y")) & ~(F.col("next_x") & F.col("next_y"))
+    sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    first = F.coalesce(F.get(F.array_intersect("head_x", "head_y"), F.lit(0)), F.col("part")) == F.col("part")
+    met = left.join(right, "part").where(apart & sized & sketches_fit(percent) & first)
+    return met.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
 
 def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -460,12 +480,9 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", wor
     # Sets that agree in nothing but an empty part have a signature of the crowd in common: they meet there, by part and signature.
     parts = stored(part_rows(filtered_by_ids(docs, crowd, "left_semi"), words, percent), "all-parts")
     marks = rows.where(F.col("docs") > MANY).select(F.col("me.doc").alias("doc"), "sig").distinct()
-    bare = parts.where("empty").join(marks, "doc").select(F.xxhash64("part", "sig").alias("part"), "doc")
-    parts = stored(parts.where("not empty").select("part", "doc").union(bare).join(crowd, "doc"), "parts")
-    left, right = (parts.select("part", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "group", "sketch")]) for side in "xy")
-    sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    more = left.join(right, "part").where((F.col("doc_x") < F.col("doc_y")) & (F.col("group_x") != F.col("group_y")) & sized & sketches_fit(percent))
-    pairs = pairs.union(more.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))).distinct()
+    bare = parts.where("empty").join(marks, "doc").select(F.xxhash64("part", "sig").alias("part"), "doc", "next", "head")
+    parts = stored(parts.where("not empty").select("part", "doc", "next", "head").union(bare).join(crowd, "doc"), "parts")
+    pairs = pairs.union(crowd_pairs(parts, percent)).distinct()
     links = links.union(similar_pairs(docs, bitmaps, stored(pairs, "pairs"), words, percent))
 
     groups = components(links)

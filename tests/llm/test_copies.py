@@ -107,6 +107,27 @@ def test_functions_that_hash_words_are_small(spark):
     assert len(a) == 8996 and (a == b).all()
 
 
+def test_near_copies_meet_once(spark, monkeypatch):
+    """Each with two or three words changed, they agree in many parts: a pair is a row, not a row for each of these."""
+    monkeypatch.setattr(ngram_join, "MANY", 4)
+    kept = []
+    stored = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name="part": kept.append((name, stored(df, name))) or kept[-1][1])
+    rng, base, texts = random.Random(8), [f"b{i}" for i in range(150)], []
+    for _ in range(40):
+        edited = list(base)
+        for i in rng.sample(range(150), rng.choice([2, 3])):
+            edited[i] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(edited))
+    assert linked(spark, texts) == expected_components(texts)
+    parts = next(df for name, df in reversed(kept) if name == "parts")
+    apart = parts.withColumn("group", parts["doc"])
+    met = [(r["a"], r["b"]) for r in ngram_join.crowd_pairs(apart, 75).collect()]
+    sets = [shingles(t) for t in texts]
+    similar = {(a, b) for b in range(40) for a in range(b) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert similar and similar <= set(met) and 100 < len(set(met)) <= len(met) < 1.2 * len(set(met))
+
+
 def test_one_of_each_keeps_columns(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1, "p"), (1, "a b c d e f", 2, "q"), (None, "a b c d e f", 3, "r"), (7, None, 4, "s")], "doc_id long, text string, n int, component string")
     out = ngram_join.one_of_each(df)
