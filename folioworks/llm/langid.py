@@ -98,12 +98,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return pa.array([features(t or "").tobytes() for t in texts.to_pylist()], pa.binary())
 
     sample = labelled_sample(docs, text, lang, key, per_language, most_rows)
-    rows = sample.select("lang", vectors(F.col("text")).alias("x")).collect()
-    languages = sorted({r["lang"] for r in rows})
+    # Rows come one at a time into one buffer, so the driver holds the sample once.
+    told, data = [], bytearray()
+    for r in sample.select("lang", vectors(F.col("text")).alias("x")).toLocalIterator():
+        told.append(r["lang"])
+        data += r["x"]
+    languages = sorted(set(told))
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in rows])
-    which = np.array([languages.index(r["lang"]) for r in rows])
+    x = np.frombuffer(data, dtype=np.float32).reshape(len(told), DIMENSIONS)
+    which = np.array([languages.index(t) for t in told])
     code = codewords(len(languages))
     y = code[which]
     weights, bias = logistic(x, y)

@@ -131,3 +131,15 @@ def test_neighbours_in_many_cells_and_ties(spark):
         assert list(found.vec_id) == [i for i in range(q // 6 * 6, q // 6 * 6 + 6) if i != q] and (found.score == 0).all()
     assert got.query_id.nunique() == 240
     assert ann.nearest(df.limit(200), every=5000, k=5).where("query_id <> 0").count() == 0
+
+
+def test_language_sample_comes_row_by_row(spark, monkeypatch):
+    """The driver holds the features of the sample once, not as rows and as a matrix."""
+    from folioworks.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kind, most = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: most.append(len(out := collect(self))) or out)
+    model = langid.fit(docs)
+    assert len(model.languages) == docs.select("lang").where("lang is not null").distinct().count() and max(most) <= 1
