@@ -55,9 +55,9 @@ def session_islands(spark, sf_dir):
 
 
 def lockout_fold(spark, sf_dir):
-    """Events as sign-ins, a minute apart for each four hours; errors and clicks fail."""
+    """Events as sign-ins, a minute apart for each four hours, their times rounded to whole seconds (halves to even ones); errors and clicks fail."""
     e = event_times(spark, sf_dir)
-    attempts = e.select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), F.floor(F.col("ts").cast("long") / 240).alias("at"), (~F.col("event_type").isin("error", "click")).alias("matched"))
+    attempts = e.select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), F.floor(F.rint(F.col("ts").cast("double")) / 240).alias("at"), (~F.col("event_type").isin("error", "click")).alias("matched"))
     return lockouts.lockouts(attempts).groupBy("account", "outcome").agg(F.count("*").alias("attempts"), F.sum("seq").alias("seqs"))
 
 

@@ -1,10 +1,13 @@
 """The lockout fold against a plain one, also over accounts of many blocks."""
 
 import random
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 
 from folioworks.operators import lockouts
+from folioworks.plans import lifecycle_queries
 
 
 def plain(rows):
@@ -34,3 +37,14 @@ def test_outcomes_equal_a_plain_fold(spark, monkeypatch, block):
     got = lockouts.lockouts(df)
     assert {(r.account, r.seq): r.outcome for r in got.collect()} == plain(rows)
     assert got.columns == ["account", "seq", "at", "matched", "outcome"] and lockouts.lockouts(df.where("false")).count() == 0
+
+
+def test_times_are_rounded_to_seconds_as_in_the_sql(spark, tmp_path):
+    """An attempt half a second before a lock has run out comes after it."""
+    start, late = datetime(2024, 1, 1), 904 * 240
+    rows = [(10 * u + i, start + timedelta(seconds=240 * i if i < 5 else late - early), u, "error" if i < 5 else "view") for u, early in enumerate((0.4, 0.5, 0.500001, 0.6, 0, -0.2)) for i in range(6)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = lifecycle_queries.lockout_fold(spark, str(tmp_path))
+    want = duckdb.sql(lifecycle_queries.ORACLE_SQL["lockout_fold"].replace("FROM events", f"FROM read_parquet('{tmp_path}/events.parquet/*.parquet')"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert {r.account for r in got.where("outcome = 'ok'").collect()} == {0, 1, 4, 5}
