@@ -95,13 +95,13 @@ def claim_jobs(spark, sf_dir):
 
 
 def sign_ins(spark, sf_dir):
-    """Events as sign-ins: a token for each user and day, opened by the first event; purchases sign out."""
-    e = event_times(spark, sf_dir).select(F.col("user_id").cast("string").alias("account"), "ts", F.col("event_id").alias("seq"), "event_type")
-    day = F.date_format("ts", "yyyyMMdd")
-    firsts = e.groupBy("account", day.alias("day")).agg(F.min(F.struct("ts", "seq")).alias("first"))
-    e = e.withColumn("day", day).join(firsts, ["account", "day"])
-    event = F.when((F.col("ts") == F.col("first.ts")) & (F.col("seq") == F.col("first.seq")), "start").when(F.col("event_type") == "purchase", "end").otherwise("touch")
-    return e.select("account", F.concat_ws("-", "account", "day").alias("token"), F.col("ts").alias("at"), "seq", event.alias("event"))
+    """Events as sign-ins, their times rounded to milliseconds: a token for each user and day, opened by the first event; purchases sign out."""
+    at = F.timestamp_millis(F.round(F.unix_micros("ts").cast("decimal(20, 0)") / 1000).cast("long"))
+    e = event_times(spark, sf_dir).select(F.col("user_id").cast("string").alias("account"), F.date_format("ts", "yyyyMMdd").alias("day"), at.alias("at"), F.col("event_id").alias("seq"), "event_type")
+    firsts = e.groupBy("account", "day").agg(F.min(F.struct("at", "seq")).alias("first"))
+    e = e.join(firsts, ["account", "day"])
+    event = F.when((F.col("at") == F.col("first.at")) & (F.col("seq") == F.col("first.seq")), "start").when(F.col("event_type") == "purchase", "end").otherwise("touch")
+    return e.select("account", F.concat_ws("-", "account", "day").alias("token"), "at", "seq", event.alias("event"))
 
 
 def session_ends(spark, sf_dir):
