@@ -1,14 +1,18 @@
 """Rules on small cases, and folds against plain Python."""
 
+import dataclasses
 import math
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioworks.functions import colour, language, phrases, text
 from folioworks.operators import findings, headings, lifecycle, painted, triage
 from folioworks.plans import catalog
+from folioworks.sources import trees
+from folioworks.sources import word as word_source
 
 
 def one(spark, **columns):
@@ -258,3 +262,27 @@ def test_pdf_rules_as_stated(spark):
     ]
     assert [(r["kind"], r["location"]) for r in rows if r["doc_id"] == 3] == [("no-title", "document properties"), ("no-language", "document catalogue"), ("pdf-untagged", "whole document"), ("image-alt", "whole document")]
     assert [(r["doc_id"], r["kind"]) for r in rows if r["doc_id"] in (2, 4)] == [(4, "no-headings")]
+
+
+def test_small_parts_are_read_in_one_batch(spark, tmp_path):
+    """Nodes and trees of many small parts come in few batches, each part whole; a part that can't be read is one row."""
+    xml = lambda i: f'<w:p xmlns:w="urn:w" w:id="{i}"><w:r><w:t a="1">x{i}</w:t>tail</w:r><w:t/></w:p>' if i % 10 else "<w:p>"
+    batches = lambda: iter([pa.RecordBatch.from_pydict({"doc_id": [i, i], "part": ["a", "b"], "xml": [xml(i), xml(i)]}) for i in range(1000)])
+    got = list(word_source.gathered(batches(), word_source.node_rows))
+    assert len(got) == 1 and len(got[0][0]) == len(got[0][1]) == len(got[0][2]) == 2 * (900 * 4 + 100)
+    parts = spark.createDataFrame([(i, "a", xml(i)) for i in (10, 11)], "doc_id int, part string, xml string")
+    rows = {r["doc_id"]: [] for r in parts.collect()}
+    for r in sorted(word_source.nodes_of(parts).collect(), key=lambda r: r["pre"]):
+        rows[r["doc_id"]].append(tuple(r)[2:])
+    assert [r[6] for r in rows[10]] == ["#error"] and rows[11] == [
+        (1, 4, 0, 0, "/", 0, "p", {"id": "11"}, None), (2, 3, 1, 0, "/p", 1, "r", {}, None), (3, 3, 2, 1, "p/r", 2, "t", {"a": "1"}, "x11"), (4, 4, 1, 0, "/p", 1, "t", {}, None),
+    ]
+    assert [r["name"] for r in trees.trees_of(parts).where("doc_id = 11").orderBy("pre").collect()] == ["w:p", "w:r", "w:t", None, None, "w:t"]
+
+
+def test_texts_without_the_words_are_not_searched(spark):
+    told = dataclasses.replace(phrases.ENGLISH_PATTERNS, sensed="zebra", hued="zebra")
+    one_ = lambda f, t, p: one(spark, h=f(F.lit(t), p))["h"]
+    for f, said in ((phrases.sensory_hits, "Click the button on the LEFT."), (phrases.colour_hits, "Fields are marked in Red."), (phrases.colour_hits, "Told apart by their colours.")):
+        assert one_(f, said, told) == [] and len(one_(f, said, phrases.ENGLISH_PATTERNS)) == len(one_(f, said, dataclasses.replace(told, sensed="", hued=""))) == 1
+        assert len(one_(f, said + " A zebra.", told)) == 1 and one_(f, None, told) is None
