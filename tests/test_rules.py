@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioworks.functions import colour, language, phrases, text
-from folioworks.operators import findings, headings, lifecycle, painted, triage
+from folioworks.operators import findings, headings, lifecycle, painted, pdf, triage
 from folioworks.plans import catalog
 from folioworks.sources import trees
 from folioworks.sources import word as word_source
@@ -286,3 +286,16 @@ def test_texts_without_the_words_are_not_searched(spark):
     for f, said in ((phrases.sensory_hits, "Click the button on the LEFT."), (phrases.colour_hits, "Fields are marked in Red."), (phrases.colour_hits, "Told apart by their colours.")):
         assert one_(f, said, told) == [] and len(one_(f, said, phrases.ENGLISH_PATTERNS)) == len(one_(f, said, dataclasses.replace(told, sensed="", hued=""))) == 1
         assert len(one_(f, said + " A zebra.", told)) == 1 and one_(f, None, told) is None
+
+
+def test_pages_of_elements_come_from_the_nearest_around_them_without_reading_all_again(spark):
+    """Chains as deep as a tree may be, some with a page halfway and some with none; the plan grows with the rounds, not with their power."""
+    deep = pdf.DEPTH
+    rows = [(d, i, deep, i - 1, (7 if i == 1 else 9) if d != 2 and i in ((1,) if d == 0 else (1, 30)) else None) for d in range(3) for i in range(1, deep + 1)]
+    df = spark.createDataFrame(rows, "doc_id int, pre int, last int, parent int, page int")
+    got = pdf.with_pages(df)
+    want = {(d, i): None if d == 2 else 9 if d == 1 and i >= 30 else 7 for d, i, *_ in rows}
+    assert {(r["doc_id"], r["pre"]): r["page"] for r in got.collect()} == want and got.columns.count("page") == 1
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= pdf.DEPTH.bit_length() + 1
+    flat = pdf.with_pages(df.where("pre = 1"))
+    assert {(r["doc_id"], r["page"]) for r in flat.collect()} == {(0, 7), (1, 7), (2, None)}
