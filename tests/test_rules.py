@@ -299,3 +299,14 @@ def test_pages_of_elements_come_from_the_nearest_around_them_without_reading_all
     assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= pdf.DEPTH.bit_length() + 1
     flat = pdf.with_pages(df.where("pre = 1"))
     assert {(r["doc_id"], r["page"]) for r in flat.collect()} == {(0, 7), (1, 7), (2, None)}
+
+
+def test_nodes_of_trees_equal_those_read_from_the_parts_without_a_window(spark):
+    xml = '<w:p xmlns:w="urn:w" w:id="1">head<w:r a="2">in<w:t/>after</w:r><w:t><w:b/>late</w:t></w:p>'
+    parts = spark.createDataFrame([(1, "a", xml), (1, "b", "<w:t xmlns:w='urn:w'>x</w:t>"), (2, "a", "<w:p>bad")], "doc_id int, part string, xml string")
+    nodes = trees.nodes(trees.trees_of(parts))
+    order = ["doc_id", "part", "pre"]
+    # Trees number texts as well, so only what numbers do not tell is equal.
+    got, want = (d.where("doc_id = 1").orderBy(*order).select("part", "path", "depth", "name", "attrs", "text").collect() for d in (nodes, word_source.nodes_of(parts)))
+    assert got == want and [r["text"] for r in got] == ["head", "in", None, None, None, "x"] and [r["name"] for r in nodes.where("doc_id = 2").collect()] == ["#error"]
+    assert "Window" not in nodes._jdf.queryExecution().optimizedPlan().toString()
